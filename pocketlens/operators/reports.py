@@ -105,8 +105,42 @@ def bridge_steps(bridge: DataFrame) -> DataFrame:
     return bridge.select("base_year", "current_year", F.inline(entries))
 
 
+# JSON scales of the payload numbers: plain fixed-point text in any engine.
+PRICE_DECIMAL = "decimal(20,4)"
+PCT_DECIMAL = "decimal(20,2)"
+MONEY_DECIMAL = "decimal(24,2)"
+PAYLOAD_TYPES = {
+    "blue_price": PRICE_DECIMAL,
+    "deductions": PRICE_DECIMAL,
+    "invoice_price": PRICE_DECIMAL,
+    "bonuses": PRICE_DECIMAL,
+    "pocket_price": PRICE_DECIMAL,
+    "standard_cost": PRICE_DECIMAL,
+    "contribution_margin": PRICE_DECIMAL,
+    "margin_pct": PCT_DECIMAL,
+    "deduction_pct": PCT_DECIMAL,
+    "bonus_pct": PCT_DECIMAL,
+    "realization_pct": PCT_DECIMAL,
+    "leakage_pct": PCT_DECIMAL,
+    "total_pocket_revenue": MONEY_DECIMAL,
+    "total_margin_dollars": MONEY_DECIMAL,
+    "value": PRICE_DECIMAL,
+    "peer_mean": PRICE_DECIMAL,
+    "z_score": PRICE_DECIMAL,
+    "base_margin_pct": PCT_DECIMAL,
+    "current_margin_pct": PCT_DECIMAL,
+    **{e: MONEY_DECIMAL for e in PAYLOAD_BRIDGE_EFFECTS},
+}
+
+
+def _typed(c: str, source=None):
+    col = F.col(c) if source is None else source
+    t = PAYLOAD_TYPES.get(c)
+    return (col.cast(t) if t else col).alias(c)
+
+
 def _payload_parts(wf: DataFrame, flags: DataFrame | None, bridge: DataFrame | None, top_n: int) -> DataFrame:
-    parts = wf.select(F.struct(*[F.col(c) for c in PAYLOAD_WATERFALL_FIELDS]).alias("waterfall"))
+    parts = wf.select(F.struct(*[_typed(c) for c in PAYLOAD_WATERFALL_FIELDS]).alias("waterfall"))
     if flags is not None:
         top = top_outliers(flags, top_n)
         keyed = F.struct(
@@ -118,7 +152,7 @@ def _payload_parts(wf: DataFrame, flags: DataFrame | None, bridge: DataFrame | N
             F.col("year").alias("_t5"),
             F.col("sales_qty").alias("_t6"),
             F.col("value").alias("_t7"),
-            F.struct(*[F.col(c) for c in PAYLOAD_OUTLIER_FIELDS]).alias("o"),
+            F.struct(*[_typed(c) for c in PAYLOAD_OUTLIER_FIELDS]).alias("o"),
         )
         ordered = F.transform(F.array_sort(F.collect_list(keyed)), lambda e: e["o"])
         outl = top.agg(ordered.alias("_top")).select(
@@ -133,9 +167,9 @@ def _payload_parts(wf: DataFrame, flags: DataFrame | None, bridge: DataFrame | N
                 F.struct(
                     F.col("base_year"),
                     F.col("current_year"),
-                    F.col("base.wavg_margin_pct").alias("base_margin_pct"),
-                    F.col("current.wavg_margin_pct").alias("current_margin_pct"),
-                    *[F.col(e) for e in PAYLOAD_BRIDGE_EFFECTS],
+                    _typed("base_margin_pct", F.col("base.wavg_margin_pct")),
+                    _typed("current_margin_pct", F.col("current.wavg_margin_pct")),
+                    *[_typed(e) for e in PAYLOAD_BRIDGE_EFFECTS],
                 )
             ).alias("yoy_bridge")
         )
@@ -151,7 +185,9 @@ def insight_payload(
     """One row, one ``payload`` JSON string: waterfall (16 fields), the top-N
     outliers by |z| (key omitted when there are none) and the YoY bridge (key
     omitted when absent).  ``wf`` is a one-row waterfall; an empty ``wf`` gives
-    no row.  ``bridge`` is a nested :func:`margin_bridge` result.
+    no row.  ``bridge`` is a nested :func:`margin_bridge` result.  Numbers are
+    fixed-scale decimals (4 dp prices and z, 2 dp percentages and money), so the
+    text is plain notation.
     """
     parts = _payload_parts(wf, flags, bridge, top_n)
     return parts.select(F.to_json(F.struct("waterfall", "top_outliers", "yoy_bridge")).alias("payload"))

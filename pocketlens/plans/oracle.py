@@ -376,6 +376,48 @@ OUTLIER_ORDER = (
 )
 
 
+def payload_sql(pso: str, y0: int, y1: int) -> str:
+    """Insight payload over one PSO: waterfall + top-5 outliers of the slice + bridge."""
+    p4, p2, m2 = "DECIMAL(20,4)", "DECIMAL(20,2)", "DECIMAL(24,2)"
+    wf_fields = [
+        ("blue_price", p4), ("deductions", p4), ("invoice_price", p4), ("bonuses", p4), ("pocket_price", p4),
+        ("standard_cost", p4), ("contribution_margin", p4), ("margin_pct", p2), ("deduction_pct", p2),
+        ("bonus_pct", p2), ("realization_pct", p2), ("leakage_pct", p2), ("total_qty", None),
+        ("transaction_count", None), ("total_pocket_revenue", m2), ("total_margin_dollars", m2),
+    ]
+    cast = lambda c, t: c if t is None else f"CAST({c} AS {t})"
+    w_struct = ", ".join(f"{c} := {cast(c, t)}" for c, t in wf_fields)
+    o_struct = (
+        f"sold_to := sold_to, corporate_group := corporate_group, metric := metric, "
+        f"value := CAST(value AS {p4}), peer_mean := CAST(peer_mean AS {p4}), "
+        f"z_score := CAST(z_score AS {p4}), severity := severity"
+    )
+    effects = ["total_margin_change", "price_effect", "deduction_effect", "bonus_effect", "cost_effect",
+               "volume_effect", "mix_effect"]
+    b_struct = (
+        "base_year := base_year, current_year := current_year, "
+        f"base_margin_pct := CAST(base_wavg_margin_pct AS {p2}), "
+        f"current_margin_pct := CAST(current_wavg_margin_pct AS {p2}), "
+        + ", ".join(f"{e} := CAST({e} AS {m2})" for e in effects)
+    )
+    return (
+        with_(
+            TRANSACTIONS,
+            f"\nslice AS (SELECT * FROM transactions WHERE pso = {sql_str(pso)})",
+            f"\nwf AS ({waterfall_sql('slice')})",
+            outliers_ctes("slice"),
+            f"\ntop AS (SELECT * FROM flags ORDER BY {OUTLIER_ORDER} LIMIT 5)",
+            bridge_sql("transactions", y0, y1),
+        )
+        + f"""SELECT '{{"waterfall":' || to_json(w) ||
+       CASE WHEN o IS NULL THEN '' ELSE ',"top_outliers":' || to_json(o) END ||
+       CASE WHEN b IS NULL THEN '' ELSE ',"yoy_bridge":' || to_json(b) END || '}}' AS payload
+FROM (SELECT struct_pack({w_struct}) AS w FROM wf)
+CROSS JOIN (SELECT list(struct_pack({o_struct}) ORDER BY {OUTLIER_ORDER}) AS o FROM top)
+CROSS JOIN (SELECT max(struct_pack({b_struct})) AS b FROM bridge)"""
+    )
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
@@ -446,7 +488,7 @@ def build() -> dict[str, str]:
         cond = f"{col} IS NULL" if values is None else f"NOT ({col} IN ({values}))"
         return (
             f"SELECT '{table}' AS table_name, '{col}' AS column_name, '{check}' AS check_name, "
-            f"count_if({cond}) AS failures FROM {src}"
+            f"CAST(count_if({cond}) AS BIGINT) AS failures FROM {src}"
         )
 
     checks_sql = " UNION ALL ".join(
@@ -509,7 +551,8 @@ def build() -> dict[str, str]:
         "top_outliers": with_(*SILVER_CHAIN, outliers_ctes("silver"))
         + f"SELECT * FROM flags ORDER BY {OUTLIER_ORDER} LIMIT 5",
         "readonly_sql": with_(*FACT_CHAIN, customers_cte("customer_profitability"))
-        + f"SELECT * FROM ({C.READONLY_QUERY}) LIMIT 30",
+        + f"SELECT pso, margin_tier, customers, CAST(transactions AS BIGINT) AS transactions "
+        f"FROM ({C.READONLY_QUERY}) LIMIT 30",
         "q_overall_waterfall": with_(*BASE) + waterfall_sql("transactions"),
         "q_margin_by_country": with_(*BASE)
         + f"SELECT country, margin_pct, {health} AS margin_health, total_qty, total_pocket_revenue, "
@@ -542,6 +585,7 @@ ORDER BY total_pocket_revenue DESC, sold_to, corporate_group LIMIT 5""",
         "q_low_tier_groups": with_(*FACT_CHAIN, customers_cte("groups", "corporate_group, country"))
         + "SELECT corporate_group, country, wavg_margin_pct, total_pocket_revenue, transaction_count, margin_tier "
         "FROM groups WHERE margin_tier IN ('Tier 4 - Low', 'Tier 5 - Destructive')",
+        "q_full_analysis": payload_sql(C.PSO, y0, y1),
         "q_bonus_by_material": with_(*BASE)
         + f"""SELECT material, CAST(round(bon, 2) AS DOUBLE) AS total_bonus_dollars,
        {r(f"{dbl('bon')} / nullif({dbl('inv')}, 0e0) * 100e0", 2)} AS wavg_bonus_pct, transaction_count
@@ -554,9 +598,9 @@ ORDER BY total_bonus_dollars DESC, material LIMIT 5""",
         + ")",
         "q_outlier_customers": with_(*SILVER_CHAIN, outliers_ctes("silver"))
         + """SELECT sold_to, corporate_group,
-       count_if(metric = 'deduction_pct') AS deduction_flags,
-       count_if(metric = 'margin_pct') AS margin_flags,
-       count_if(severity = 'HIGH') AS high_flags,
+       CAST(count_if(metric = 'deduction_pct') AS BIGINT) AS deduction_flags,
+       CAST(count_if(metric = 'margin_pct') AS BIGINT) AS margin_flags,
+       CAST(count_if(severity = 'HIGH') AS BIGINT) AS high_flags,
        max(abs(z_score)) AS max_abs_z
 FROM flags WHERE metric IN ('deduction_pct', 'margin_pct') GROUP BY sold_to, corporate_group""",
     }
