@@ -16,6 +16,8 @@ Both forms stay inside whole-stage codegen (no UDFs).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +40,35 @@ def exact(c: Column) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Order-independent sum of a double expression (NULLs skipped)."""
+    """Order-independent sum of a double expression at 8 decimals (NULLs skipped).
+
+    Equal to ``sum(CAST(c AS DECIMAL(28,8)))`` but computed with three
+    fixed-width ``bigint`` sums, which stay in the hash aggregate's mutable
+    buffer (a DECIMAL(38) buffer goes through ``BigDecimal`` on every row and
+    is about five times slower).  Each value ``w`` is split into its floor
+    ``a`` and the fraction in units of 1e-8, ``r = round((w - a) * 1e8)``,
+    and ``r`` into two 4-digit limbs; the limb sums cannot overflow below
+    ~9e14 rows.  The limbs are recombined once per group into DECIMAL(38,8).
+    Exact for values carrying at most 8 decimals with ``|w| < 2e7``; beyond
+    that the double itself holds fewer decimals and the last digit follows
+    the double.
+    """
+    whole = F.floor(c)
+    units = F.floor((c - whole) * F.lit(1e8) + F.lit(0.5))
+    hi = F.floor(units / F.lit(1e4))
+    lo = units - hi * F.lit(10000)
+    return _recombine(F.sum(whole), F.sum(hi), F.sum(lo))
+
+
+def _recombine(whole: Column, hi: Column, lo: Column) -> Column:
+    """``whole + (hi * 1e4 + lo) * 1e-8`` as DECIMAL(38,8), with no precision loss."""
+    frac_units = (hi.cast("decimal(29,0)") * F.lit(10000) + lo.cast("decimal(29,0)")).cast("decimal(29,0)")
+    frac = (frac_units * F.lit(Decimal("0.00000001")).cast("decimal(8,8)")).cast("decimal(37,8)")
+    return whole.cast("decimal(37,8)") + frac
+
+
+def decimal_sum(c: Column) -> Column:
+    """The plain ``sum(CAST(c AS DECIMAL(28,8)))`` (reference form of :func:`exact_sum`)."""
     return F.sum(exact(c))
 
 

@@ -132,7 +132,7 @@ def customer_profitability(fact: DataFrame, keys: list[str] | None = None) -> Da
 def _exact_avg_2dp(c: Column) -> Column:
     """Average of a 2-dp column: exact decimal sum over the non-null count."""
     n = F.count(c)
-    return F.when(n > 0, F.sum(c.cast("decimal(18,2)")).cast("double") / n)
+    return F.when(n > 0, exact_sum(c).cast("double") / n)
 
 
 def segment_averages(fact: DataFrame, keys: list[str] | None = None) -> DataFrame:

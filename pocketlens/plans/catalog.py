@@ -41,22 +41,33 @@ ORDER BY pso, margin_tier
 
 @dataclass
 class Layers:
-    """The medallion layers over one driver directory (built lazily)."""
+    """The medallion layers over one driver directory (built lazily).
+
+    ``tables`` may supply already materialised layers (``bronze``, ``silver``,
+    ``fact``) by name; missing ones are derived from the layer below.
+    """
 
     spark: SparkSession
     sf_dir: str
+    tables: dict[str, DataFrame] | None = None
+
+    def _given(self, name: str) -> DataFrame | None:
+        return (self.tables or {}).get(name)
 
     @cached_property
     def bronze(self) -> DataFrame:
-        return transactions_from_orders(self.spark, self.sf_dir)
+        given = self._given("bronze")
+        return given if given is not None else transactions_from_orders(self.spark, self.sf_dir)
 
     @cached_property
     def silver(self) -> DataFrame:
-        return silver.silver_transactions(self.bronze)
+        given = self._given("silver")
+        return given if given is not None else silver.silver_transactions(self.bronze)
 
     @cached_property
     def fact(self) -> DataFrame:
-        return gold.waterfall_fact(self.silver)
+        given = self._given("fact")
+        return given if given is not None else gold.waterfall_fact(self.silver)
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -74,19 +85,22 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_transactions_csv(spark, path)
 
 
-def _q(fn: Callable[[Layers], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Layers(spark, sf_dir))
+LAYER_QUERIES: dict[str, Callable[[Layers], DataFrame]] = {}
+
 
-    run.__name__ = getattr(fn, "__name__", "query")
-    run.__doc__ = fn.__doc__
-    return run
+class _q:
+    """A registered query: a function of the layers, callable as ``(spark, sf_dir)``."""
 
+    def __init__(self, fn: Callable[[Layers], DataFrame]):
+        self.fn = fn
 
-def _readonly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    L = Layers(spark, sf_dir)
-    register_views(spark, L.bronze, L.silver)
-    return run_readonly_sql(spark, READONLY_QUERY)
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.fn(Layers(spark, sf_dir))
+
+
+def _readonly_layers(L: Layers) -> DataFrame:
+    register_views(L.spark, L.bronze, L.silver)
+    return run_readonly_sql(L.spark, READONLY_QUERY)
 
 
 def _no_detected_at(df: DataFrame) -> DataFrame:
@@ -125,7 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_summary": _q(lambda L: outliers.summarize_outliers(outliers.detect_outliers(L.silver), with_band=True)),
     "top_outliers": _q(lambda L: outliers.top_outliers(outliers.detect_outliers(L.silver), 5)),
     # ad-hoc SQL and questions
-    "readonly_sql": _readonly,
+    "readonly_sql": _q(_readonly_layers),
     "q_overall_waterfall": _q(lambda L: Q.q_overall_waterfall(L.bronze)),
     "q_margin_by_country": _q(lambda L: Q.q_margin_by_country(L.bronze)),
     "q_low_margin_customers": _q(lambda L: Q.q_low_margin_customers(L.customers, PSO, LOW_MARGIN_THRESHOLD)),
@@ -140,3 +154,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_deduction_by_pso": _q(lambda L: Q.q_deduction_by_pso(L.bronze, QUESTION_YEAR)),
     "q_outlier_customers": _q(lambda L: Q.q_outlier_customers(L.silver)),
 }
+
+LAYER_QUERIES.update({name: q.fn for name, q in QUERIES.items() if isinstance(q, _q)})

@@ -81,7 +81,7 @@ def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     nk = F.col("n_nationkey") % 5
     ck = F.col("c_custkey") % 5
     archetype = F.element_at(F.array(*[F.lit(a) for a in COST_ARCHETYPES]), (ck + 1).cast("int"))
-    uplift =F.when(nk == 2, F.lit(COST_UPLIFT[2])).when(nk == 3, F.lit(COST_UPLIFT[3])).otherwise(F.lit(0.0))
+    uplift = F.when(nk == 2, F.lit(COST_UPLIFT[2])).when(nk == 3, F.lit(COST_UPLIFT[3])).otherwise(F.lit(0.0))
 
     blue = _r4(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)))
     out = rows.select(
