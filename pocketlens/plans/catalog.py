@@ -19,6 +19,7 @@ from ..operators import checks, gold, outliers, reports, silver, trends, waterfa
 from ..session import scratch_path
 from ..sources import files
 from ..sources.adapter import transactions_from_orders
+from ..sources.generate import profile_transactions, tier_histogram
 from . import questions as Q
 from .sql import register_views, run_readonly_sql
 
@@ -124,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "active_alerts": _q(lambda L: _no_detected_at(gold.active_alerts(L.alerts))),
     "data_checks": _q(lambda L: checks.run_checks(L.fact, L.customers)),
     "dataset_status": _q(lambda L: checks.dataset_status(L.bronze, "driver tables")),
+    "profile_transactions": _q(lambda L: profile_transactions(L.bronze)),
+    "tier_histogram": _q(lambda L: tier_histogram(L.bronze)),
     # waterfall and trends
     "compute_waterfall": _q(lambda L: waterfall.compute_waterfall(L.bronze)),
     "compute_waterfall_filtered": _q(

@@ -512,7 +512,23 @@ def build() -> dict[str, str]:
     cust = customers_cte()
     active_cols = "country, pso, year, alert_type, severity, avg_margin_pct, avg_deduction_pct, avg_bonus_pct"
 
+    row_pcts = (
+        "\npcts AS (SELECT (pocket_price - standard_cost) / nullif(pocket_price, 0e0) * 100e0 AS m, "
+        "pocket_price / nullif(blue_jobber_price, 0e0) * 100e0 AS rl, "
+        "deductions / nullif(blue_jobber_price, 0e0) * 100e0 AS d, material_cost > standard_cost AS dq "
+        "FROM transactions)"
+    )
+    mean = lambda c: r(f"{dbl(xsum(c))} / count({c})", 4)
+    tier_bins = [(-999, 5, "Tier 5 Destructive"), (5, 15, "Tier 4 Low"), (15, 25, "Tier 3 Acceptable"),
+                 (25, 35, "Tier 2 Healthy"), (35, 999, "Tier 1 Premium")]
+    tier_case = "CASE " + " ".join(f"WHEN m > {lo}e0 AND m <= {hi}e0 THEN '{t}'" for lo, hi, t in tier_bins) + " END"
     return {
+        "profile_transactions": with_(*BASE, row_pcts)
+        + f"""SELECT count(*) AS rows, {mean("m")} AS avg_margin_pct, {mean("rl")} AS avg_realization_pct,
+       {mean("d")} AS avg_deduction_pct, CAST(count_if(dq) AS BIGINT) AS dq_rows,
+       CAST(count_if(d > 25) AS BIGINT) AS high_deduction_rows, CAST(count_if(m < 10) AS BIGINT) AS critical_margin_rows
+FROM pcts""",
+        "tier_histogram": with_(*BASE, row_pcts) + f"SELECT {tier_case} AS tier, count(*) AS rows FROM pcts GROUP BY 1",
         "bronze_transactions": with_(*BASE) + "SELECT * FROM transactions",
         "bronze_csv_roundtrip": with_(*BASE) + "SELECT * FROM transactions",
         "silver_transactions": with_(*SILVER_CHAIN) + "SELECT * FROM silver",
