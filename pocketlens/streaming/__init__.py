@@ -1 +1,5 @@
-"""streaming."""
+"""Structured Streaming entry points."""
+
+from .ingest import default_checkpoint, ingest_csv
+
+__all__ = ["default_checkpoint", "ingest_csv"]

@@ -1,0 +1,36 @@
+"""Incremental bronze ingest: each landed file is appended exactly once."""
+
+import os
+
+from pocketlens.schema import BRONZE_COLUMNS
+from pocketlens.session import scratch_path
+from pocketlens.streaming import ingest_csv
+
+HEADER = ",".join(BRONZE_COLUMNS)
+
+
+def local(path):
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
+def land(folder, name, n, start):
+    os.makedirs(local(folder), exist_ok=True)
+    lines = [HEADER] + [
+        f"USA,2025,M{i % 3},OEM,C-{start + i},G,{i + 1},100,10,90,5,85,Americas,50,30,2025-01-0{1 + i % 9} 00:00:00"
+        for i in range(n)
+    ]
+    with open(os.path.join(local(folder), name), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+
+
+def test_exactly_once_append(spark):
+    landing, bronze = scratch_path(spark, "landing"), scratch_path(spark, "bronze-stream")
+    land(landing, "a.csv", 5, 0)
+    assert ingest_csv(spark, landing, bronze) == 5
+    assert spark.read.parquet(bronze).count() == 5
+    land(landing, "b.csv", 3, 100)
+    assert ingest_csv(spark, landing, bronze) == 3
+    assert ingest_csv(spark, landing, bronze) == 0  # nothing new
+    df = spark.read.parquet(bronze)
+    assert df.count() == 8 and df.columns == BRONZE_COLUMNS
+    assert df.filter("sold_to = 'C-102'").first().sales_qty == 3.0
