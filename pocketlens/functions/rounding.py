@@ -39,7 +39,7 @@ def exact(c: Column) -> Column:
     return c.cast(EXACT_TYPE)
 
 
-def exact_sum(c: Column) -> Column:
+def exact_sum(c: Column | str) -> Column:
     """Order-independent sum of a double expression at 8 decimals (NULLs skipped).
 
     Equal to ``sum(CAST(c AS DECIMAL(28,8)))`` but computed with three
@@ -52,7 +52,12 @@ def exact_sum(c: Column) -> Column:
     Exact for values carrying at most 8 decimals with ``|w| < 2e7``; beyond
     that the double itself holds fewer decimals and the last digit follows
     the double.
+
+    ``c`` may be SQL expression text (preferred: one JVM call builds the whole
+    expression) or a Column.
     """
+    if isinstance(c, str):
+        return F.expr(exact_sum_sql(c))
     whole = F.floor(c)
     units = F.floor((c - whole) * F.lit(1e8) + F.lit(0.5))
     hi = F.floor(units / F.lit(1e4))
@@ -60,6 +65,17 @@ def exact_sum(c: Column) -> Column:
     return _recombine(F.sum(whole), F.sum(hi), F.sum(lo))
 
 
+def exact_sum_sql(x: str) -> str:
+    """SQL text of :func:`exact_sum` over the SQL expression ``x``."""
+    w = f"({x})"
+    units = f"floor(({w} - floor({w})) * 1e8D + 0.5D)"
+    hi = f"floor({units} / 1e4D)"
+    lo = f"({units} - {hi} * 10000)"
+    frac_units = f"CAST(CAST(sum({hi}) AS DECIMAL(29,0)) * 10000 + CAST(sum({lo}) AS DECIMAL(29,0)) AS DECIMAL(29,0))"
+    frac = f"CAST({frac_units} * CAST(0.00000001 AS DECIMAL(8,8)) AS DECIMAL(37,8))"
+    return f"(CAST(sum(floor({w})) AS DECIMAL(37,8)) + {frac})"
+
+
 def _recombine(whole: Column, hi: Column, lo: Column) -> Column:
     """``whole + (hi * 1e4 + lo) * 1e-8`` as DECIMAL(38,8), with no precision loss."""
     frac_units = (hi.cast("decimal(29,0)") * F.lit(10000) + lo.cast("decimal(29,0)")).cast("decimal(29,0)")

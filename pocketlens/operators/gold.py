@@ -104,15 +104,14 @@ def customer_profitability(fact: DataFrame, keys: list[str] | None = None) -> Da
     ``keys`` defaults to (sold_to, corporate_group, country, pso, year).
     """
     keys = keys or CUSTOMER_KEYS
-    qty = F.col("sales_qty")
     agg = fact.groupBy(*keys).agg(
-        exact_sum(qty).alias("_qty"),
-        exact_sum(F.col("pocket_revenue")).alias("_rev"),
-        exact_sum(F.col("margin_dollars")).alias("_md"),
-        exact_sum(F.col("blue_jobber_price") * qty).alias("_blue"),
-        exact_sum(F.col("deductions") * qty).alias("_ded"),
-        exact_sum(F.col("bonuses") * qty).alias("_bon"),
-        exact_sum(F.col("invoice_price") * qty).alias("_inv"),
+        exact_sum("sales_qty").alias("_qty"),
+        exact_sum("pocket_revenue").alias("_rev"),
+        exact_sum("margin_dollars").alias("_md"),
+        exact_sum("blue_jobber_price * sales_qty").alias("_blue"),
+        exact_sum("deductions * sales_qty").alias("_ded"),
+        exact_sum("bonuses * sales_qty").alias("_bon"),
+        exact_sum("invoice_price * sales_qty").alias("_inv"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
     out = agg.select(
@@ -129,20 +128,20 @@ def customer_profitability(fact: DataFrame, keys: list[str] | None = None) -> Da
     return out.withColumn("margin_tier", margin_tier(F.col("wavg_margin_pct")))
 
 
-def _exact_avg_2dp(c: Column) -> Column:
+def _exact_avg_2dp(name: str) -> Column:
     """Average of a 2-dp column: exact decimal sum over the non-null count."""
-    n = F.count(c)
-    return F.when(n > 0, exact_sum(c).cast("double") / n)
+    n = F.count(F.col(name))
+    return F.when(n > 0, exact_sum(name).cast("double") / n)
 
 
 def segment_averages(fact: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Unweighted averages of the rounded row percentages per segment (2 dp)."""
     keys = keys or SEGMENT_KEYS
     return fact.groupBy(*keys).agg(
-        _r2(_exact_avg_2dp(F.col("deduction_pct"))).alias("avg_deduction_pct"),
-        _r2(_exact_avg_2dp(F.col("bonus_pct"))).alias("avg_bonus_pct"),
-        _r2(_exact_avg_2dp(F.col("margin_pct"))).alias("avg_margin_pct"),
-        _r2(_exact_avg_2dp(F.col("realization_pct"))).alias("avg_realization_pct"),
+        _r2(_exact_avg_2dp("deduction_pct")).alias("avg_deduction_pct"),
+        _r2(_exact_avg_2dp("bonus_pct")).alias("avg_bonus_pct"),
+        _r2(_exact_avg_2dp("margin_pct")).alias("avg_margin_pct"),
+        _r2(_exact_avg_2dp("realization_pct")).alias("avg_realization_pct"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
 

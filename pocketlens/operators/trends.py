@@ -67,12 +67,11 @@ def period_metrics(df: DataFrame, year: int | None = None) -> DataFrame:
     rows = df.filter(F.col("sales_qty") > 0)
     if year is not None:
         rows = rows.filter(F.col("year") == F.lit(year))
-    qty, pocket, std = F.col("sales_qty"), F.col("pocket_price"), F.col("standard_cost")
     agg = rows.groupBy("year").agg(
         *[wavg(src).alias(f"_{name}") for name, src in PERIOD_WAVGS],
-        exact_sum(qty).alias("_qty"),
-        exact_sum(pocket * qty).alias("_rev"),
-        exact_sum((pocket - std) * qty).alias("_md"),
+        exact_sum("sales_qty").alias("_qty"),
+        exact_sum("pocket_price * sales_qty").alias("_rev"),
+        exact_sum("(pocket_price - standard_cost) * sales_qty").alias("_md"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
     unit_margin = F.col("_wavg_pocket_price") - F.col("_wavg_standard_cost")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import TxnFilter, apply_filters, require_columns
 from ..functions.ratios import guarded_ratio
-from ..functions.rounding import exact_sum, round_half_up, total_to_double
+from ..functions.rounding import exact_sum, exact_sum_sql, round_half_up, total_to_double
 from ..schema import WATERFALL_REQUIRED
 
 # (output name, input column) of the seven weighted averages.
@@ -47,17 +47,20 @@ WATERFALL_OUTPUTS = [
 ]
 
 
-def wavg(column: str | Column, weight: str | Column = "sales_qty") -> Column:
+def wavg(column: str, weight: str = "sales_qty") -> Column:
     """Aggregate: sum(x * w) / sum(w) over rows where x is not NULL; NULL if sum(w) = 0.
 
     SQL semantics (NULL measures are skipped, not propagated).  Both sums are
-    exact decimals, so the result does not depend on row order.
+    exact (see :func:`exact_sum`), so the result does not depend on row order.
+    ``column`` and ``weight`` are SQL expression text.
     """
-    x = F.col(column) if isinstance(column, str) else column
-    w = F.col(weight) if isinstance(weight, str) else weight
-    num = exact_sum(x * w).cast("double")
-    den = exact_sum(F.when(x.isNotNull(), w)).cast("double")
-    return num / F.nullif(den, F.lit(0.0))
+    return F.expr(wavg_sql(column, weight))
+
+
+def wavg_sql(x: str, w: str = "sales_qty") -> str:
+    num = exact_sum_sql(f"({x}) * ({w})")
+    den = exact_sum_sql(f"CASE WHEN ({x}) IS NOT NULL THEN ({w}) END")
+    return f"(CAST({num} AS DOUBLE) / nullif(CAST({den} AS DOUBLE), 0D))"
 
 
 def _r4(c: Column) -> Column:
@@ -84,12 +87,11 @@ def compute_waterfall(
     require_columns(df, WATERFALL_REQUIRED)
     dims = list(group_by or [])
     rows = apply_filters(df, filters).filter(F.col("sales_qty") > 0)
-    qty, pocket, std = F.col("sales_qty"), F.col("pocket_price"), F.col("standard_cost")
     aggs = [wavg(src).alias(f"_w_{name}") for name, src in WAVG_OUTPUTS] + [
-        exact_sum(qty).alias("_qty"),
+        exact_sum("sales_qty").alias("_qty"),
         F.count(F.lit(1)).alias("transaction_count"),
-        exact_sum(pocket * qty).alias("_rev"),
-        exact_sum((pocket - std) * qty).alias("_md"),
+        exact_sum("pocket_price * sales_qty").alias("_rev"),
+        exact_sum("(pocket_price - standard_cost) * sales_qty").alias("_md"),
     ]
     agg = rows.groupBy(*dims).agg(*aggs) if dims else rows.agg(*aggs)
     agg = agg.filter(F.col("transaction_count") > 0)

@@ -62,8 +62,8 @@ def q_deduction_by_material(bronze: DataFrame, n: int = 1) -> DataFrame:
         bronze.filter(qty > 0)
         .groupBy("material")
         .agg(
-            exact_sum(F.col("deductions") * qty).alias("_ded"),
-            exact_sum(F.col("blue_jobber_price") * qty).alias("_blue"),
+            exact_sum("deductions * sales_qty").alias("_ded"),
+            exact_sum("blue_jobber_price * sales_qty").alias("_blue"),
             F.count(F.lit(1)).alias("transaction_count"),
         )
         .select(
@@ -79,8 +79,8 @@ def q_deduction_by_material(bronze: DataFrame, n: int = 1) -> DataFrame:
 def q_top_customers_revenue(fact: DataFrame, n: int = 5) -> DataFrame:
     """Q6: top customers by pocket revenue over all years (one aggregation)."""
     agg = fact.groupBy("sold_to", "corporate_group").agg(
-        exact_sum(F.col("pocket_revenue")).alias("_rev"),
-        exact_sum(F.col("margin_dollars")).alias("_md"),
+        exact_sum("pocket_revenue").alias("_rev"),
+        exact_sum("margin_dollars").alias("_md"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
     out = agg.select(
@@ -129,8 +129,8 @@ def q_bonus_by_material(bronze: DataFrame, n: int = 5) -> DataFrame:
         bronze.filter(qty > 0)
         .groupBy("material")
         .agg(
-            exact_sum(F.col("bonuses") * qty).alias("_bon"),
-            exact_sum(F.col("invoice_price") * qty).alias("_inv"),
+            exact_sum("bonuses * sales_qty").alias("_bon"),
+            exact_sum("invoice_price * sales_qty").alias("_inv"),
             F.count(F.lit(1)).alias("transaction_count"),
         )
     )

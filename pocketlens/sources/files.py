@@ -20,6 +20,7 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"
 
 # Clustering keys of the materialised layers: (partition column, sort columns).
 LAYER_LAYOUT = {
+    "bronze": ("year", ["year", "country"]),
     "silver": ("year", ["year", "country"]),
     "waterfall_fact": ("year", ["year", "country", "pso"]),
     "customer_profitability": ("year", ["year", "pso"]),
