@@ -89,14 +89,21 @@ def write_bronze(df: DataFrame, path: str, truncate: bool = False) -> int:
 
 def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by: str | None = None,
                 cluster_by: list[str] | None = None, num_partitions: int | None = None) -> None:
-    """Overwrite a layer table, partitioned by year and clustered on its keys."""
+    """Overwrite a layer table, partitioned by year and clustered on its keys.
+
+    Rows are range-partitioned on the clustering keys plus a hash of the whole
+    row, so the sampled range bounds can split a key value that holds a large
+    share of the rows over several writer tasks; each file still covers a
+    narrow key range and is sorted by the clustering keys.
+    """
     if layer is not None:
         partition_by, cluster_by = LAYER_LAYOUT[layer]
     cluster_by = cluster_by or ([partition_by] if partition_by else [])
     out = df
     if cluster_by:
         n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = out.repartitionByRange(n, *cluster_by).sortWithinPartitions(*cluster_by)
+        row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+        out = out.repartitionByRange(n, *[F.col(c) for c in cluster_by], row_hash).sortWithinPartitions(*cluster_by)
     writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
