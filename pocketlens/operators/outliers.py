@@ -67,15 +67,23 @@ SUMMARY_COLUMNS = [
 def quantile_bounds(df: DataFrame, column: str = "sales_qty", method: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """One row ``(_p33, _p67)``: linear-interpolated percentiles of ``column``.
 
-    ``method="exact"`` uses ``percentile`` (state grows with the number of
-    *distinct* values, not rows); ``"approx"`` uses ``percentile_approx`` with
-    bounded state for near-unique quantities at very large scale.
+    ``method="exact"`` first counts rows per distinct value with a distributed,
+    map-side-combined ``groupBy``, then takes the weighted ``percentile`` of that
+    histogram: the single final task merges at most one entry per distinct
+    value, however many rows there are (a plain global ``percentile`` would
+    merge every task's value map there).  ``"approx"`` uses
+    ``percentile_approx`` (bounded state) for near-unique values at very large
+    scale.
     """
     lo, hi = S.VOLUME_BAND_QUANTILES
+    probs = F.array(F.lit(lo), F.lit(hi))
     if method == "exact":
-        q = F.percentile(F.col(column), F.array(F.lit(lo), F.lit(hi)))
-    elif method == "approx":
-        q = F.percentile_approx(F.col(column), F.array(F.lit(lo), F.lit(hi)), accuracy)
+        hist = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+        return hist.agg(F.percentile(F.col(column), probs, F.col("_n")).alias("_q")).select(
+            F.col("_q")[0].cast("double").alias("_p33"), F.col("_q")[1].cast("double").alias("_p67")
+        )
+    if method == "approx":
+        q = F.percentile_approx(F.col(column), probs, accuracy)
     else:
         raise ValueError(f"unknown method {method!r}")
     return df.agg(q.alias("_q")).select(
