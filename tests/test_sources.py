@@ -103,3 +103,15 @@ def test_write_layer_splits_a_hot_key(spark):
     files = [f for f in os.listdir(local(path) + "/year=2025") if f.endswith(".parquet")]
     assert len(files) >= 4
     assert spark.read.parquet(path).count() == 4000
+
+
+def test_build_layers(spark):
+    from pocketlens.plans.layers import build_layers
+
+    bronze = transactions_from_orders(spark, SF_SMALL)
+    built = build_layers(spark, bronze, scratch_path(spark, "layers"))
+    assert set(built.paths) == {"silver", "waterfall_fact", "customer_profitability", "waterfall_alerts"}
+    assert built.tables["silver"].count() == built.tables["waterfall_fact"].count() == 5343
+    tiers = built.tables["customer_profitability"].groupBy("margin_tier").count().collect()
+    assert sum(r["count"] for r in tiers) == built.tables["customer_profitability"].count()
+    assert built.tables["waterfall_alerts"].filter("alert_type IS NULL").count() == 0
