@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.classify import z_band
 from ..functions.filters import require_columns
+from ..functions.quantiles import exact_percentiles
 from ..functions.ratios import metric_columns
 from ..functions.rounding import round_half_up
 from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, join_small, one_row
@@ -67,21 +68,16 @@ SUMMARY_COLUMNS = [
 def quantile_bounds(df: DataFrame, column: str = "sales_qty", method: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """One row ``(_p33, _p67)``: linear-interpolated percentiles of ``column``.
 
-    ``method="exact"`` first counts rows per distinct value with a distributed,
-    map-side-combined ``groupBy``, then takes the weighted ``percentile`` of that
-    histogram: the single final task merges at most one entry per distinct
-    value, however many rows there are (a plain global ``percentile`` would
-    merge every task's value map there).  ``"approx"`` uses
-    ``percentile_approx`` (bounded state) for near-unique values at very large
-    scale.
+    ``method="exact"`` (default) gives the same values as ``percentile`` but
+    selects them by value range over a distributed histogram
+    (:func:`~pocketlens.functions.quantiles.exact_percentiles`), so no task
+    merges all distinct values.  ``"approx"`` uses ``percentile_approx``.
     """
     lo, hi = S.VOLUME_BAND_QUANTILES
     probs = F.array(F.lit(lo), F.lit(hi))
     if method == "exact":
-        hist = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-        return hist.agg(F.percentile(F.col(column), probs, F.col("_n")).alias("_q")).select(
-            F.col("_q")[0].cast("double").alias("_p33"), F.col("_q")[1].cast("double").alias("_p67")
-        )
+        q = exact_percentiles(df, column, [lo, hi])
+        return q.select(F.col("_q")[0].cast("double").alias("_p33"), F.col("_q")[1].cast("double").alias("_p67"))
     if method == "approx":
         q = F.percentile_approx(F.col(column), probs, accuracy)
     else:

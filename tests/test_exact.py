@@ -38,3 +38,19 @@ def test_round_half_up(spark):
     got = [r[0] for r in df.select(round_half_up(F.col("x"), 0)).collect()]
     assert got[:2] == [3.0, -2.0] and got[4] is None
     assert df.select(round_half_up(F.col("x"), 4)).collect()[3][0] == 12.345
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    st.lists(st.integers(min_value=-50, max_value=50), min_size=1, max_size=80),
+    st.lists(st.floats(min_value=0.0, max_value=1.0), min_size=1, max_size=4),
+    st.integers(min_value=1, max_value=6),
+)
+def test_exact_percentiles_match_builtin(spark, values, probs, buckets):
+    from pocketlens.functions.quantiles import exact_percentiles
+
+    df = spark.createDataFrame([(v / 4.0,) for v in values], "q double")
+    want = df.agg(F.percentile("q", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert exact_percentiles(df, "q", probs, buckets=buckets, single_task_max=0).first()[0] == want
+    assert exact_percentiles(df, "q", probs, buckets=buckets).first()[0] == want
+    spark.catalog.clearCache()
