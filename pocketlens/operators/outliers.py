@@ -18,7 +18,6 @@ rows.  Rows are never sorted or shuffled by peer group.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ from ..functions.quantiles import exact_percentiles
 from ..functions.ratios import metric_columns
 from ..functions.rounding import round_half_up
 from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, join_small, one_row
-from ..session import scratch_dir
+from ..plans.reuse import shared
 
 FLAG_COLUMNS = [
     "sold_to",
@@ -125,7 +124,7 @@ def detect_outliers(
     keys: list[str] | None = None,
     quantile_method: str = "exact",
     max_broadcast_groups: int = DEFAULT_MAX_BROADCAST_ROWS,
-    reuse: str = "persist",
+    reuse: str = "auto",
 ) -> DataFrame:
     """One row per (transaction, metric) breach.
 
@@ -137,17 +136,16 @@ def detect_outliers(
     ``|`` and is NULL when a part is NULL (such rows are not scored).
 
     The input is read by three passes (percentiles, peer statistics, scoring).
-    ``reuse`` decides how the projected input is shared between them:
-    ``"persist"`` (memory and disk, recomputed from lineage if an executor is
-    lost), ``"checkpoint"`` (written to the session's checkpoint folder, which
-    cuts a long lineage) or ``"none"`` (each pass recomputes it).
+    ``reuse`` decides how the projected input is shared between them (see
+    :func:`~pocketlens.plans.reuse.shared`): by default a plain table scan is
+    simply read again and a computed lineage is persisted once.
     """
     require_columns(df, S.OUTLIER_REQUIRED)
     keys = [k for k in (keys or []) if k not in FLAG_COLUMNS]
     metrics = [m for m, _ in S.OUTLIER_METRICS]
     base = metric_columns(df.filter(F.col("sales_qty") > 0))
     needed = [*keys, *[c for c in FLAG_COLUMNS[:7]], *metrics]
-    rows = _shared(base.select(*needed), reuse)
+    rows = shared(base.select(*needed), reuse)
     rows = volume_bands(rows, method=quantile_method)
     rows = rows.withColumn(
         "peer_group", F.concat(F.col("material"), F.lit("|"), F.col("country"), F.lit("|"), F.col("volume_band"))
@@ -200,17 +198,6 @@ def detect_outliers(
     )
 
 
-def _shared(df: DataFrame, reuse: str) -> DataFrame:
-    if reuse == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if reuse == "checkpoint":
-        scratch_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    if reuse == "none":
-        return df
-    raise ValueError(f"unknown reuse {reuse!r}; expected 'persist', 'checkpoint' or 'none'")
-
-
 def _breach(z: Column, direction: str, z_med: float) -> Column:
     if direction == "low_is_bad":
         return F.coalesce(z <= -z_med, F.lit(False))

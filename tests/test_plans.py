@@ -55,3 +55,11 @@ def test_filters_reach_the_scan(spark):
 def test_column_pruning(spark):
     plan = plan_of(E.queries()["compute_waterfall"](spark, SF_SMALL))
     assert "l_returnflag" not in plan and "o_totalprice" not in plan and "c_acctbal" not in plan
+
+
+def test_reuse_auto(spark):
+    from pocketlens.plans.reuse import is_plain_scan
+    from pocketlens.sources.adapter import read_table, transactions_from_orders
+
+    assert is_plain_scan(read_table(spark, SF_SMALL, "lineitem").filter("l_quantity > 1").select("l_quantity"))
+    assert not is_plain_scan(transactions_from_orders(spark, SF_SMALL))
