@@ -64,9 +64,8 @@ def exact_percentiles(
         .withColumn("_start", F.col("_end") - F.col("_bn"))
         .withColumn("_total", F.max("_end").over(Window.partitionBy()))
     )
-    targets = bucket_ranks.select("_b", "_start", "_end", "_total").crossJoin(
-        df.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "_i int, _p double")
-    )
+    wanted_probs = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probs)])
+    targets = bucket_ranks.select("_b", "_start", "_end", "_total", F.inline(wanted_probs))  # B x len(probs) rows
     pos = (F.col("_total") - 1).cast("double") * F.col("_p")
     targets = targets.withColumn("_pos", pos).select(
         "_i",

@@ -7,8 +7,8 @@ the metric's bad tail (``z <= -1.8`` for low-is-bad, ``z >= 1.8`` for
 high-is-bad); ``|z| >= 2.5`` is HIGH, otherwise MEDIUM.  Groups with fewer than
 three rows, or with zero spread, are not scored.
 
-Plan: (1) one global aggregate for the two percentiles, joined back as a
-broadcast of its single row; (2) one ``groupBy(peer_group)`` computing mean,
+Plan: (1) one global aggregate for the two percentiles, read back as a
+scalar subquery (evaluated once, no join); (2) one ``groupBy(peer_group)`` computing mean,
 sample std and count of all four metrics at once (combined map-side, so a hot
 peer group costs one row per task in the shuffle); (3) the statistics joined
 back with a size-checked broadcast; (4) rows without any breach are dropped
@@ -27,7 +27,7 @@ from ..functions.filters import require_columns
 from ..functions.quantiles import exact_percentiles
 from ..functions.ratios import metric_columns
 from ..functions.rounding import round_half_up
-from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, join_small, one_row
+from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, join_small
 from ..plans.reuse import shared
 
 FLAG_COLUMNS = [
@@ -90,10 +90,12 @@ def volume_bands(df: DataFrame, column: str = "sales_qty", method: str = "exact"
     """Add a LOW / MEDIUM / HIGH band: right-closed cuts at p33 and p67.
 
     When p33 == p67 every row is MEDIUM.  NULL quantities get a NULL band.
+    The two bounds are one scalar subquery, run once and bound to a column, so
+    the rows are not joined with anything.
     """
     low, medium, high = S.VOLUME_BANDS
-    bounds = one_row(quantile_bounds(df, column, method))
-    q, p33, p67 = F.col(column), F.col("_p33"), F.col("_p67")
+    bounds = quantile_bounds(df, column, method).select(F.struct("_p33", "_p67")).scalar()
+    q, p33, p67 = F.col(column), F.col("_bounds._p33"), F.col("_bounds._p67")
     band = (
         F.when(q.isNull(), F.lit(None).cast("string"))
         .when(p33 == p67, F.lit(medium))
@@ -101,7 +103,7 @@ def volume_bands(df: DataFrame, column: str = "sales_qty", method: str = "exact"
         .when(q <= p67, F.lit(medium))
         .otherwise(F.lit(high))
     )
-    return df.crossJoin(bounds).withColumn(output, band).drop("_p33", "_p67")
+    return df.withColumn("_bounds", bounds).withColumn(output, band).drop("_bounds")
 
 
 def peer_statistics(rows: DataFrame, metrics: list[str]) -> DataFrame:

@@ -155,10 +155,8 @@ def _payload_parts(wf: DataFrame, flags: DataFrame | None, bridge: DataFrame | N
             F.struct(*[_typed(c) for c in PAYLOAD_OUTLIER_FIELDS]).alias("o"),
         )
         ordered = F.transform(F.array_sort(F.collect_list(keyed)), lambda e: e["o"])
-        outl = top.agg(ordered.alias("_top")).select(
-            F.when(F.size("_top") > 0, F.col("_top")).alias("top_outliers")
-        )
-        parts = parts.crossJoin(outl)
+        outl = top.agg(ordered.alias("_top")).select(F.when(F.size("_top") > 0, F.col("_top")))
+        parts = parts.withColumn("top_outliers", outl.scalar())
     else:
         parts = parts.withColumn("top_outliers", F.lit(None))
     if bridge is not None:
@@ -171,9 +169,9 @@ def _payload_parts(wf: DataFrame, flags: DataFrame | None, bridge: DataFrame | N
                     _typed("current_margin_pct", F.col("current.wavg_margin_pct")),
                     *[_typed(e) for e in PAYLOAD_BRIDGE_EFFECTS],
                 )
-            ).alias("yoy_bridge")
+            )
         )
-        parts = parts.crossJoin(br)
+        parts = parts.withColumn("yoy_bridge", br.scalar())
     else:
         parts = parts.withColumn("yoy_bridge", F.lit(None))
     return parts

@@ -34,8 +34,3 @@ def join_small(
     if n <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
-
-
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a global (un-grouped) aggregate for broadcast: it has exactly one row."""
-    return F.broadcast(df)

@@ -43,7 +43,14 @@ def test_dedup_is_map_side_combined(plans):
 def test_outlier_stats_broadcast(plans):
     plan = plans["detect_outliers"]
     assert "BroadcastHashJoin" in plan and "Generate" in plan
-    assert "BroadcastNestedLoopJoin" in plan  # the single percentile row
+    assert "Subquery" in plan  # the percentile row is a scalar subquery, not a join
+
+
+def test_no_cross_joins(plans):
+    # one-row inputs are scalar subqueries; nothing pairs rows without a key
+    for name, plan in plans.items():
+        for marker in ("BroadcastNestedLoopJoin", "CartesianProduct"):
+            assert marker not in plan, f"{name} uses {marker}"
 
 
 def test_filters_reach_the_scan(spark):
