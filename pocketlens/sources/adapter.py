@@ -27,11 +27,17 @@ material_cost       r4(standard_cost * (1.05 if size=50 else 0.6))
 (r4 = :func:`round_half_up` at 4 dp.)  The 0.05 invoice offset and the 1.05
 material factor plant INVOICE_MISMATCH and MATERIAL_COST_EXCEEDS_STANDARD rows.
 
-Plan: five equi-joins.  The customer dimension (customer, nation, region) is
-joined first, then orders, then line items, then part; Catalyst picks broadcast
-for sides under ``spark.sql.autoBroadcastJoinThreshold`` (a size-checked
-decision made from file statistics) and sort-merge otherwise, and AQE can still
-switch at run time.  Only the needed columns are read from each file.
+Plan: five equi-joins with the line items as the streamed side of every one:
+line items join orders, then customers, then the nation/region geography, then
+parts.  Each right side is a plain scan (or the tiny geography), so its size
+estimate comes from file statistics and Catalyst broadcasts it only while it is
+under ``spark.sql.autoBroadcastJoinThreshold``, else sort-merges; AQE can still
+switch at run time.  The geography (nation joined to region) is estimated as
+the product of its two inputs, an upper bound on a join's size, and is under
+the threshold at any scale.  (Joining customers or orders to the dimensions
+first would give that side a product estimate too, and Catalyst would then
+broadcast the orders or the line items.)  Filters on country or PSO reach the
+nation and region scans.  Only the needed columns are read from each file.
 """
 
 from __future__ import annotations
@@ -74,9 +80,10 @@ def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
 
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey)
-    ords = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    rows = lineitem.join(ords, lineitem.l_orderkey == ords.o_orderkey).join(part, lineitem.l_partkey == part.p_partkey)
+    rows = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
+    rows = rows.join(customer, rows.o_custkey == customer.c_custkey)
+    rows = rows.join(geo, rows.c_nationkey == geo.n_nationkey)
+    rows = rows.join(part, rows.l_partkey == part.p_partkey)
 
     nk = F.col("n_nationkey") % 5
     ck = F.col("c_custkey") % 5
