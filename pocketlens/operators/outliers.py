@@ -126,7 +126,7 @@ def detect_outliers(
     keys: list[str] | None = None,
     quantile_method: str = "exact",
     max_broadcast_groups: int = DEFAULT_MAX_BROADCAST_ROWS,
-    reuse: str = "auto",
+    reuse: str = "persist",
 ) -> DataFrame:
     """One row per (transaction, metric) breach.
 
@@ -139,8 +139,8 @@ def detect_outliers(
 
     The input is read by three passes (percentiles, peer statistics, scoring).
     ``reuse`` decides how the projected input is shared between them (see
-    :func:`~pocketlens.plans.reuse.shared`): by default a plain table scan is
-    simply read again and a computed lineage is persisted once.
+    :func:`~pocketlens.plans.reuse.shared`): persisted once by default; pass
+    ``"none"`` when ``df`` is a stored table or already persisted.
     """
     require_columns(df, S.OUTLIER_REQUIRED)
     keys = [k for k in (keys or []) if k not in FLAG_COLUMNS]

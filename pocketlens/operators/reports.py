@@ -233,9 +233,11 @@ def analyze(
     needs_payload = action in ("narrative", "full_analysis")
 
     scope = df if filters is None or filters.is_empty() else apply_filters(df, filters)
+    outlier_reuse = "persist"
     if needs_waterfall and needs_outliers:
         scope = scope.persist(StorageLevel.MEMORY_AND_DISK)
         out.cached.append(scope)
+        outlier_reuse = "none"
     if needs_waterfall:
         wf = compute_waterfall(scope)
         if wf.isEmpty():
@@ -243,7 +245,7 @@ def analyze(
             return out
         out.waterfall = wf
     if needs_outliers:
-        out.outliers = detect_outliers(scope)
+        out.outliers = detect_outliers(scope, reuse=outlier_reuse)
     if needs_trends:
         out.bridge = margin_bridge(df, base_year, current_year)
     if needs_payload and out.waterfall is not None:

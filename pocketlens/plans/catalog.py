@@ -55,6 +55,10 @@ class Layers:
     def _given(self, name: str) -> DataFrame | None:
         return (self.tables or {}).get(name)
 
+    def reuse(self, name: str) -> str:
+        """How a multi-pass operator shares this layer: re-read a stored table, persist a lineage."""
+        return "none" if self._given(name) is not None else "persist"
+
     @cached_property
     def bronze(self) -> DataFrame:
         given = self._given("bronze")
@@ -138,9 +142,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "margin_bridge": _q(lambda L: trends.margin_bridge(L.bronze, BASE_YEAR, CURRENT_YEAR, nested=False)),
     # outliers
     "volume_bands": _q(lambda L: outliers.volume_bands(L.bronze)),
-    "detect_outliers": _q(lambda L: outliers.detect_outliers(L.silver)),
-    "outlier_summary": _q(lambda L: outliers.summarize_outliers(outliers.detect_outliers(L.silver), with_band=True)),
-    "top_outliers": _q(lambda L: outliers.top_outliers(outliers.detect_outliers(L.silver), 5)),
+    "detect_outliers": _q(lambda L: outliers.detect_outliers(L.silver, reuse=L.reuse("silver"))),
+    "outlier_summary": _q(
+        lambda L: outliers.summarize_outliers(outliers.detect_outliers(L.silver, reuse=L.reuse("silver")), with_band=True)
+    ),
+    "top_outliers": _q(lambda L: outliers.top_outliers(outliers.detect_outliers(L.silver, reuse=L.reuse("silver")), 5)),
     # ad-hoc SQL and questions
     "readonly_sql": _q(_readonly_layers),
     "q_overall_waterfall": _q(lambda L: Q.q_overall_waterfall(L.bronze)),
@@ -155,7 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_full_analysis": _q(lambda L: Q.q_full_analysis(L.bronze, PSO, BASE_YEAR, CURRENT_YEAR)),
     "q_bonus_by_material": _q(lambda L: Q.q_bonus_by_material(L.bronze)),
     "q_deduction_by_pso": _q(lambda L: Q.q_deduction_by_pso(L.bronze, QUESTION_YEAR)),
-    "q_outlier_customers": _q(lambda L: Q.q_outlier_customers(L.silver)),
+    "q_outlier_customers": _q(lambda L: Q.q_outlier_customers(L.silver, reuse=L.reuse("silver"))),
 }
 
 LAYER_QUERIES.update({name: q.fn for name, q in QUERIES.items() if isinstance(q, _q)})

@@ -149,9 +149,9 @@ def q_deduction_by_pso(bronze: DataFrame, year: int) -> DataFrame:
     return wf.select("pso", "deduction_pct", "deductions", "blue_price", "transaction_count")
 
 
-def q_outlier_customers(silver: DataFrame) -> DataFrame:
+def q_outlier_customers(silver: DataFrame, reuse: str = "persist") -> DataFrame:
     """Q13: customers with flagged high deductions or low margins."""
-    flags = detect_outliers(silver).filter(F.col("metric").isin("deduction_pct", "margin_pct"))
+    flags = detect_outliers(silver, reuse=reuse).filter(F.col("metric").isin("deduction_pct", "margin_pct"))
     return flags.groupBy("sold_to", "corporate_group").agg(
         F.count_if(F.col("metric") == "deduction_pct").alias("deduction_flags"),
         F.count_if(F.col("metric") == "margin_pct").alias("margin_flags"),

@@ -1,8 +1,8 @@
 """Sharing one input between several passes of an operator.
 
 A parquet table scanned with column pruning and pushed filters is cheap to
-read again; a computed lineage (joins, aggregations, windows, shuffles) is not.
-``auto`` persists only the latter.
+read again; a computed lineage (joins, aggregations, shuffles) is not.  The
+caller knows which one it holds and says so with ``reuse``.
 """
 
 from __future__ import annotations
@@ -12,30 +12,17 @@ from pyspark.sql import DataFrame
 
 from ..session import scratch_dir
 
-# Logical operators that only read, filter or project.
-_SCAN_NODES = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "InMemoryRelation", "Range"}
+REUSE_MODES = ("persist", "checkpoint", "none")
 
 
-def is_plain_scan(df: DataFrame) -> bool:
-    """True when the optimized logical plan only scans, filters and projects."""
-    tree = df._jdf.queryExecution().optimizedPlan().toString()
-    for line in tree.splitlines():
-        node = line.lstrip(" :+-").split(" ", 1)[0]
-        if node and node not in _SCAN_NODES:
-            return False
-    return True
-
-
-def shared(df: DataFrame, reuse: str = "auto") -> DataFrame:
+def shared(df: DataFrame, reuse: str = "persist") -> DataFrame:
     """Prepare ``df`` to be read by several passes.
 
     ``persist``: memory and disk (recomputed from lineage if an executor is
     lost); ``checkpoint``: written to the session's checkpoint folder, cutting
-    a long lineage; ``none``: every pass recomputes it; ``auto``: ``none`` for
-    a plain scan, else ``persist``.
+    a long lineage; ``none``: every pass reads ``df`` again (for a stored table
+    or an input that is already persisted).
     """
-    if reuse == "auto":
-        reuse = "none" if is_plain_scan(df) else "persist"
     if reuse == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     if reuse == "checkpoint":
@@ -43,4 +30,4 @@ def shared(df: DataFrame, reuse: str = "auto") -> DataFrame:
         return df.checkpoint(eager=True)
     if reuse == "none":
         return df
-    raise ValueError(f"unknown reuse {reuse!r}; expected 'auto', 'persist', 'checkpoint' or 'none'")
+    raise ValueError(f"unknown reuse {reuse!r}; expected one of {REUSE_MODES}")

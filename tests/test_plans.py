@@ -64,9 +64,21 @@ def test_column_pruning(spark):
     assert "l_returnflag" not in plan and "o_totalprice" not in plan and "c_acctbal" not in plan
 
 
-def test_reuse_auto(spark):
-    from pocketlens.plans.reuse import is_plain_scan
-    from pocketlens.sources.adapter import read_table, transactions_from_orders
-
-    assert is_plain_scan(read_table(spark, SF_SMALL, "lineitem").filter("l_quantity > 1").select("l_quantity"))
-    assert not is_plain_scan(transactions_from_orders(spark, SF_SMALL))
+def test_reuse_modes(spark):
+    from pocketlens.plans.catalog import Layers
+    from pocketlens.plans.reuse import shared
+    from pocketlens.sources.adapter import read_table
+
+    scan = read_table(spark, SF_SMALL, "lineitem").select("l_quantity")
+    assert shared(scan, "none") is scan
+    assert shared(scan, "persist").storageLevel.useDisk
+    with pytest.raises(ValueError):
+        shared(scan, "auto")
+    layers = Layers(spark, SF_SMALL, {"silver": scan})
+    assert layers.reuse("silver") == "none" and layers.reuse("bronze") == "persist"
+
+
+def test_adapter_streams_line_items(plans):
+    # every broadcast side is a dimension: the line items are never built into a hash table
+    joins = [line for line in plans["bronze_transactions"].splitlines() if "BroadcastHashJoin" in line]
+    assert len(joins) == 5 and all("BuildRight" in line for line in joins)
