@@ -17,6 +17,7 @@ from ..operators.silver import silver_transactions
 from ..schema import READONLY_FIRST_WORDS, SQL_RESULT_CAP
 
 VIEW_NAMES = ("transactions", "waterfall_fact", "customer_profitability", "waterfall_alerts")
+EXPLAIN_MODES = ("EXTENDED", "FORMATTED", "CODEGEN", "COST")
 
 
 class ReadOnlyViolation(ValueError):
@@ -60,11 +61,15 @@ def run_readonly_sql(spark: SparkSession, query: str, limit: int | None = SQL_RE
         raise ReadOnlyViolation("Only SELECT (or WITH ... SELECT) queries are permitted.")
     body = query.strip().rstrip(";").strip()
     explain = first == "EXPLAIN"
+    mode = ""
     if explain:
         body = body.split(None, 1)[1] if len(body.split(None, 1)) > 1 else ""
+        word = _first_word(body)
+        if word in EXPLAIN_MODES:
+            mode, body = f" {word}", body.split(None, 1)[1] if len(body.split(None, 1)) > 1 else ""
     wrapped = f"SELECT * FROM (\n{body}\n)"
     if limit is not None:
         wrapped += f" LIMIT {int(limit)}"
     if explain:
-        return spark.sql(f"EXPLAIN {wrapped}")
+        return spark.sql(f"EXPLAIN{mode} {wrapped}")
     return spark.sql(wrapped)

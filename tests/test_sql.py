@@ -56,3 +56,10 @@ def test_explain(spark, views):
 def test_views_registered(spark, views):
     names = {t.name for t in spark.catalog.listTables()}
     assert {"transactions", "waterfall_fact", "customer_profitability", "waterfall_alerts"} <= names
+
+
+def test_explain_modes(spark, views):
+    plan = run_readonly_sql(spark, "EXPLAIN FORMATTED SELECT count(*) FROM waterfall_alerts").first()[0]
+    assert "Physical Plan" in plan and "(1)" in plan
+    with pytest.raises(ParseException):
+        run_readonly_sql(spark, "EXPLAIN FORMATTED DROP VIEW waterfall_alerts")
