@@ -27,7 +27,7 @@ from ..functions.filters import require_columns
 from ..functions.quantiles import exact_percentiles
 from ..functions.ratios import metric_columns
 from ..functions.rounding import round_half_up
-from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, join_small
+from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, join_small, measured
 from ..plans.reuse import shared
 
 FLAG_COLUMNS = [
@@ -90,11 +90,14 @@ def volume_bands(df: DataFrame, column: str = "sales_qty", method: str = "exact"
     """Add a LOW / MEDIUM / HIGH band: right-closed cuts at p33 and p67.
 
     When p33 == p67 every row is MEDIUM.  NULL quantities get a NULL band.
-    The two bounds are one scalar subquery, run once and bound to a column, so
-    the rows are not joined with anything.
+    The one-row bounds are materialised once (persisted, then counted) and read
+    as a scalar subquery bound to a column, so the rows are not joined with
+    anything and the later jobs of :func:`detect_outliers` (peer statistics,
+    scoring) read the cached row instead of recomputing the percentiles.
     """
     low, medium, high = S.VOLUME_BANDS
-    bounds = quantile_bounds(df, column, method).select(F.struct("_p33", "_p67")).scalar()
+    bounds_row, _ = measured(quantile_bounds(df, column, method))
+    bounds = bounds_row.select(F.struct("_p33", "_p67")).scalar()
     q, p33, p67 = F.col(column), F.col("_bounds._p33"), F.col("_bounds._p67")
     band = (
         F.when(q.isNull(), F.lit(None).cast("string"))
