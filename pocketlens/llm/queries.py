@@ -11,13 +11,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, simhash, tokens, url_rules
+from . import chat, mixing, simhash, syncmers, tokens, url_rules
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS = 512
 
+MIX_WEIGHTS = (5, 2, 1)
+MIX_SEED = 42
+
 URL_RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -36,6 +39,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = [(-1, 0, "user", HOSTILE_TEXT), (-1, 1, "assistant", HOSTILE_TEXT)]
@@ -43,6 +51,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(turns.unionByName(hostile)))
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return tokens.count_tokens(docs, public_tokenizers.path(TOKENIZER), MAX_TOKENS)
@@ -55,7 +67,9 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_mix": op4_mix,
     "op6_chat": op6_chat,
+    "op7_syncmers": op7_syncmers,
     "op9_token_counts": op9_token_counts,
     "op10_url_rules": op10_url_rules,
 }
