@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import licenses
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP6_CHAT = r"""
@@ -43,4 +45,8 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_CHAT, "op10_url_rules": OP10_URL_RULES}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license": licenses.oracle_sql(),
+    "op6_chat": OP6_CHAT,
+    "op10_url_rules": OP10_URL_RULES,
+}

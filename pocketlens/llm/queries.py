@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash, syncmers, tokens, url_rules
+from . import chat, licenses, mixing, simhash, syncmers, tokens, url_rules
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -44,6 +44,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = [(-1, 0, "user", HOSTILE_TEXT), (-1, 1, "assistant", HOSTILE_TEXT)]
@@ -68,6 +72,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mix": op4_mix,
+    "op5_license": op5_license,
     "op6_chat": op6_chat,
     "op7_syncmers": op7_syncmers,
     "op9_token_counts": op9_token_counts,
