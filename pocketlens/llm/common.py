@@ -76,3 +76,25 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_column: str) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(named["doc_id"]).orderBy(named["doc_id"]))
     joined = joined.select(*[named[c] for c in names], first.alias("row_of_id_"))
     return joined.filter("row_of_id_ = 1").select(*names).unionByName(docs.filter("doc_id is null"))
+
+
+def rolling_hashes(codes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Polynomial hashes of all runs of the given sizes, put together from runs of powers of two."""
+    with np.errstate(over="ignore"):
+        runs, size, power = {1: codes.astype(np.uint64) + np.uint64(1)}, 1, {1: np.uint64(0x9E3779B97F4A7C15)}
+        while size * 2 <= max(sizes):
+            h = runs[size]
+            runs[size * 2] = h[:-size] * power[size] + h[size:]
+            power[size * 2] = power[size] * power[size]
+            size *= 2
+        out = {}
+        for want in sizes:
+            at, h = 0, None
+            for bit in reversed(range(want.bit_length())):
+                part = 1 << bit
+                if want & part:
+                    piece = runs[part][at:]
+                    h = piece if h is None else h[: len(piece)] * power[part] + piece
+                    at += part
+            out[want] = h[: len(codes) - want + 1]
+        return out

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, simhash, syncmers, tokens, url_rules
+from . import byte_dedup, chat, licenses, mixing, simhash, syncmers, tokens, url_rules
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -59,6 +59,11 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_dedup.digest_kept(byte_dedup.remove_repeats(docs))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return tokens.count_tokens(docs, public_tokenizers.path(TOKENIZER), MAX_TOKENS)
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license": op5_license,
     "op6_chat": op6_chat,
     "op7_syncmers": op7_syncmers,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_url_rules": op10_url_rules,
 }

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, texts_of
+from .common import mix64, rolling_hashes, slices, texts_of
 
 K, S = 20, 9
 #: Anchors that a fingerprint keeps.
@@ -30,38 +30,14 @@ BLOCK = 1 << 17
 RANGES_PER_PARTITION = 4
 MAX_RANGES = 4096
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
 Anchors = list[tuple[int, int]]  # (hash, position), by hash
 
 
-def _rolling(codes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """Polynomial hashes of all runs of the given sizes, put together from runs of powers of two."""
-    with np.errstate(over="ignore"):
-        runs, size, power = {1: codes.astype(np.uint64) + np.uint64(1)}, 1, {1: _BASE}
-        while size * 2 <= max(sizes):
-            h = runs[size]
-            runs[size * 2] = h[:-size] * power[size] + h[size:]
-            power[size * 2] = power[size] * power[size]
-            size *= 2
-        out = {}
-        for want in sizes:
-            at, h = 0, None
-            for bit in reversed(range(want.bit_length())):
-                part = 1 << bit
-                if want & part:
-                    piece = runs[part][at:]
-                    h = piece if h is None else h[: len(piece)] * power[part] + piece
-                    at += part
-            out[want] = h[: len(codes) - want + 1]
-        return out
-
-
 def chosen_kmers(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """(positions, 32-bit hashes) of the closed syncmers of one run of code points."""
     if len(codes) < k:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    runs = _rolling(codes, [s, k])
+    runs = rolling_hashes(codes, [s, k])
     inner = mix64(runs[s])
     width = k - s + 1
     least, size = inner, 1
@@ -97,7 +73,7 @@ def fingerprints_of(texts: list[str], k: int = K, s: int = S, keep: int = SKETCH
         own_h, own_at = h[first[i] : first[i + 1]], at[first[i] : first[i + 1]] - starts[i]
         if 0 < len(c) < k:
             with np.errstate(over="ignore"):
-                whole = _rolling(c, [len(c)])[len(c)]
+                whole = rolling_hashes(c, [len(c)])[len(c)]
             own_h, own_at = mix64(whole) >> np.uint64(32), np.zeros(1, np.int64)
         values, place = np.unique(own_h, return_index=True)
         out.append(list(zip(values[:keep].tolist(), own_at[place[:keep]].tolist())))
