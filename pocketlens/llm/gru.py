@@ -19,6 +19,7 @@ GRAM, BUCKET_BITS = 4, 16
 BUCKETS = 1 << BUCKET_BITS
 MAX_WORDS = 20_000
 MIN_DOCS = 3
+MAX_EPOCHS = 12
 #: Words whose input products a worker keeps, and windows that run at a time.
 CACHE_WORDS = 150_000
 RUN_WINDOWS = 2048
@@ -269,7 +270,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int, updates: int, batch:
     square = {k: np.zeros_like(v) for k, v in model.p.items()}
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     step = 0
-    epochs = -(-updates // max(1, len(texts) // batch))
+    epochs = min(MAX_EPOCHS, -(-updates // max(1, len(texts) // batch)))  # a small sample is soon learned by heart
     windows = [[w[s : s + WINDOW] for s in window_starts(len(w))] for w in split]
     for epoch in range(epochs):
         best = _best_windows(model, windows)
