@@ -32,7 +32,7 @@ BUCKET_BITS = 14
 SKETCH, RANK = 48, 40
 SEED = 11
 #: Words of more than this share of the documents (and of more than so many) carry no weight.
-MAX_FREQUENCY, LEAST_FREQUENT = 0.02, 10
+MAX_FREQUENCY, LEAST_FREQUENT = 0.1, 10
 #: Least cosine of a candidate and share of word weight in common, and least share of common words in order
 #: of a leak: outright, and with the answer.
 MIN_COSINE, MIN_SHARED = 0.15, 0.35
@@ -333,14 +333,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     cosine, and first_word of the place.  Null or empty texts hold no words and leak
     nothing; a null doc_id is returned as null; items of fewer than MIN_ITEM_WORDS words,
     null ones included, are not sought; rows without an item_id are.  Repeated rows give
-    repeated results; of repeated items each is found.  Empty tables give no rows.
+    repeated results; repeated items count once.  Empty tables give no rows.
 
     Document frequencies and the SVD cover all documents.  The driver gets the sums over
     the hashed vocabulary (BUCKETS x SKETCH numbers) and the benchmark in blocks of
     ITEM_BLOCK_BYTES; each block is one more pass over the documents.
     """
     # an item is sent as long as it is, so the blocks are cut by its bytes
-    measured = benchmark.select("item_id", "text").filter("text is not null")
+    measured = benchmark.select("item_id", "text").filter("text is not null").distinct()
     total = measured.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / ITEM_BLOCK_BYTES))
     idf = inverse_frequencies(docs)

@@ -41,7 +41,7 @@ NOTICES = [
     ("gnu lesser general public license", "lgpl"),
     ("licensed under the apache license version 2 0", "apache"),
     ("you may obtain a copy of the license at http www apache org licenses license 2 0", "apache"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
+    ("cc by nc", "cc-by-nc"),
     ("creative commons attribution", "cc-by"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
