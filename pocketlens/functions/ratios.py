@@ -5,7 +5,7 @@ guard      denominator rule                       used by
 =========  =====================================  ===========================
 "null"     ``d = 0`` -> NULL (``nullif``)          gold fact table (rounded)
 "positive" ``d > 0`` else 0.0 (negative d too)     ad-hoc SQL view (unrounded)
-"nonzero"  ``d != 0`` else 0.0                     outlier scoring (unrounded)
+"nonzero"  ``d = 0`` -> 0.0, NULL stays NULL      outlier scoring (unrounded)
 =========  =====================================  ===========================
 
 Every ratio is ``numerator / denominator * 100`` in that operation order.
@@ -42,7 +42,7 @@ def guarded_ratio(num: Column, den: Column, guard: str) -> Column:
     if guard == "positive":
         return F.when(den > 0, num / den * hundred).otherwise(F.lit(0.0))
     if guard == "nonzero":
-        return F.when(den != 0, num / den * hundred).otherwise(F.lit(0.0))
+        return F.when(den == 0, F.lit(0.0)).otherwise(num / den * hundred)
     raise ValueError(f"unknown guard {guard!r}; expected 'null', 'positive' or 'nonzero'")
 
 

@@ -1,25 +1,31 @@
 """Ad-hoc read-only SQL over the registered views.
 
-The reference accepts any text whose first word is SELECT / WITH / EXPLAIN.  We
-keep that check and also wrap the text as a subquery,
-``SELECT * FROM (<q>) LIMIT n``, which only parses when ``q`` is a query: a
-``WITH ... INSERT``, a DDL statement or ``a; b`` is a ParseException.  EXPLAIN
-is answered with Spark's own ``EXPLAIN`` of the wrapped query.  The check does
-not restrict *what* is read; that is the session catalog's job.
+A query must begin with SELECT, WITH or EXPLAIN, and is wrapped as a subquery,
+``SELECT * FROM (<q>)``, which only parses when ``q`` is a query: a ``WITH ...
+INSERT``, a DDL statement or ``a; b`` is a ParseException.  The analysed plan is
+then checked: functions that call into the JVM are refused, and every table it reads
+must be one of the registered views.  EXPLAIN is answered with Spark's own
+``EXPLAIN`` of the wrapped query.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.gold import customer_profitability, waterfall_alerts, waterfall_fact, waterfall_fact_view
 from ..operators.silver import silver_transactions
-from ..schema import READONLY_FIRST_WORDS, SQL_RESULT_CAP
+from ..schema import READONLY_FIRST_WORDS
 
 VIEW_NAMES = ("transactions", "waterfall_fact", "customer_profitability", "waterfall_alerts")
 EXPLAIN_MODES = ("EXTENDED", "FORMATTED", "CODEGEN", "COST")
 
 
+# Functions that reach code or files outside the query.
+JVM_CALLS = re.compile(r"\b(reflect|java_method|try_reflect|callmethodviareflection)\s*\(", re.IGNORECASE)
+
+
 class ReadOnlyViolation(ValueError):
     """The text is not a single read-only query."""
 
@@ -50,15 +56,33 @@ def _first_word(query: str) -> str:
     return q.split()[0].upper() if q else ""
 
 
-def run_readonly_sql(spark: SparkSession, query: str, limit: int | None = SQL_RESULT_CAP) -> DataFrame:
-    """Run one read-only query; at most ``limit`` rows (``None`` = no cap).
+def _relations(plan: str) -> set[str]:
+    """Names of the relations in the parsed (not yet resolved) plan."""
+    return {m.strip("[] ").replace("`", "").lower() for m in re.findall(r"'UnresolvedRelation (\[[^\]]*\])", plan)}
+
+
+def _check(spark: SparkSession, query: str) -> None:
+    """Refuse calls into the JVM and relations other than the views and the query's own CTEs."""
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    text = parsed.toString()
+    called = JVM_CALLS.search(query) or JVM_CALLS.search(text)
+    if called:
+        raise ReadOnlyViolation(f"the function {called[1]} is not permitted")
+    own = {m.lower() for m in re.findall(r"(\w+)\s*(?:\([^()]*\))?\s+AS\s*\(", query, re.IGNORECASE)}
+    foreign = _relations(text) - set(VIEW_NAMES) - own
+    if foreign or "'UnresolvedTableValuedFunction" in text:
+        raise ReadOnlyViolation(f"only the views {', '.join(VIEW_NAMES)} can be read, not {sorted(foreign) or 'table functions'}")
+
+
+def run_readonly_sql(spark: SparkSession, query: str, limit: int | None = None) -> DataFrame:
+    """Run one read-only query; all rows, or at most ``limit`` if it is given.
 
-    Raises :class:`ReadOnlyViolation` for anything but SELECT / WITH / EXPLAIN,
-    and Spark's ParseException for text that is not a single query.
+    Raises :class:`ReadOnlyViolation` for anything but SELECT / WITH / EXPLAIN over the
+    registered views, and Spark's ParseException for text that is not a single query.
     """
     first = _first_word(query)
     if first not in READONLY_FIRST_WORDS:
-        raise ReadOnlyViolation("Only SELECT (or WITH ... SELECT) queries are permitted.")
+        raise ReadOnlyViolation(f"a query begins with one of {', '.join(READONLY_FIRST_WORDS)}")
     body = query.strip().rstrip(";").strip()
     explain = first == "EXPLAIN"
     mode = ""
@@ -70,6 +94,7 @@ def run_readonly_sql(spark: SparkSession, query: str, limit: int | None = SQL_RE
     wrapped = f"SELECT * FROM (\n{body}\n)"
     if limit is not None:
         wrapped += f" LIMIT {int(limit)}"
+    _check(spark, wrapped)
     if explain:
         return spark.sql(f"EXPLAIN{mode} {wrapped}")
     return spark.sql(wrapped)

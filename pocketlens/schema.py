@@ -192,4 +192,3 @@ TIER_LABELS = [label for label, _ in MARGIN_TIERS] + [MARGIN_TIER_FLOOR]
 
 # Read-only SQL.
 READONLY_FIRST_WORDS = ("SELECT", "WITH", "EXPLAIN")
-SQL_RESULT_CAP = 30

@@ -47,6 +47,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if current:
             sc.setCheckpointDir(current)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="pocketlens-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current

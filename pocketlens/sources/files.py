@@ -8,14 +8,18 @@ a large year is spread over many tasks and each file holds a narrow key range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BRONZE_COLUMNS, TRANSACTION_SCHEMA
 
+log = logging.getLogger(__name__)
+
 NULL_TOKENS = ("", "NULL", "null")
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 # Clustering keys of the materialised layers: (partition column, sort columns).
@@ -27,47 +31,59 @@ LAYER_LAYOUT = {
 }
 
 
-def _string_schema(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-
-
-def read_transactions_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read headered CSV transactions and conform them to :data:`TRANSACTION_SCHEMA`.
 
-    ``columns`` is the header order of the files (defaults to the bronze order).
+    Columns are found by their header name, in any order and case.  Unknown, repeated
+    and missing required columns are refused, and so are files whose header differs
+    from the others'.
     """
-    names = columns or BRONZE_COLUMNS
-    raw = spark.read.options(**CSV_OPTIONS).schema(_string_schema(names)).csv(path)
-    return conform(raw)
+    # enforceSchema=false makes every file's header be compared with the one that names the columns
+    raw = spark.read.options(**CSV_OPTIONS, enforceSchema="false").csv(path)
+    names = [c.strip().lower() for c in raw.columns]
+    unknown = sorted(set(names) - set(BRONZE_COLUMNS))
+    if unknown or len(set(names)) < len(names):
+        raise ValueError(f"CSV {path}: unknown or repeated columns in header {raw.columns}")
+    return conform(raw.toDF(*names))
 
 
 def _null_tokens(c):
     return F.when(F.trim(c).isin(*NULL_TOKENS), F.lit(None)).otherwise(c)
 
 
+def _default(field: T.StructField) -> Column | None:
+    """The value of an absent column, as the source table declares it; None if it must be there."""
+    if field.name in ("deductions", "bonuses"):
+        return F.lit(0.0)
+    if field.name == "_loaded_at":
+        return F.localtimestamp()
+    return F.lit(None) if field.nullable else None
+
+
 def conform(df: DataFrame) -> DataFrame:
-    """Lower-case names, map NULL tokens, cast to the analytic types, apply defaults.
+    """Lower-case names, map NULL tokens, cast to the analytic types, apply defaults, enforce NOT NULL.
 
-    Absent ``deductions`` / ``bonuses`` default to 0 and an absent ``_loaded_at``
-    to the load time (the source table's column defaults).  A value that does not
-    parse fails the cast (ANSI) instead of becoming a silent NULL.
+    Absent ``deductions`` / ``bonuses`` default to 0, an absent ``_loaded_at`` to the
+    load time, and absent nullable columns to NULL; any other absent column is refused.
+    A value that does not parse, or a NULL in a NOT NULL column, fails the job when the
+    row is read instead of passing silently.
     """
     df = df.toDF(*[c.lower() for c in df.columns])
+    missing = [f.name for f in TRANSACTION_SCHEMA if f.name not in df.columns and _default(f) is None]
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
     out = []
     for field in TRANSACTION_SCHEMA.fields:
-        if field.name in df.columns:
-            c = F.col(field.name)
-            if isinstance(df.schema[field.name].dataType, T.StringType):
-                c = _null_tokens(c)
-                if isinstance(field.dataType, T.TimestampNTZType):
-                    c = F.to_timestamp_ntz(c, F.lit(TIMESTAMP_FORMAT))
-            out.append(c.cast(field.dataType).alias(field.name))
-        elif field.name in ("deductions", "bonuses"):
-            out.append(F.lit(0.0).alias(field.name))
-        elif field.name == "_loaded_at":
-            out.append(F.localtimestamp().alias(field.name))
-        else:
-            out.append(F.lit(None).cast(field.dataType).alias(field.name))
+        if field.name not in df.columns:
+            out.append(_default(field).cast(field.dataType).alias(field.name))
+            continue
+        c = F.col(field.name)
+        if isinstance(df.schema[field.name].dataType, T.StringType):
+            c = _null_tokens(c)
+        c = c.cast(field.dataType)
+        if not field.nullable and df.schema[field.name].nullable:
+            c = F.coalesce(c, F.raise_error(F.lit(f"NULL in NOT NULL column {field.name}")).cast(field.dataType))
+        out.append(c.alias(field.name))
     return df.select(*out)
 
 
@@ -127,8 +143,9 @@ def load_transactions(spark: SparkSession, table_path: str | None = None, csv_pa
             if df.isEmpty():
                 raise ValueError(f"table {table_path} returned 0 rows")
             return conform(df), "table"
-        except Exception as exc:  # noqa: BLE001 - fall back to CSV like the reference
+        except Exception as exc:  # noqa: BLE001 - any failure of the table
             errors.append(str(exc).splitlines()[0])
+            log.warning("table %s not readable, falling back to CSV: %s", table_path, errors[-1])
     if csv_path:
         df = read_transactions_csv(spark, csv_path)
         if df.isEmpty():

@@ -49,11 +49,47 @@ def test_csv_null_tokens_and_types(spark):
     assert rows["C-2"].corporate_group is None and rows["C-2"].standard_cost is None
 
 
+REQUIRED = {
+    "country": "NO", "year": "2024", "material": "M1", "sales_designation": "D", "sold_to": "K1", "sales_qty": "7.5",
+    "blue_jobber_price": "9", "invoice_price": "8", "pocket_price": "7", "pso": "NORTH",
+}
+
+
 def test_conform_defaults_and_lowercase(spark):
-    df = spark.createDataFrame([("USA", "2025", "7.5")], "COUNTRY string, Year string, SALES_QTY string")
+    df = spark.createDataFrame([tuple(REQUIRED.values())], [n.upper() for n in REQUIRED])
     r = conform(df).first()
-    assert r.country == "USA" and r.year == 2025 and r.sales_qty == 7.5
-    assert r.deductions == 0.0 and r.bonuses == 0.0 and r._loaded_at is not None
+    assert r.country == "NO" and r.year == 2024 and r.sales_qty == 7.5
+    assert r.deductions == 0.0 and r.bonuses == 0.0 and r._loaded_at is not None and r.standard_cost is None
+
+
+def test_conform_refuses_what_the_table_would(spark):
+    with pytest.raises(ValueError, match="pso"):
+        conform(spark.createDataFrame([tuple(REQUIRED.values())[:-1]], list(REQUIRED)[:-1]))
+    for name in ("country", "sales_qty", "deductions"):
+        row = REQUIRED | {"deductions": "1", name: "NULL"}
+        with pytest.raises(Exception, match=f"NOT NULL column {name}"):
+            conform(spark.createDataFrame([tuple(row.values())], list(row))).collect()
+
+
+def test_csv_columns_are_found_by_name(spark):
+    names = [*reversed(REQUIRED), "Bonuses"]
+    path = scratch_path(spark, "csv-order")
+    write_text(path, [",".join(names), ",".join([*reversed(REQUIRED.values()), "0.25"])])
+    r = read_transactions_csv(spark, path).first()
+    assert (r.country, r.pso, r.pocket_price, r.bonuses, r.deductions) == ("NO", "NORTH", 7.0, 0.25, 0.0)
+    for header in (",".join([*REQUIRED, "extra"]), ",".join([*REQUIRED, "PSO"]), ",".join(list(REQUIRED)[1:])):
+        path = scratch_path(spark, "csv-bad")
+        write_text(path, [header, ",".join(["1"] * len(header.split(",")))])
+        with pytest.raises(ValueError):
+            read_transactions_csv(spark, path)
+
+
+def test_csv_keeps_fractions_of_a_second(spark):
+    row = tuple(REQUIRED.values()) + ("2024-05-06 07:08:09.789012",)
+    df = conform(spark.createDataFrame([row], [*REQUIRED, "_loaded_at"]))
+    path = scratch_path(spark, "csv-fraction")
+    write_transactions_csv(df, path)
+    assert read_transactions_csv(spark, path).first()._loaded_at == dt.datetime(2024, 5, 6, 7, 8, 9, 789012)
 
 
 def test_csv_roundtrip_exact(spark):

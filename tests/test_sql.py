@@ -25,7 +25,7 @@ def test_cap_and_inner_order(spark, views):
                                    "ORDER BY wavg_margin_pct, sold_to", limit=7).collect()
     assert len(rows) == 7
     assert [r.wavg_margin_pct for r in rows] == sorted(r.wavg_margin_pct for r in rows)
-    assert run_readonly_sql(spark, "SELECT * FROM transactions", limit=None).count() > 30
+    assert run_readonly_sql(spark, "SELECT * FROM transactions").count() > 30  # no cap unless asked for
 
 
 @pytest.mark.parametrize("q", ["DROP TABLE transactions", "INSERT INTO t VALUES (1)", "  delete from x", ""])
@@ -63,3 +63,20 @@ def test_explain_modes(spark, views):
     assert "Physical Plan" in plan and "(1)" in plan
     with pytest.raises(ParseException):
         run_readonly_sql(spark, "EXPLAIN FORMATTED DROP VIEW waterfall_alerts")
+
+
+@pytest.mark.parametrize(
+    "q",
+    [
+        "SELECT java_method('java.lang.System', 'setProperty', 'a', 'b')",
+        "SELECT reflect('java.lang.System', 'getenv')",
+        "EXPLAIN SELECT try_reflect('java.lang.System', 'getenv')",
+        "SELECT * FROM parquet.`/tmp/x`",
+        "SELECT * FROM other_table",
+        "SELECT t.* FROM transactions t JOIN csv.`/etc/passwd` p ON true",
+        "SELECT * FROM range(10)",
+    ],
+)
+def test_only_the_views_and_no_jvm_calls(spark, views, q):
+    with pytest.raises(ReadOnlyViolation):
+        run_readonly_sql(spark, q)

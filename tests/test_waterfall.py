@@ -1,98 +1,78 @@
-"""Known-answer waterfall tests (three-row fixture) plus grouping and NULL handling."""
+"""Waterfall answers worked out by hand, grouping and NULL handling."""
 
 import pytest
 
 from pocketlens.functions.filters import TxnFilter
 from pocketlens.operators.waterfall import compute_waterfall, waterfall_by
 
-ROWS = [
-    dict(country="USA", year=2025, material="HYD-001", pso="Americas", corporate_group="Komatsu", sold_to="C-100",
-         sales_qty=100, blue_jobber_price=100, deductions=15, invoice_price=85, bonuses=8, pocket_price=77,
-         standard_cost=40, material_cost=25),
-    dict(country="USA", year=2025, material="AIR-042", pso="Americas", corporate_group="Caterpillar", sold_to="C-200",
-         sales_qty=200, blue_jobber_price=50, deductions=5, invoice_price=45, bonuses=3, pocket_price=42,
-         standard_cost=20, material_cost=12),
-    dict(country="Germany", year=2025, material="HYD-001", pso="EMEA", corporate_group="Siemens", sold_to="C-300",
-         sales_qty=50, blue_jobber_price=120, deductions=20, invoice_price=100, bonuses=10, pocket_price=90,
-         standard_cost=45, material_cost=28),
-]
+# quantity, list price, deduction, bonus, standard cost, material cost of each sale.  With the
+# quantities 10, 30 and 60 the weights are 0.1, 0.3 and 0.6: list 0.1*80 + 0.3*40 + 0.6*20 = 32,
+# deduction 0.1*8 + 0.3*4 + 0.6*2 = 3.2, bonus 0.1*2 + 0.3*1 + 0.6*3 = 2.3, cost 0.1*30 + 0.3*20 + 0.6*5 = 12.
+SALES = {
+    "K1": ("PT", "SOUTH", 10, 80, 8, 2, 30, 11),
+    "K2": ("PT", "SOUTH", 30, 40, 4, 1, 20, 7),
+    "K3": ("NO", "NORTH", 60, 20, 2, 3, 5, 3),
+}
 
 
-@pytest.fixture
-def txns(df_of):
-    return df_of(ROWS)
-
-
-def one(df):
-    rows = df.collect()
-    assert len(rows) == 1
-    return rows[0]
-
-
-def test_unfiltered(txns):
-    r = one(compute_waterfall(txns))
-    assert r.transaction_count == 3
-    assert r.total_qty == 350
-    assert abs(r.blue_price - 26000 / 350) < 0.01
+def sale(sold_to, **other):
+    country, pso, qty, blue, ded, bon, cost, material = SALES[sold_to]
+    row = {"country": country, "year": 2024, "material": "M1", "pso": pso, "corporate_group": "G", "sold_to": sold_to}
+    row |= {"sales_qty": qty, "blue_jobber_price": blue, "deductions": ded, "invoice_price": blue - ded, "bonuses": bon}
+    return row | {"pocket_price": blue - ded - bon, "standard_cost": cost, "material_cost": material} | other
 
 
-def test_country_filter(txns):
-    r = one(compute_waterfall(txns, TxnFilter(country="USA")))
-    assert r.transaction_count == 2 and r.total_qty == 300
+@pytest.fixture
+def sales(df_of):
+    return df_of([sale(k) for k in SALES])
 
 
-def test_pso_filter(txns):
-    r = one(compute_waterfall(txns, TxnFilter(pso="EMEA")))
-    assert r.transaction_count == 1
-    assert (r.blue_price, r.pocket_price, r.contribution_margin, r.margin_pct) == (120.0, 90.0, 45.0, 50.0)
+def only(df):
+    (row,) = df.collect()
+    return row
 
 
-def test_known_margin(txns):
-    r = one(compute_waterfall(txns, TxnFilter(sold_to="C-100")))
-    assert r.contribution_margin == 37.0
-    assert abs(r.margin_pct - 48.05) < 0.1
-    assert r.realization_pct == 77.0
+def test_weighted_averages(sales):
+    r = only(compute_waterfall(sales))
+    assert (r.transaction_count, r.total_qty) == (3, 100)
+    assert (r.blue_price, r.pocket_price, r.standard_cost) == (32.0, 26.5, 12.0)
+    assert r.contribution_margin == 14.5
+    assert r.margin_pct == pytest.approx(100 * 14.5 / 26.5, abs=0.01)
+    assert r.realization_pct == pytest.approx(100 * 26.5 / 32, abs=0.01)
+    assert r.realization_pct + r.leakage_pct == pytest.approx(100, abs=0.02)
+    assert r.total_pocket_revenue == 2650.0
 
 
-def test_empty_result(txns):
-    assert compute_waterfall(txns, TxnFilter(country="Japan")).collect() == []
+@pytest.mark.parametrize("wanted,count,qty", [({"country": "PT"}, 2, 40), ({"pso": "NORTH"}, 1, 60), ({"sold_to": "K2"}, 1, 30)])
+def test_filters(sales, wanted, count, qty):
+    r = only(compute_waterfall(sales, TxnFilter(**wanted)))
+    assert (r.transaction_count, r.total_qty) == (count, qty)
 
 
-def test_zero_quantity(df_of):
-    row = dict(ROWS[0], sales_qty=0)
-    assert compute_waterfall(df_of([row])).collect() == []
+def test_a_single_sale_keeps_its_prices(sales):
+    r = only(compute_waterfall(sales, TxnFilter(sold_to="K2")))
+    assert (r.blue_price, r.pocket_price, r.contribution_margin) == (40.0, 35.0, 15.0)
+    assert (r.margin_pct, r.realization_pct) == (42.86, 87.5)
 
 
-def test_missing_columns(df_of):
+def test_nothing_to_weigh(sales, df_of):
+    assert compute_waterfall(sales, TxnFilter(country="XX")).collect() == []
+    assert compute_waterfall(df_of([sale("K1", sales_qty=0)])).collect() == []
     with pytest.raises(ValueError, match="Missing required columns"):
-        compute_waterfall(df_of([{"country": "USA", "sales_qty": 100}]))
-
-
-def test_revenue(txns):
-    assert one(compute_waterfall(txns)).total_pocket_revenue == 20600.0
-
-
-def test_filter_on_absent_column_is_skipped(df_of):
-    rows = [{k: v for k, v in r.items() if k != "sold_to"} for r in ROWS]
-    r = one(compute_waterfall(df_of(rows), TxnFilter(sold_to="C-100")))
-    assert r.transaction_count == 3
+        compute_waterfall(df_of([{"country": "PT", "sales_qty": 1}]))
 
 
-def test_grouped_matches_filtered(txns):
-    by = {r.country: r for r in waterfall_by(txns, ["country"]).collect()}
-    usa = one(compute_waterfall(txns, TxnFilter(country="USA")))
-    assert by["USA"].asDict() == {"country": "USA", **usa.asDict()}
-    assert set(by) == {"USA", "Germany"}
+def test_filter_on_absent_column_is_skipped(sales):
+    assert only(compute_waterfall(sales.drop("sold_to"), TxnFilter(sold_to="K1"))).transaction_count == 3
 
 
-def test_null_cost_is_skipped_not_propagated(df_of):
-    rows = [dict(ROWS[0]), dict(ROWS[1], standard_cost=None)]
-    r = one(compute_waterfall(df_of(rows)))
-    assert r.standard_cost == 40.0  # weighted over the non-null row only
-    assert r.blue_price == round((100 * 100 + 200 * 50) / 300, 4)
+def test_groups_are_filters(sales):
+    by = {r.country: r.asDict() for r in waterfall_by(sales, ["country"]).collect()}
+    assert by.keys() == {"PT", "NO"}
+    for country, row in by.items():
+        assert row == {"country": country, **only(compute_waterfall(sales, TxnFilter(country=country))).asDict()}
 
 
-def test_percentages_from_weighted_averages(txns):
-    r = one(compute_waterfall(txns))
-    assert abs(r.margin_pct - round(r.contribution_margin / r.pocket_price * 100, 2)) <= 0.011
-    assert abs(r.realization_pct + r.leakage_pct - 100) < 0.02
+def test_null_cost_has_no_weight(df_of):
+    r = only(compute_waterfall(df_of([sale("K1"), sale("K3", standard_cost=None)])))
+    assert r.standard_cost == 30.0 and r.blue_price == round((10 * 80 + 60 * 20) / 70, 4)
