@@ -14,7 +14,9 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(fn(spark, SF_SMALL)) for name, fn in E.queries().items()}
+    # the library's own queries; those of the training-data operators choose their plans by other rules
+    own = E.queries().keys() - E.LLM_QUERIES.keys()
+    return {name: plan_of(E.queries()[name](spark, SF_SMALL)) for name in own}
 
 
 def test_no_python_udfs(plans):
