@@ -16,20 +16,16 @@ final task.  Here the work is split by value range instead:
 The single-partition steps only ever see ``B`` bucket rows or a handful of
 target rows, so they are bounded by the bucket count, not the data.
 
-When the histogram is small (at most ``single_task_max`` distinct values,
-measured after step 1) the weighted ``percentile`` of the histogram is used
-instead: its one final task then merges a bounded number of entries, and the
-extra jobs of the range selection are skipped.
+The bucketed histogram is written to the shared scratch folder, as several passes
+read it: nothing stays cached, and a lost executor costs no recomputation.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-SINGLE_TASK_MAX = 100_000
+from ..session import scratch_path
 
 
 def exact_percentiles(
@@ -37,7 +33,6 @@ def exact_percentiles(
     column: str,
     probs: list[float],
     buckets: int | None = None,
-    single_task_max: int = SINGLE_TASK_MAX,
 ) -> DataFrame:
     """One row with ``_q``: array of exact percentiles of ``column`` (NULLs ignored).
 
@@ -47,15 +42,9 @@ def exact_percentiles(
     n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(column)
     hist = df.filter(v.isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-    if hist.count() <= single_task_max:
-        probs_col = F.array(*[F.lit(float(p)) for p in probs])
-        return hist.agg(F.percentile(v, probs_col, F.col("_n")).alias("_q"))
-    ranged = (
-        hist.repartitionByRange(n_buckets, column)
-        .withColumn("_b", F.spark_partition_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    path = scratch_path(spark, "histogram")
+    hist.repartitionByRange(n_buckets, column).withColumn("_b", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bucket_ranks = (
         ranged.groupBy("_b")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import TxnFilter
 from ..functions.ratios import metric_columns
+from ..functions.rounding import round_half_up
 from ..operators import checks, gold, outliers, reports, silver, trends, waterfall
 from ..session import scratch_path
 from ..sources import files
@@ -90,6 +91,29 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_transactions_csv(spark, path)
 
 
+def _bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze replaced, then appended to once, read back through the source loader."""
+    bronze = Layers(spark, sf_dir).bronze
+    path = scratch_path(spark, "bronze-table")
+    files.write_bronze(bronze, path, truncate=True)
+    files.write_bronze(bronze, path)
+    return files.load_transactions(spark, table_path=path)[0]
+
+
+def _silver_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver written as a clustered layer table and read back."""
+    path = scratch_path(spark, "silver-layer")
+    files.write_layer(Layers(spark, sf_dir).silver, path, layer="silver")
+    return spark.read.parquet(path).select(*silver.SILVER_COLUMNS)
+
+
+def _price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p33 and p67 of a column whose values are nearly all different."""
+    prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_extendedprice")
+    bounds = outliers.quantile_bounds(prices, "l_extendedprice")
+    return bounds.select(*[round_half_up(F.col(f"_{p}"), 4).alias(p) for p in ("p33", "p67")])
+
+
 LAYER_QUERIES: dict[str, Callable[[Layers], DataFrame]] = {}
 
 
@@ -116,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources / layers
     "bronze_transactions": _q(lambda L: files.bronze_transactions(L.bronze)),
     "bronze_csv_roundtrip": _csv_roundtrip,
+    "bronze_table_append": _bronze_append,
+    "silver_layer_table": _silver_layer,
+    "price_percentiles": _price_percentiles,
     "silver_transactions": _q(lambda L: L.silver),
     "quality_flag_counts": _q(lambda L: L.silver.groupBy("data_quality_flag").agg(F.count(F.lit(1)).alias("rows"))),
     "waterfall_fact": _q(lambda L: L.fact),
@@ -159,6 +186,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_realization_by_pso": _q(lambda L: Q.q_realization_by_pso(L.bronze, QUESTION_YEAR)),
     "q_low_tier_groups": _q(lambda L: Q.q_low_tier_groups(L.fact)),
     "q_full_analysis": _q(lambda L: Q.q_full_analysis(L.bronze, PSO, BASE_YEAR, CURRENT_YEAR)),
+    "analyze_waterfall": _q(lambda L: reports.analyze(L.bronze, "waterfall", TxnFilter(pso=PSO)).waterfall),
+    "analyze_outliers": _q(lambda L: reports.analyze(L.bronze, "outliers", TxnFilter(pso=PSO)).outliers),
+    "analyze_trends": _q(
+        lambda L: trends.flatten_bridge(reports.analyze(L.bronze, "trends", TxnFilter(pso=PSO), BASE_YEAR, CURRENT_YEAR).bridge)
+    ),
+    "analyze_narrative": _q(lambda L: reports.analyze(L.bronze, "narrative", TxnFilter(pso=PSO)).payload),
     "q_bonus_by_material": _q(lambda L: Q.q_bonus_by_material(L.bronze)),
     "q_deduction_by_pso": _q(lambda L: Q.q_deduction_by_pso(L.bronze, QUESTION_YEAR)),
     "q_outlier_customers": _q(lambda L: Q.q_outlier_customers(L.silver, reuse=L.reuse("silver"))),

@@ -376,8 +376,9 @@ OUTLIER_ORDER = (
 )
 
 
-def payload_sql(pso: str, y0: int, y1: int) -> str:
-    """Insight payload over one PSO: waterfall + top-5 outliers of the slice + bridge."""
+def payload_sql(pso: str, y0: int | None = None, y1: int | None = None) -> str:
+    """Insight payload over one PSO: waterfall + top-5 outliers of the slice + bridge (with two years)."""
+    bridged = y0 is not None
     p4, p2, m2 = "DECIMAL(20,4)", "DECIMAL(20,2)", "DECIMAL(24,2)"
     wf_fields = [
         ("blue_price", p4), ("deductions", p4), ("invoice_price", p4), ("bonuses", p4), ("pocket_price", p4),
@@ -407,14 +408,14 @@ def payload_sql(pso: str, y0: int, y1: int) -> str:
             f"\nwf AS ({waterfall_sql('slice')})",
             outliers_ctes("slice"),
             f"\ntop AS (SELECT * FROM flags ORDER BY {OUTLIER_ORDER} LIMIT 5)",
-            bridge_sql("transactions", y0, y1),
+            *([bridge_sql("transactions", y0, y1)] if bridged else []),
         )
         + f"""SELECT '{{"waterfall":' || to_json(w) ||
        CASE WHEN o IS NULL THEN '' ELSE ',"top_outliers":' || to_json(o) END ||
        CASE WHEN b IS NULL THEN '' ELSE ',"yoy_bridge":' || to_json(b) END || '}}' AS payload
 FROM (SELECT struct_pack({w_struct}) AS w FROM wf)
 CROSS JOIN (SELECT list(struct_pack({o_struct}) ORDER BY {OUTLIER_ORDER}) AS o FROM top)
-CROSS JOIN (SELECT max(struct_pack({b_struct})) AS b FROM bridge)"""
+CROSS JOIN (SELECT {f"max(struct_pack({b_struct})) AS b FROM bridge" if bridged else "NULL AS b"})"""
     )
 
 
@@ -531,6 +532,10 @@ FROM pcts""",
         "tier_histogram": with_(*BASE, row_pcts) + f"SELECT {tier_case} AS tier, count(*) AS rows FROM pcts GROUP BY 1",
         "bronze_transactions": with_(*BASE) + "SELECT * FROM transactions",
         "bronze_csv_roundtrip": with_(*BASE) + "SELECT * FROM transactions",
+        "bronze_table_append": with_(*BASE) + "SELECT * FROM transactions UNION ALL SELECT * FROM transactions",
+        "silver_layer_table": with_(*SILVER_CHAIN) + "SELECT * FROM silver",
+        "price_percentiles": "SELECT round(quantile_cont(l_extendedprice, 0.33), 4) AS p33, "
+        "round(quantile_cont(l_extendedprice, 0.67), 4) AS p67 FROM lineitem",
         "silver_transactions": with_(*SILVER_CHAIN) + "SELECT * FROM silver",
         "quality_flag_counts": with_(*SILVER_CHAIN)
         + "SELECT data_quality_flag, count(*) AS rows FROM silver GROUP BY data_quality_flag",
@@ -568,7 +573,7 @@ FROM pcts""",
         + f"SELECT * FROM flags ORDER BY {OUTLIER_ORDER} LIMIT 5",
         "readonly_sql": with_(*FACT_CHAIN, customers_cte("customer_profitability"))
         + f"SELECT pso, margin_tier, customers, CAST(transactions AS BIGINT) AS transactions "
-        f"FROM ({C.READONLY_QUERY}) LIMIT 30",
+        f"FROM ({C.READONLY_QUERY})",
         "q_overall_waterfall": with_(*BASE) + waterfall_sql("transactions"),
         "q_margin_by_country": with_(*BASE)
         + f"SELECT country, margin_pct, {health} AS margin_health, total_qty, total_pocket_revenue, "
@@ -602,6 +607,11 @@ ORDER BY total_pocket_revenue DESC, sold_to, corporate_group LIMIT 5""",
         + "SELECT corporate_group, country, wavg_margin_pct, total_pocket_revenue, transaction_count, margin_tier "
         "FROM groups WHERE margin_tier IN ('Tier 4 - Low', 'Tier 5 - Destructive')",
         "q_full_analysis": payload_sql(C.PSO, y0, y1),
+        "analyze_waterfall": with_(*BASE) + waterfall_sql("transactions", where=f"pso = {pso}"),
+        "analyze_outliers": with_(*BASE, f"\nslice AS (SELECT * FROM transactions WHERE pso = {pso})", outliers_ctes("slice"))
+        + "SELECT * FROM flags",
+        "analyze_trends": with_(*BASE, bridge_sql("transactions", y0, y1)) + "SELECT * FROM bridge",
+        "analyze_narrative": payload_sql(C.PSO),
         "q_bonus_by_material": with_(*BASE)
         + f"""SELECT material, CAST(round(bon, 2) AS DOUBLE) AS total_bonus_dollars,
        {r(f"{dbl('bon')} / nullif({dbl('inv')}, 0e0) * 100e0", 2)} AS wavg_bonus_pct, transaction_count

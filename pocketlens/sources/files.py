@@ -2,8 +2,8 @@
 
 CSV is read with every column as a string and then conformed, so the NULL
 tokens ('' / NULL / null) and type casts are explicit Column expressions.
-Layer tables are range-partitioned on their clustering keys before writing, so
-a large year is spread over many tasks and each file holds a narrow key range.
+Layer tables are rebalanced on their clustering keys before writing, so a large
+year is spread over many tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -104,22 +104,20 @@ def write_bronze(df: DataFrame, path: str, truncate: bool = False) -> int:
 
 
 def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by: str | None = None,
-                cluster_by: list[str] | None = None, num_partitions: int | None = None) -> None:
+                cluster_by: list[str] | None = None) -> None:
     """Overwrite a layer table, partitioned by year and clustered on its keys.
 
-    Rows are range-partitioned on the clustering keys plus a hash of the whole
-    row, so the sampled range bounds can split a key value that holds a large
-    share of the rows over several writer tasks; each file still covers a
-    narrow key range and is sorted by the clustering keys.
+    Rows are rebalanced on the clustering keys: one shuffle, after which AQE sizes the
+    writer tasks from the data (``spark.sql.adaptive.advisoryPartitionSizeInBytes``),
+    joins small ones and splits a key value that holds a large share of the rows.
+    Files are sorted by the clustering keys.  The input is computed once.
     """
     if layer is not None:
         partition_by, cluster_by = LAYER_LAYOUT[layer]
     cluster_by = cluster_by or ([partition_by] if partition_by else [])
     out = df
     if cluster_by:
-        n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-        out = out.repartitionByRange(n, *[F.col(c) for c in cluster_by], row_hash).sortWithinPartitions(*cluster_by)
+        out = out.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(*cluster_by)
     writer = out.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)

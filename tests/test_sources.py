@@ -132,10 +132,15 @@ def test_load_transactions_fallback(spark):
 
 
 def test_write_layer_splits_a_hot_key(spark):
-    # one (year, country) holds every row: the row hash lets range bounds split it
-    df = spark.range(4000).selectExpr("2025 AS year", "'HOT' AS country", "id", "CAST(id AS DOUBLE) AS sales_qty")
+    # one (year, country) holds every row: it is split by size
+    df = spark.range(0, 4000, 1, 8).selectExpr("2025 AS year", "'HOT' AS country", "id", "CAST(id AS DOUBLE) AS sales_qty")
     path = scratch_path(spark, "hot")
-    write_layer(df, path, partition_by="year", cluster_by=["year", "country"], num_partitions=8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "4KB")
+    try:
+        write_layer(df, path, partition_by="year", cluster_by=["year", "country"])
+    finally:
+        spark.conf.unset(size)
     files = [f for f in os.listdir(local(path) + "/year=2025") if f.endswith(".parquet")]
     assert len(files) >= 4
     assert spark.read.parquet(path).count() == 4000
