@@ -31,8 +31,6 @@ STEP = 16
 BUCKET_BITS = 14
 SKETCH, RANK = 48, 40
 SEED = 11
-#: Words of more than this share of the documents (and of more than so many) carry no weight.
-MAX_FREQUENCY, LEAST_FREQUENT = 0.1, 10
 #: Least cosine of a candidate and share of word weight in common, and least share of common words in order
 #: of a leak: outright, and with the answer.
 MIN_COSINE, MIN_SHARED = 0.15, 0.35
@@ -147,7 +145,7 @@ def _total(parts: DataFrame, dtype: type, shape: tuple[int, ...]) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log(1 + documents / (1 + documents with the hashed word)) over all documents; 0 for frequent words."""
+    """log(1 + documents / (1 + documents with the hashed word)) over all documents; over 0.5 for the most frequent word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS + 1, np.int64)  # the last place counts documents
@@ -162,8 +160,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     seen = _total(docs.select("text").mapInArrow(count, SUMS), np.int64, (BUCKETS + 1,))
     documents, of_word = seen[BUCKETS], seen[:BUCKETS]
-    frequent = of_word > max(LEAST_FREQUENT, MAX_FREQUENCY * documents)
-    return np.where(frequent, 0, np.log1p(documents / (1 + of_word))).astype(np.float32)
+    return np.log1p(documents / (1 + of_word)).astype(np.float32)
 
 
 def singular_map(docs: DataFrame, idf: np.ndarray) -> np.ndarray:

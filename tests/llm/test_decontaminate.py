@@ -98,3 +98,19 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == 0
     assert decontaminate.find_leaks(empty_docs(spark), items).count() == 0
+
+
+def test_an_item_in_a_third_of_the_rows(spark):
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(4000)]
+    item = " ".join(rng.sample(vocabulary, 20))
+    other = " ".join(rng.sample(vocabulary, 20))
+    docs = []
+    for i in range(300):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(20, 200))]
+        at = rng.randrange(len(words))
+        docs.append((i, " ".join(words[:at] + [item] * (i % 3 == 0) + words[at:])))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    items = spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(i, 1, "verbatim") for i in range(0, 300, 3)}
