@@ -1,13 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are overlapping windows of words over every whole text, as TF-IDF vectors of
-hashed words.  A randomised SVD of the passage matrix runs over all documents: each task
-adds up its part of (A^T A) times a random matrix, and the singular vectors follow from
-the sum (Nystroem form, one pass).  Passages and benchmark items are compared by cosine in
-the space of the leading singular vectors, each scaled to the same variance.  Candidates
-must share enough words with the item, and are then checked by the longest common
-subsequence of words: near-verbatim ones are leaks, looser ones (paraphrases) only if the
-item's answer, its last words, is there as well.
+Passages are overlapping windows of words over every whole text, as TF-IDF vectors: a
+column for each word of the benchmark, and hashed columns for all other words.  A
+randomised SVD of the passage matrix runs over all documents: each task adds up its part of
+(A^T A) times a random matrix, and the singular vectors follow from the sum (Nystroem form,
+one pass).  Passages and benchmark items are compared by cosine in the space of the leading
+singular vectors, each scaled to the same variance.  The cosine alone chooses candidates;
+they are checked by the longest common subsequence of words: near-verbatim ones are leaks,
+looser ones (paraphrases) only if the item's answer, its last words, is there as well.
 """
 
 from __future__ import annotations
@@ -27,22 +27,25 @@ from .word_hashes import word_hashes
 
 #: Words of half a passage: passages of two steps overlap by one.
 STEP = 16
-#: Hashed vocabulary, columns of the random matrix, and singular vectors that are kept.
+#: Hashed columns, and words of the benchmark with columns of their own (the rest are hashed, too).
 BUCKET_BITS = 14
+MAX_OWN = 1 << 16
+#: Columns of the random matrix, and singular vectors that are kept.
 SKETCH, RANK = 48, 40
 SEED = 11
-#: Least cosine of a candidate and share of word weight in common, and least share of common words in order
-#: of a leak: outright, and with the answer.
-MIN_COSINE, MIN_SHARED = 0.15, 0.35
+#: Least cosine of a candidate, and least share of common words in order of a leak: outright, and with the answer.
+MIN_COSINE = 0.15
 VERBATIM, PARAPHRASE, MIN_ANSWER = 0.8, 0.5, 0.6
 #: The answer is this share of an item's words, from its end; shorter items are not sought.
 ANSWER_SHARE, MIN_ITEM_WORDS = 0.25, 5
-#: Items that are compared with a chunk's passages at a time.
-ITEM_COLUMNS = 1024
+#: Items that are compared with a chunk's passages at a time, and candidates that are checked at a time.
+ITEM_COLUMNS = 64
+CHECKED = 4096
 #: Items are broadcast in blocks of at most so many bytes of text.
 ITEM_BLOCK_BYTES = 8 << 20
-#: Bytes of text hashed together, and buckets of one row of a sum.
+#: Bytes of text hashed together, words whose rows are gathered at a time, and columns of one row of a sum.
 CHUNK_BYTES = 1 << 17
+GATHERED = 1 << 12
 SLOT = 1024
 
 BUCKETS = 1 << BUCKET_BITS
@@ -51,7 +54,21 @@ LEAKS = "doc_id bigint, item_id bigint, kind string, lcs double, answer double,
 
 
 def buckets_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def places_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each hash in ``known`` (ascending); ``len(known)`` if it is not there."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, len(known))
+
+
+def columns_of(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Column of each word: the words ``own`` have one each after the hashed ones."""
+    at = places_of(hashes, own)
+    return np.where(at < len(own), BUCKETS + at, buckets_of(hashes))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -94,20 +111,22 @@ class Passages:
         left = first_step[text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
         return Passages(step, first_word, text, left, np.where(steps[text] > 1, left + 1, left))
 
-    def step_sums(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Sum of the rows of some words (ascending) in each step."""
-        step = self.step[words]
-        out = np.zeros((len(self.first_word), rows.shape[1]), rows.dtype)
-        if len(words):
-            first = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
-            out[step[first]] = np.add.reduceat(rows, first, axis=0)
+    def step_sums(self, table: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Sum of the words' rows of ``table`` in each step; ``columns``: the row of each word."""
+        steps, per = len(self.first_word), GATHERED // STEP
+        size = np.diff(np.r_[self.first_word, len(self.step)])
+        out = np.zeros((steps, table.shape[1]), table.dtype)
+        rows = np.empty((per, table.shape[1]), table.dtype)
+        for a in range(0, steps, per):
+            part = slice(a, min(a + per, steps))
+            for k in range(STEP):
+                has = np.flatnonzero(size[part] > k)
+                if len(has) == part.stop - a:
+                    out[part] += table.take(columns[self.first_word[part] + k], 0, rows[: len(has)], "clip")
+                else:
+                    out[a + has] += table[columns[self.first_word[part][has] + k]]
         return out
 
-    def sums(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Sum of the rows of some words (ascending) in each passage."""
-        steps = self.step_sums(words, rows)
-        return steps[self.left] + steps[self.right] * (self.right != self.left)[:, None].astype(rows.dtype)
-
 
 def _emit(table: np.ndarray) -> pa.RecordBatch:
     slots = range(0, len(table), SLOT)
@@ -144,54 +163,76 @@ def _total(parts: DataFrame, dtype: type, shape: tuple[int, ...]) -> np.ndarray:
     return out
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log(1 + documents / (1 + documents with the hashed word)) over all documents; over 0.5 for the most frequent word."""
+def benchmark_words(measured: DataFrame) -> np.ndarray:
+    """Hashes (ascending) of the benchmark's words, the smallest MAX_OWN."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.unique(word_hashes(utf8_of(batch))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["word"])
+
+    words = measured.select("text").mapInArrow(distinct, "word bigint").distinct()
+    # flipping the sign bit orders signed numbers as unsigned ones
+    words = words.orderBy(F.col("word").bitwiseXOR(F.lit(-(1 << 63)))).limit(MAX_OWN)
+    return np.sort(np.array([r["word"] for r in words.collect()], np.int64).view(np.uint64))
+
+
+def inverse_frequencies(docs: DataFrame, own: np.ndarray) -> tuple[np.ndarray, int]:
+    """(log(1 + documents / (1 + documents with the word)) of each column, bytes of text), over all documents.
+
+    The words ``own`` are counted one by one, all others by bucket.  No word of a document weighs nothing.
+    """
+    columns = BUCKETS + len(own)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS + 1, np.int64)  # the last place counts documents
+        seen = np.zeros(columns + 2, np.int64)  # the last places count documents and bytes
         for _, texts in _chunks(batches):
             hashes, words = word_hashes(texts)
             owner = np.repeat(np.arange(len(words)), words)
-            pairs = np.sort((owner << BUCKET_BITS) | buckets_of(hashes))
+            pairs = np.sort(owner * columns + columns_of(hashes, own))
             pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]]
-            seen[:BUCKETS] += np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS)
-            seen[BUCKETS] += len(texts)
+            seen[:columns] += np.bincount(pairs % columns, minlength=columns)
+            seen[columns:] += len(texts), sum(map(len, texts))
         yield _emit(seen)
 
-    seen = _total(docs.select("text").mapInArrow(count, SUMS), np.int64, (BUCKETS + 1,))
-    documents, of_word = seen[BUCKETS], seen[:BUCKETS]
-    return np.log1p(documents / (1 + of_word)).astype(np.float32)
+    seen = _total(docs.select("text").mapInArrow(count, SUMS), np.int64, (columns + 2,))
+    documents, of_word = seen[columns], seen[:columns]
+    return np.log1p(documents / (1 + of_word)).astype(np.float32), int(seen[columns + 1])
 
 
-def singular_map(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """(BUCKETS, RANK) map from word counts to coordinates of equal variance, by randomised SVD over all documents.
+def singular_map(docs: DataFrame, own: np.ndarray, idf: np.ndarray, size: int) -> np.ndarray:
+    """(columns, RANK) map from word counts to coordinates of equal variance, by randomised SVD over all documents.
 
-    The matrix has a row for each step, so every word counts once.
+    The matrix has a row for each step, so every word counts once.  Each task sends a table
+    of columns x SKETCH, so there are no more tasks than keep the tables under ``size``, the
+    bytes of text (or than run at once).
     """
+    columns = len(idf)
 
     def random_matrix() -> np.ndarray:
-        return np.random.default_rng(SEED).standard_normal((BUCKETS, SKETCH)).astype(np.float32)
+        return np.random.default_rng(SEED).standard_normal((columns, SKETCH), np.float32)
 
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((own, idf))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = random_matrix() * shared.value[:, None]
-        table = np.zeros((BUCKETS, SKETCH), np.float32)
+        own, idf = shared.value
+        weighted = random_matrix() * idf[:, None]
+        table = np.zeros((columns, SKETCH), np.float32)
         for _, texts in _chunks(batches):
             hashes, words = word_hashes(texts)
-            ids = buckets_of(hashes)
-            weighty = np.flatnonzero(shared.value[ids])
-            if not len(weighty):
-                continue
-            p, ids = Passages.of(words), ids[weighty]
-            steps = p.step_sums(weighty, weighted[ids])
+            p, ids = Passages.of(words), columns_of(hashes, own)
+            steps = p.step_sums(weighted, ids)
             order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-            table[ids[order][first]] += np.add.reduceat(steps[p.step[weighty[order]]], first, axis=0)
+            for a in range(0, len(order), GATHERED):
+                part = order[a : a + GATHERED]
+                first = np.flatnonzero(np.r_[True, ids[part][1:] != ids[part][:-1]])
+                table[ids[part][first]] += np.add.reduceat(steps[p.step[part]], first, axis=0)
         yield _emit(table)
 
     random = random_matrix()
-    product = _total(docs.select("text").mapInArrow(multiply, SUMS), np.float32, (BUCKETS, SKETCH))
+    tasks = max(context.defaultParallelism, size // (columns * SKETCH * 4))
+    product = _total(docs.select("text").coalesce(tasks).mapInArrow(multiply, SUMS), np.float32, (columns, SKETCH))
     product = product.astype(np.float64) * idf[:, None]  # (A^T A) times the random matrix
     core = random.T.astype(np.float64) @ product
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -199,7 +240,7 @@ def singular_map(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
     factor = product @ (vectors[:, good] / np.sqrt(values[good]))
     left, singular, _ = np.linalg.svd(factor, full_matrices=False)
     keep = min(RANK, int((singular > 1e-9 * max(singular.max(initial=0), 1e-12)).sum()))
-    out = np.zeros((BUCKETS, RANK), np.float32)
+    out = np.zeros((columns, RANK), np.float32)
     out[:, :keep] = idf[:, None] * left[:, :keep] / singular[:keep]
     return out
 
@@ -218,13 +259,19 @@ def common_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def answer_length(n: int) -> int:
+    return max(3, math.ceil(ANSWER_SHARE * n))
+
+
 def check_passage(item: list[int], words: list[int], start: int) -> tuple[float, float, int]:
     """(share of the item found in order, share of its answer, first word) around a passage; the best place counts."""
     n = len(item)
     reach, span = max(0, n - STEP), math.ceil(1.5 * n)
-    answer = item[n - max(3, math.ceil(ANSWER_SHARE * n)) :]
+    answer = item[n - answer_length(n) :]
     low, high = max(0, start - reach), min(len(words), start + 2 * STEP + reach)
     best = (0.0, 0.0, low)
+    if leak_kind(common_length(item, words[low : max(high, low + span)]) / n, 1.0) is None:
+        return best  # no part of it holds more
     for a in range(low, max(low + 1, high - min(n, span) + 1), max(1, n // 4)):
         region = words[a : a + span]
         found = common_length(item, region) / n
@@ -244,79 +291,122 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
-def _search(docs: DataFrame, items: list[tuple[int, bytes]], idf: np.ndarray, space: np.ndarray) -> DataFrame:
+class _Block:
+    """Some items next to each other, with the places of their words as bits."""
+
+    def __init__(self, tokens: list[np.ndarray], known: np.ndarray):
+        """``known``: hashes (ascending) of the words of all items."""
+        self.sizes = np.array([len(t) for t in tokens])
+        places = [np.searchsorted(known, t) for t in tokens]
+        self.words = np.unique(np.concatenate(places))
+        self.known, self.limbs = len(known), -(-int(self.sizes.max()) // 64)
+        at = np.concatenate([np.arange(n) for n in self.sizes])
+        self.cell = np.repeat(np.arange(len(tokens)), self.sizes), at // 64, np.searchsorted(self.words, np.concatenate(places))
+        self.bit = np.uint64(1) << (at % 64).astype(np.uint64)
+        self.answers = np.zeros((len(tokens), self.limbs), np.uint64)
+        answer = at >= np.repeat(self.sizes - [answer_length(n) for n in self.sizes.tolist()], self.sizes)
+        np.bitwise_or.at(self.answers, (self.cell[0][answer], self.cell[1][answer]), self.bit[answer])
+
+    def possible(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's words are in words[low:high] at all, in any order, for a leak.
+
+        No leak is lost: common words in order are never more than common words.
+        """
+        local = np.full(self.known + 1, len(self.words))
+        local[self.words] = np.arange(len(self.words))
+        local = local[words]
+        masks = np.zeros((len(self.sizes), self.limbs, len(self.words) + 1), np.uint64)
+        np.bitwise_or.at(masks, self.cell, self.bit)
+        masks = masks.ravel()
+        out = np.zeros(len(item), bool)
+        order = np.argsort(high - low, kind="stable")  # candidates of one length side by side
+        for a in range(0, len(order), CHECKED):
+            part = order[a : a + CHECKED]
+            wide = np.arange(int((high - low)[part].max(initial=0)))
+            at = np.minimum(low[part][:, None] + wide, high[part][:, None] - 1)  # the last word again
+            place = local[at]
+            found = np.zeros(len(part), np.int64)
+            of_answer = np.zeros(len(part), np.int64)
+            for limb in range(self.limbs):
+                row = (item[part] * self.limbs + limb) * (len(self.words) + 1)
+                bits = np.bitwise_or.reduce(masks[place + row[:, None]], axis=1)
+                found += np.bitwise_count(bits)
+                of_answer += np.bitwise_count(bits & self.answers[item[part], limb])
+            n = self.sizes[item[part]]
+            answer = np.bitwise_count(self.answers[item[part]]).sum(axis=1)
+            out[part] = (found >= VERBATIM * n) | ((found >= PARAPHRASE * n) & (of_answer >= MIN_ANSWER * answer))
+        return out
+
+
+def _search(docs: DataFrame, items: list[tuple[int, bytes]], own: np.ndarray, space: np.ndarray) -> DataFrame:
     """Leaks of one block of items in all documents."""
     hashes, words = word_hashes([t for _, t in items])
     ends = np.cumsum(words)
-    tokens = [hashes[e - n : e].tolist() for e, n in zip(ends, words)]
-    kept = [i for i, t in enumerate(tokens) if len(t) >= MIN_ITEM_WORDS]
+    tokens = [hashes[e - n : e] for e, n in zip(ends, words)]
+    kept = sorted((i for i, t in enumerate(tokens) if len(t) >= MIN_ITEM_WORDS), key=lambda i: len(tokens[i]))
     ids = [items[i][0] for i in kept]
     tokens = [tokens[i] for i in kept]
-    shared = docs.sparkSession.sparkContext.broadcast((ids, tokens, space, idf))
+    shared = docs.sparkSession.sparkContext.broadcast((ids, tokens, own, space))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tokens, space, idf = shared.value
-        of_item = [buckets_of(np.array(t, np.uint64)) for t in tokens]
-        queries = _unit(np.array([space[b].sum(axis=0) for b in of_item], np.float32).reshape(-1, RANK))
-        item_weight = np.array([idf[b].sum() for b in of_item])
-        # items by bucket: the words of an item once each
-        held = np.unique(np.concatenate([(b.astype(np.int64) * len(tokens)) + i for i, b in enumerate(of_item)] or [[]]))
-        held_bucket, held_item = np.divmod(held.astype(np.int64), max(1, len(tokens)))
-        held_first = np.searchsorted(held_bucket, np.arange(BUCKETS + 1))
+        ids, tokens, own, space = shared.value
+        if not tokens:
+            return
+        known = np.unique(np.concatenate(tokens))
+        # one search for both: place among the items' words, and column of the space
+        both_known = np.union1d(known, own)
+        place_of = np.r_[places_of(both_known, known), len(known)]
+        column_of = columns_of(both_known, own)
+        queries = _unit(np.array([space[columns_of(t, own)].sum(axis=0) for t in tokens], np.float32))
+        blocks = [_Block(tokens[a : a + ITEM_COLUMNS], known) for a in range(0, len(tokens), ITEM_COLUMNS)]
+        lists = [t.tolist() for t in tokens]
         for doc_ids, texts in _chunks(batches):
             hashes, words = word_hashes(texts)
-            buckets = buckets_of(hashes)
-            weighty = np.flatnonzero(idf[buckets])
-            if not len(weighty) or not len(tokens):
-                continue
-            p, own = Passages.of(words), buckets[weighty]
-            of_step = p.step_sums(weighty, space[own])
-            both = of_step[p.left] + of_step[p.right] * (p.right != p.left)[:, None]
-            of_step, both = _unit(of_step), _unit(both)
-            weight = p.sums(weighty, idf[own][:, None])
-            # the words that any item has, with that item
-            n = (held_first[1:] - held_first[:-1])[own]
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(held_first[own], n)
-            met_step, met_item, met_weight = np.repeat(p.step[weighty], n), held_item[at], np.repeat(idf[own], n)
-            found_at = []
-            for a in range(0, len(tokens), ITEM_COLUMNS):
-                b = min(a + ITEM_COLUMNS, len(tokens))
-                mine = (met_item >= a) & (met_item < b)
-                cell = met_step[mine] * (b - a) + met_item[mine] - a
-                common = np.bincount(cell, met_weight[mine], len(p.first_word) * (b - a)).reshape(-1, b - a)
-                common = common[p.left] + common[p.right] * (p.right != p.left)[:, None]
-                enough = common >= MIN_SHARED * np.minimum(weight, item_weight[a:b])
-                place, column = np.nonzero(enough & (common > 0))
-                query = queries[a + column]
-                shapes = (both[place], of_step[p.left[place]], of_step[p.right[place]])  # short items fill one step
-                cosine = np.max([np.einsum("pr,pr->p", x, query) for x in shapes], axis=0)
-                near = cosine >= MIN_COSINE
-                found_at.append((place[near], a + column[near], cosine[near]))
-            passage, item, cosines = (np.concatenate(c) for c in zip(*found_at))
-            if not len(passage):
+            if not len(hashes):
                 continue
-            hit = np.arange(len(passage))
+            at = places_of(hashes, both_known)
+            columns, places = buckets_of(hashes), place_of[at]
+            columns[at < len(both_known)] = column_of[at[at < len(both_known)]]
+            p = Passages.of(words)
+            of_step = p.step_sums(space, columns)
+            two = (p.right != p.left)[:, None]
+            size_both = np.maximum(np.linalg.norm(of_step[p.left] + of_step[p.right] * two, axis=1), 1e-12)[:, None]
+            size_step = np.maximum(np.linalg.norm(of_step, axis=1), 1e-12)[:, None]
             begin = np.cumsum(words) - words
-            begin_at = p.first_word[p.left[passage]]
+            text_begin, text_end = begin[p.text], (begin + words)[p.text]
+            begin_at = p.first_word[p.left]
             leaks: dict[tuple[int, int], tuple] = {}
-            lists: dict[int, list[int]] = {}
-            for c in hit.tolist():
-                text, i = int(p.text[passage[c]]), int(item[c])
-                known = leaks.get((text, i))
-                if known and known[0] == 1.0:
-                    continue
-                if text not in lists:
-                    lists[text] = hashes[begin[text] : begin[text] + words[text]].tolist()
-                found, answer, first = check_passage(tokens[i], lists[text], int(begin_at[c] - begin[text]))
-                kind = leak_kind(found, answer)
-                row = (found, answer, float(cosines[c]), first, kind)
-                if kind and (known is None or row[:3] > known[:3]):
-                    leaks[text, i] = row
+            of_text: dict[int, list[int]] = {}
+            for k, block in enumerate(blocks):
+                a = k * ITEM_COLUMNS
+                step = of_step @ queries[a : a + ITEM_COLUMNS].T
+                both = (step[p.left] + step[p.right] * two) / size_both
+                step /= size_step  # short items fill one step
+                cosine = np.maximum(both, np.maximum(step[p.left], step[p.right]))
+                passage, column = np.nonzero(cosine >= MIN_COSINE)
+                n = block.sizes[column]
+                reach = np.maximum(0, n - STEP)
+                low = np.maximum(text_begin[passage], begin_at[passage] - reach)
+                high = np.maximum(begin_at[passage] + 2 * STEP + reach, low + np.ceil(1.5 * n).astype(np.int64))
+                high = np.minimum(text_end[passage], high)
+                likely = block.possible(places, column, low, high)
+                for q, j in zip(passage[likely].tolist(), column[likely].tolist()):
+                    text, i = int(p.text[q]), a + j
+                    leak = leaks.get((text, i))
+                    if leak and leak[0] == 1.0:
+                        continue
+                    if text not in of_text:
+                        of_text[text] = hashes[begin[text] : begin[text] + words[text]].tolist()
+                    found, answer, first = check_passage(lists[i], of_text[text], int(begin_at[q] - begin[text]))
+                    kind = leak_kind(found, answer)
+                    row = (found, answer, float(cosine[q, j]), first, kind)
+                    if kind and (leak is None or row[:3] > leak[:3]):
+                        leaks[text, i] = row
             out = [(doc_ids[t], ids[i], r[4], r[0], r[1], r[2], r[3]) for (t, i), r in sorted(leaks.items())]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             names = [f.split()[0] for f in LEAKS.split(", ")]
-            columns = list(zip(*out)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            fields = list(zip(*out)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(fields, kinds)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, LEAKS)
 
@@ -333,20 +423,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated results; repeated items count once.  Empty tables give no rows.
 
     Document frequencies and the SVD cover all documents.  The driver gets the sums over
-    the hashed vocabulary (BUCKETS x SKETCH numbers) and the benchmark in blocks of
+    the columns (at most (BUCKETS + MAX_OWN) x SKETCH numbers) and the benchmark in blocks of
     ITEM_BLOCK_BYTES; each block is one more pass over the documents.
     """
     # an item is sent as long as it is, so the blocks are cut by its bytes
     measured = benchmark.select("item_id", "text").filter("text is not null").distinct()
     total = measured.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / ITEM_BLOCK_BYTES))
-    idf = inverse_frequencies(docs)
-    space = singular_map(docs, idf)
+    own = benchmark_words(measured)
+    idf, size = inverse_frequencies(docs, own)
+    space = singular_map(docs, own, idf, size)
     out = None
     for b in range(blocks):
-        own = measured.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        items = [(r["item_id"], r["text"].encode()) for r in own]
-        found = _search(docs, sorted(items, key=lambda x: (x[0] is None, x)), idf, space)
+        rows = measured.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        items = [(r["item_id"], r["text"].encode()) for r in rows]
+        found = _search(docs, sorted(items, key=lambda x: (x[0] is None, x)), own, space)
         out = found if out is None else out.unionByName(found)
     return out
 

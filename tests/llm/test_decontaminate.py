@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from pocketlens.llm import decontaminate
@@ -114,3 +115,20 @@ def test_an_item_in_a_third_of_the_rows(spark):
     items = spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.find_leaks(docs, items).collect()}
     assert got == {(i, 1, "verbatim") for i in range(0, 300, 3)}
+
+
+def test_long_documents(spark):
+    rng = random.Random(3)
+    docs = [[f"{rng.randrange(10**6)}" for _ in range(6000)] for _ in range(60)]  # every bucket is in most documents
+    items = {i: [f"{rng.randrange(10**6)}" for _ in range(20)] for i in range(3)}
+    for i in items:
+        docs[5 * i][100 * i : 100 * i] = items[i]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(0, 0), (5, 1), (10, 2)}
+    own = decontaminate.benchmark_words(items)
+    assert own.tolist() == sorted(set(word_hashes([r.text.encode() for r in items.collect()])[0].tolist()))
+    idf, _ = decontaminate.inverse_frequencies(docs, own)
+    once = np.log1p(60 / 2)  # the items' words are in one document or two, whatever their buckets hold
+    assert (idf > 0.6).all() and np.median(idf[decontaminate.BUCKETS :]) == pytest.approx(once, rel=1e-5)
