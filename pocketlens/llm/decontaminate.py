@@ -31,21 +31,23 @@ STEP = 16
 BUCKET_BITS = 14
 MAX_OWN = 1 << 16
 #: Columns of the random matrix, and singular vectors that are kept.
-SKETCH, RANK = 48, 40
+SKETCH, RANK = 136, 128
 SEED = 11
 #: Least cosine of a candidate, and least share of common words in order of a leak: outright, and with the answer.
-MIN_COSINE = 0.15
+MIN_COSINE = 0.33
 VERBATIM, PARAPHRASE, MIN_ANSWER = 0.8, 0.5, 0.6
 #: The answer is this share of an item's words, from its end; shorter items are not sought.
 ANSWER_SHARE, MIN_ITEM_WORDS = 0.25, 5
 #: Items that are compared with a chunk's passages at a time, and candidates that are checked at a time.
 ITEM_COLUMNS = 64
-CHECKED = 4096
+CHECKED = 1024
 #: Items are broadcast in blocks of at most so many bytes of text.
 ITEM_BLOCK_BYTES = 8 << 20
 #: Bytes of text hashed together, words whose rows are gathered at a time, and columns of one row of a sum.
 CHUNK_BYTES = 1 << 17
 GATHERED = 1 << 12
+#: Repeats of a word in a chunk that are added one after the other.
+FEW = 8
 SLOT = 1024
 
 BUCKETS = 1 << BUCKET_BITS
@@ -223,11 +225,20 @@ def singular_map(docs: DataFrame, own: np.ndarray, idf: np.ndarray, size: int) -
             hashes, words = word_hashes(texts)
             p, ids = Passages.of(words), columns_of(hashes, own)
             steps = p.step_sums(weighted, ids)
+            if not len(ids):
+                continue
             order = np.argsort(ids, kind="stable")
-            for a in range(0, len(order), GATHERED):
-                part = order[a : a + GATHERED]
-                first = np.flatnonzero(np.r_[True, ids[part][1:] != ids[part][:-1]])
-                table[ids[part][first]] += np.add.reduceat(steps[p.step[part]], first, axis=0)
+            step, ids = p.step[order], ids[order]
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            times = np.diff(np.r_[first, len(ids)])
+            for a, n in zip(first[times > FEW].tolist(), times[times > FEW].tolist()):
+                for b in range(a, a + n, GATHERED):
+                    table[ids[a]] += steps[step[b : min(b + GATHERED, a + n)]].sum(axis=0)
+            for k in range(FEW):  # the words that come k + 1 times or more
+                at = first[(times <= FEW) & (times > k)]
+                for a in range(0, len(at), GATHERED // 4):
+                    part = at[a : a + GATHERED // 4]
+                    table[ids[part]] += steps[step[part + k]]
         yield _emit(table)
 
     random = random_matrix()
@@ -312,7 +323,9 @@ class _Block:
 
         No leak is lost: common words in order are never more than common words.
         """
-        local = np.full(self.known + 1, len(self.words))
+        if not len(item):
+            return np.zeros(0, bool)
+        local = np.full(self.known + 1, len(self.words), np.int32)
         local[self.words] = np.arange(len(self.words))
         local = local[words]
         masks = np.zeros((len(self.sizes), self.limbs, len(self.words) + 1), np.uint64)
@@ -322,14 +335,14 @@ class _Block:
         order = np.argsort(high - low, kind="stable")  # candidates of one length side by side
         for a in range(0, len(order), CHECKED):
             part = order[a : a + CHECKED]
-            wide = np.arange(int((high - low)[part].max(initial=0)))
-            at = np.minimum(low[part][:, None] + wide, high[part][:, None] - 1)  # the last word again
-            place = local[at]
+            wide = np.arange(int((high - low)[part].max()))
+            at = np.minimum(low[part] + wide[:, None], high[part] - 1)  # the last word again
+            place = local.take(at)
             found = np.zeros(len(part), np.int64)
             of_answer = np.zeros(len(part), np.int64)
             for limb in range(self.limbs):
-                row = (item[part] * self.limbs + limb) * (len(self.words) + 1)
-                bits = np.bitwise_or.reduce(masks[place + row[:, None]], axis=1)
+                row = ((item[part] * self.limbs + limb) * (len(self.words) + 1)).astype(np.int32)
+                bits = np.bitwise_or.reduce(masks.take(place + row), axis=0)
                 found += np.bitwise_count(bits)
                 of_answer += np.bitwise_count(bits & self.answers[item[part], limb])
             n = self.sizes[item[part]]

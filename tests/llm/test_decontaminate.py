@@ -132,3 +132,38 @@ def test_long_documents(spark):
     idf, _ = decontaminate.inverse_frequencies(docs, own)
     once = np.log1p(60 / 2)  # the items' words are in one document or two, whatever their buckets hold
     assert (idf > 0.6).all() and np.median(idf[decontaminate.BUCKETS :]) == pytest.approx(once, rel=1e-5)
+
+
+def test_paraphrases_without_the_rare_words(spark):
+    """Recall against the longest common subsequence of every document and item."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 8))) for _ in range(4000)]
+    common = [a + b for a in "klmno" for b in "pqrstu"]
+
+    def words(n):
+        return [rng.choice(common) if rng.random() < 0.45 else rng.choice(vocabulary) for _ in range(n)]
+
+    items = {i: words(rng.randint(20, 50)) for i in range(40)}
+    docs = {}
+    for i in range(400):
+        text = words(rng.randint(20, 120))
+        if i % 2:
+            own = list(items[rng.randrange(40)])
+            rare = [k for k, w in enumerate(own[: int(0.75 * len(own))]) if w not in common]
+            for k in rng.sample(rare, min(len(rare), int(0.45 * len(own)))):
+                own[k] = rng.choice(vocabulary)
+            at = rng.randrange(len(text))
+            text[at:at] = own
+        docs[i] = text
+    want = set()
+    for d, text in docs.items():
+        for i, item in items.items():
+            if lcs(item, text) >= decontaminate.PARAPHRASE * len(item):  # else no part of the text holds enough either
+                places = (decontaminate.check_passage(item, text, at) for at in range(0, len(text), decontaminate.STEP))
+                if any(decontaminate.leak_kind(found, answer) for found, answer, _ in places):
+                    want.add((d, i))
+    rows = [(i, " ".join(w)) for i, w in docs.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert len(want) >= 200 and got <= want and len(got) >= 0.97 * len(want)
