@@ -13,7 +13,8 @@ from itertools import chain
 
 import numpy as np
 
-WINDOW, STRIDE = 32, 24
+#: Every run of up to WINDOW - STRIDE + 1 words lies whole in some window.
+WINDOW, STRIDE = 32, 4
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 12, 8, 8, 8
 GRAM, BUCKET_BITS = 4, 16
 BUCKETS = 1 << BUCKET_BITS
@@ -211,18 +212,17 @@ class Scorer:
             self.rows.new = []
         return out
 
-    def best_logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(largest logit over all windows, number of windows) of each text."""
-        split = [words_of(t) for t in texts]
+    def logits(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(logit of each window of each text's words, number of windows of each text)."""
         flat = self.rows_of(list(chain.from_iterable(split)))
-        starts, sizes, owner, begin = [], [], [], 0
-        for i, words in enumerate(split):
+        starts, sizes, count, begin = [], [], [], 0
+        for words in split:
             at = window_starts(len(words))
             starts += [begin + s for s in at]
             sizes += [min(WINDOW, len(words))] * len(at)
-            owner += [i] * len(at)
+            count.append(len(at))
             begin += len(words)
-        starts, sizes, owner = np.array(starts), np.array(sizes), np.array(owner)
+        starts, sizes = np.array(starts), np.array(sizes)
         logits = np.empty(len(starts), np.float32)
         order = np.argsort(-sizes, kind="stable")  # whole windows run without a mask
         steps = np.arange(WINDOW)
@@ -232,7 +232,11 @@ class Scorer:
             mask = (steps[:longest] < sizes[part][:, None]).astype(np.float32)
             place = np.minimum(starts[part][:, None] + steps[:longest], len(flat) - 1)
             logits[part] = self.model.forward(flat[place], mask, self.table)
-        count = np.bincount(owner, minlength=len(texts))
+        return logits, np.array(count)
+
+    def best_logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(largest logit over all windows, number of windows) of each text."""
+        logits, count = self.logits([words_of(t) for t in texts])
         return np.maximum.reduceat(logits, np.cumsum(count) - count), count
 
 
@@ -271,12 +275,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int, updates: int, batch:
     weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     step = 0
     epochs = min(MAX_EPOCHS, -(-updates // max(1, len(texts) // batch)))  # a small sample is soon learned by heart
-    windows = [[w[s : s + WINDOW] for s in window_starts(len(w))] for w in split]
+    starts = [window_starts(len(w)) for w in split]
     for epoch in range(epochs):
-        best = _best_windows(model, windows)
+        best = _best_windows(model, split)
         now = rate * (1 - epoch / epochs) + rate * 0.05
         for part in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
-            chosen = [windows[i][best[i]] for i in part]
+            chosen = [split[i][s : s + WINDOW] for i in part for s in [starts[i][best[i]]]]
             unique = list(dict.fromkeys(w for c in chosen for w in c))
             row = {w: i for i, w in enumerate(unique)}
             longest = max(map(len, chosen))
@@ -302,21 +306,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int, updates: int, batch:
     return model
 
 
-def _best_windows(model: Model, windows: list[list[list[str]]]) -> list[int]:
+def _best_windows(model: Model, split: list[list[str]]) -> list[int]:
     """The place of each text's window of the largest logit."""
     scorer, best, at = Scorer(model), [], 0
-    while at < len(windows):
-        take: list[list[list[str]]] = []
-        while at < len(windows) and sum(map(len, take)) < RUN_WINDOWS:
-            take.append(windows[at])
-            at += 1
-        chunk = [w for own in take for w in own]
-        rows = scorer.rows_of([w for c in chunk for w in c])
-        sizes = np.array([len(c) for c in chunk])
-        steps = np.arange(sizes.max())
-        place = (np.cumsum(sizes) - sizes)[:, None] + steps
-        mask = (steps < sizes[:, None]).astype(np.float32)
-        logits = model.forward(rows[np.minimum(place, len(rows) - 1)], mask, scorer.table)
-        ends = np.cumsum([len(own) for own in take])
-        best += [int(np.argmax(part)) for part in np.split(logits, ends[:-1])]
+    while at < len(split):
+        end, words = at + 1, len(split[at])
+        while end < len(split) and words + len(split[end]) <= RUN_WINDOWS * STRIDE:
+            words += len(split[end])
+            end += 1
+        logits, count = scorer.logits(split[at:end])
+        best += [int(np.argmax(part)) for part in np.split(logits, np.cumsum(count)[:-1])]
+        at = end
     return best

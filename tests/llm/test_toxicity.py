@@ -99,3 +99,10 @@ def test_awkward_rows(spark, corpus):
     none = toxicity.score_documents(docs, labels.filter("toxic = 1")).collect()
     assert {r.score for r in none} == {0.0}  # nothing to learn from
     assert toxicity.score_documents(empty_docs(spark), labels).count() == 0
+
+
+def test_every_short_run_is_whole_in_a_window():
+    for n in (33, 56, 116, 1000):
+        starts = gru.window_starts(n)
+        for run in (9, 13, 24, 29):
+            assert all(any(s <= a and a + run <= s + gru.WINDOW for s in starts) for a in range(n - run + 1)), (n, run)
