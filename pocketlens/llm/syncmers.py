@@ -2,8 +2,8 @@
 
 A k-mer of code points is chosen when the smallest hash among its inner s-mers is at
 its first or its last place.  That depends on the k-mer alone, so an edit changes only
-the choices that overlap it.  A fingerprint keeps the chosen k-mers of the smallest
-hashes, each with its first position, written ``hash@position`` and joined by commas.
+the choices that overlap it.  A fingerprint has all chosen k-mers with their positions, in
+the order of the text, written ``hash@position`` and joined by commas.
 Two fingerprints are compared by position: shared anchors count as far as they come in
 the same order in both.
 """
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, rolling_hashes, slices, texts_of
+from .decontaminate import common_length
 
 K, S = 20, 9
-#: Anchors that a fingerprint keeps.
-SKETCH = 48
 #: k-mers that are hashed at a time, and code points that are gathered for it.
 BLOCK = 1 << 17
 #: Ranges of doc_id for each shuffle partition when documents meet their successors.
 RANGES_PER_PARTITION = 4
 MAX_RANGES = 4096
 
-Anchors = list[tuple[int, int]]  # (hash, position), by hash
+Anchors = list[tuple[int, int]]  # (hash, position), by position
 
 
 def chosen_kmers(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def chosen_kmers(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray,
     return at, mix64(runs[k][at]) >> np.uint64(32)
 
 
-def fingerprints_of(texts: list[str], k: int = K, s: int = S, keep: int = SKETCH) -> list[Anchors]:
+def fingerprints_of(texts: list[str], k: int = K, s: int = S) -> list[Anchors]:
     """The fingerprint of each text; a text under k code points is one anchor, an empty one has none."""
     codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
     ends = np.cumsum([len(c) for c in codes])
@@ -75,8 +76,7 @@ def fingerprints_of(texts: list[str], k: int = K, s: int = S, keep: int = SKETCH
             with np.errstate(over="ignore"):
                 whole = rolling_hashes(c, [len(c)])[len(c)]
             own_h, own_at = mix64(whole) >> np.uint64(32), np.zeros(1, np.int64)
-        values, place = np.unique(own_h, return_index=True)
-        out.append(list(zip(values[:keep].tolist(), own_at[place[:keep]].tolist())))
+        out.append(list(zip(own_h.tolist(), own_at.tolist())))
     return out
 
 
@@ -88,18 +88,20 @@ def read_fingerprint(fingerprint: str) -> Anchors:
     return [(int(h, 16), int(at, 16)) for h, _, at in (x.partition("@") for x in fingerprint.split(",") if x)]
 
 
-def likeness(a: Anchors, b: Anchors, keep: int = SKETCH) -> float:
-    """Share (0 to 1) of the smallest anchors of both that both have, in the same order."""
+def likeness(a: Anchors, b: Anchors) -> float:
+    """Share (0 to 1) of the anchors of both, at all their positions, that both have in the same order."""
     if not a or not b:
         return float(not a and not b)
-    in_a, in_b = dict(a), dict(b)
-    union = sorted(in_a.keys() | in_b.keys())[:keep]
-    shared = sorted((in_a[h], in_b[h]) for h in union if h in in_a and h in in_b)
-    chain: list[int] = []  # ends of the longest increasing runs of positions in b
-    for _, at in shared:
-        place = bisect.bisect_left(chain, at)
-        chain[place : place + 1] = [at]
-    return len(chain) / len(union)
+    x, y = ([h for h, _ in sorted(anchors, key=itemgetter(1))] for anchors in (a, b))
+    in_x, in_y = Counter(x), Counter(y)
+    both = in_x.keys() & in_y.keys()
+    union = len(x) + len(y) - sum(min(in_x[h], in_y[h]) for h in both)
+    # what only one has, and an equal beginning and end, are not compared any further
+    x, y = [h for h in x if h in both], [h for h in y if h in both]
+    least = min(len(x), len(y))
+    begin = next((i for i in range(least) if x[i] != y[i]), least)
+    end = next((i for i in range(least - begin) if x[-1 - i] != y[-1 - i]), least - begin)
+    return (begin + end + common_length(x[begin : len(x) - end], y[begin : len(y) - end])) / union
 
 
 def _slots(docs: DataFrame, partitions: int) -> DataFrame:

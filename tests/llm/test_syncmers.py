@@ -74,3 +74,33 @@ def test_awkward_rows(spark):
     assert syncmers.fingerprint_documents(single).first().near_next == 1
     assert syncmers.fingerprint_documents(empty_docs(spark)).count() == 0
     assert syncmers.fingerprint_texts(docs).count() == len(rows)
+
+
+def test_anchors_grow_with_the_text():
+    rng = np.random.default_rng(2)
+    short, long = ("".join(map(chr, rng.integers(97, 123, n))) for n in (2000, 100_000))
+    a, b = syncmers.fingerprints_of([short, long])
+    codes = np.frombuffer(long.encode("utf-32-le"), np.uint32)
+    at, h = syncmers.chosen_kmers(codes)
+    assert b == list(zip(h.tolist(), at.tolist())) and len(b) > 40 * len(a)
+    twice = syncmers.fingerprints_of([short + short])[0]
+    assert twice[-len(a) :] == [(h, at + len(short)) for h, at in a]  # every position of an anchor
+    # a passage of 300 characters in two long texts, and one changed character
+    other = "".join(map(chr, rng.integers(97, 123, 100_000)))
+    shared, changed = other[:5000] + long[700:1000] + other[5000:], long[:50_000] + "!" + long[50_001:]
+    near, equal = (syncmers.likeness(b, p) for p in syncmers.fingerprints_of([shared, changed]))
+    assert 30 / (2 * len(b)) < near < 0.01 and 0.99 < equal < 1
+
+
+def test_likeness_against_the_table():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        x, y = (rng.integers(0, 8, rng.integers(1, 30)).tolist() for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for v in x:
+            last = 0
+            for j, w in enumerate(y):
+                last, row[j + 1] = row[j + 1], last + 1 if v == w else max(row[j], row[j + 1])
+        union = sum(max(x.count(v), y.count(v)) for v in range(8))
+        a, b = ([(v, 3 * i) for i, v in enumerate(s)] for s in (x, y))
+        assert syncmers.likeness(a, b) == row[-1] / union
