@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, chat, decontaminate, licenses, mixing, simhash, syncmers, tokens, toxicity, url_rules
+from . import byte_dedup, chat, decontaminate, hard_negatives, licenses, mixing, simhash, syncmers, tokens, toxicity, url_rules
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -85,6 +85,13 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), rules, default="allow")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = rows.select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lsa_decontaminate": op1_lsa_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -96,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_url_rules": op10_url_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
