@@ -32,6 +32,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def quoted(*path: str) -> Column:
+    """A column by its exact name, or a field by the names that lead to it."""
+    return F.col(".".join("`" + name.replace("`", "``") + "`" for name in path))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches to at most ``rows`` rows, which bounds the Python objects alive at once."""
     for batch in batches:

@@ -45,6 +45,23 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+OP11_LINE_DEDUP = rf"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM lines
+), repeated AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+  SELECT doc_id, place, line, first IS NOT NULL AND doc_id > first AS dropped FROM keyed LEFT JOIN repeated USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
 OP13_HARD_NEGATIVES = """
 WITH vectors AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -71,5 +88,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_license": licenses.oracle_sql(),
     "op6_chat": OP6_CHAT,
     "op10_url_rules": OP10_URL_RULES,
+    "op11_line_dedup": OP11_LINE_DEDUP,
     "op13_hard_negatives": OP13_HARD_NEGATIVES,
 }

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, chat, decontaminate, hard_negatives, licenses, mixing, simhash, syncmers, tokens, toxicity, url_rules
+from . import byte_dedup, chat, decontaminate, hard_negatives, licenses, line_dedup, mixing, simhash, syncmers, tokens, toxicity, url_rules
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -85,6 +85,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), rules, default="allow")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
@@ -103,5 +108,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_url_rules": op10_url_rules,
+    "op11_line_dedup": op11_line_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
