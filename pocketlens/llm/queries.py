@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_dedup, chat, decontaminate, hard_negatives, licenses, line_dedup, mixing, simhash, syncmers, tokens, toxicity, url_rules
+from . import byte_dedup, chat, decontaminate, hard_negatives, licenses, line_dedup, mixing, simhash, spelling, syncmers, tokens, toxicity, url_rules
 from .common import read_table
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -90,6 +90,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(read_table(spark, sf_dir, "documents"), min_chars=7, min_count=2, damage=31)
+    return spelling.group_spellings(words, ratio=10)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
@@ -109,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_url_rules": op10_url_rules,
     "op11_line_dedup": op11_line_dedup,
+    "op12_spelling": op12_spelling,
     "op13_hard_negatives": op13_hard_negatives,
 }
