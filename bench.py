@@ -67,11 +67,10 @@ def run_pipeline(spark, sf_dir: str, names: list[str]) -> dict[str, float]:
     _timed(times, "build_silver", lambda: write_layer(silver_transactions(bronze), paths["silver"], layer="silver"))
     silver = spark.read.parquet(paths["silver"])
     _timed(times, "build_fact", lambda: write_layer(waterfall_fact(silver), paths["fact"], layer="waterfall_fact"))
-    tables = {"bronze": bronze, "silver": silver, "fact": spark.read.parquet(paths["fact"])}
 
     for name in names:
         def run(name=name):
-            LAYER_QUERIES[name](Layers(spark, sf_dir, tables)).write.format("noop").mode("overwrite").save()
+            LAYER_QUERIES[name](Layers(spark, sf_dir, paths)).write.format("noop").mode("overwrite").save()
 
         _timed(times, name, run)
         spark.catalog.clearCache()

@@ -22,7 +22,7 @@ from ..sources import files
 from ..sources.adapter import transactions_from_orders
 from ..sources.generate import profile_transactions, tier_histogram
 from . import questions as Q
-from .sql import register_views, run_readonly_sql
+from .sql import reader_session, register_views, run_readonly_sql
 
 # Fixed parameters of the registered queries.
 PSO = "EUROPE"
@@ -46,15 +46,16 @@ class Layers:
     """The medallion layers over one driver directory (built lazily).
 
     ``tables`` may supply already materialised layers (``bronze``, ``silver``,
-    ``fact``) by name; missing ones are derived from the layer below.
+    ``fact``) by name, as paths or frames; missing ones are derived from the layer below.
     """
 
     spark: SparkSession
     sf_dir: str
-    tables: dict[str, DataFrame] | None = None
+    tables: dict[str, DataFrame | str] | None = None
 
     def _given(self, name: str) -> DataFrame | None:
-        return (self.tables or {}).get(name)
+        given = (self.tables or {}).get(name)
+        return self.spark.read.parquet(given) if isinstance(given, str) else given
 
     def reuse(self, name: str) -> str:
         """How a multi-pass operator shares this layer: re-read a stored table, persist a lineage."""
@@ -128,8 +129,11 @@ class _q:
 
 
 def _readonly_layers(L: Layers) -> DataFrame:
-    register_views(L.spark, L.bronze, L.silver)
-    return run_readonly_sql(L.spark, READONLY_QUERY)
+    """The views registered and asked in a session of their own (the caller's, if it gave layers as frames of it)."""
+    frames = any(not isinstance(t, str) for t in (L.tables or {}).values())
+    own = L if frames else Layers(reader_session(L.spark), L.sf_dir, L.tables)
+    register_views(own.spark, own.bronze, own.silver)
+    return run_readonly_sql(own.spark, READONLY_QUERY)
 
 
 def _no_detected_at(df: DataFrame) -> DataFrame:

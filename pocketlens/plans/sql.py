@@ -2,36 +2,38 @@
 
 A query must begin with SELECT, WITH or EXPLAIN, and is wrapped as a subquery,
 ``SELECT * FROM (<q>)``, which only parses when ``q`` is a query: a ``WITH ...
-INSERT``, a DDL statement or ``a; b`` is a ParseException.  The analysed plan is
-then checked: functions that call into the JVM are refused, and every table it reads
-must be one of the registered views.  EXPLAIN is answered with Spark's own
-``EXPLAIN`` of the wrapped query.
+INSERT``, a DDL statement or ``a; b`` is a ParseException.  What it reads and calls is
+judged on its parsed and analysed trees (:mod:`~pocketlens.plans.guard`).  EXPLAIN is
+answered with Spark's own ``EXPLAIN`` of the wrapped query.
+
+:func:`reader_session` gives the queries a session of their own, in which nothing but the views
+is registered: names of the caller's temporary views neither clash nor can be read.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.gold import customer_profitability, waterfall_alerts, waterfall_fact, waterfall_fact_view
 from ..operators.silver import silver_transactions
 from ..schema import READONLY_FIRST_WORDS
+from .guard import ReadOnlyViolation, TreeGuard
 
 VIEW_NAMES = ("transactions", "waterfall_fact", "customer_profitability", "waterfall_alerts")
 EXPLAIN_MODES = ("EXTENDED", "FORMATTED", "CODEGEN", "COST")
 
 
-# Functions that reach code or files outside the query.
-JVM_CALLS = re.compile(r"\b(reflect|java_method|try_reflect|callmethodviareflection)\s*\(", re.IGNORECASE)
-
-
-class ReadOnlyViolation(ValueError):
-    """The text is not a single read-only query."""
+def reader_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the same SQL settings and no temporary views."""
+    reader = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            reader.conf.set(name, value)
+    return reader
 
 
 def register_views(spark: SparkSession, transactions: DataFrame, silver: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Register the four views the questions are asked against.
+    """Register the four views the questions are asked against, in the session of the frames.
 
     ``transactions`` is the raw (bronze) frame; ``waterfall_fact`` is the
     unrounded view over it (positive guard).  ``customer_profitability`` and
@@ -56,24 +58,6 @@ def _first_word(query: str) -> str:
     return q.split()[0].upper() if q else ""
 
 
-def _relations(plan: str) -> set[str]:
-    """Names of the relations in the parsed (not yet resolved) plan."""
-    return {m.strip("[] ").replace("`", "").lower() for m in re.findall(r"'UnresolvedRelation (\[[^\]]*\])", plan)}
-
-
-def _check(spark: SparkSession, query: str) -> None:
-    """Refuse calls into the JVM and relations other than the views and the query's own CTEs."""
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    text = parsed.toString()
-    called = JVM_CALLS.search(query) or JVM_CALLS.search(text)
-    if called:
-        raise ReadOnlyViolation(f"the function {called[1]} is not permitted")
-    own = {m.lower() for m in re.findall(r"(\w+)\s*(?:\([^()]*\))?\s+AS\s*\(", query, re.IGNORECASE)}
-    foreign = _relations(text) - set(VIEW_NAMES) - own
-    if foreign or "'UnresolvedTableValuedFunction" in text:
-        raise ReadOnlyViolation(f"only the views {', '.join(VIEW_NAMES)} can be read, not {sorted(foreign) or 'table functions'}")
-
-
 def run_readonly_sql(spark: SparkSession, query: str, limit: int | None = None) -> DataFrame:
     """Run one read-only query; all rows, or at most ``limit`` if it is given.
 
@@ -94,7 +78,5 @@ def run_readonly_sql(spark: SparkSession, query: str, limit: int | None = None)
     wrapped = f"SELECT * FROM (\n{body}\n)"
     if limit is not None:
         wrapped += f" LIMIT {int(limit)}"
-    _check(spark, wrapped)
-    if explain:
-        return spark.sql(f"EXPLAIN{mode} {wrapped}")
-    return spark.sql(wrapped)
+    checked = TreeGuard(spark, VIEW_NAMES).check(wrapped)
+    return spark.sql(f"EXPLAIN{mode} {wrapped}") if explain else checked
