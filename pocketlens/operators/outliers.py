@@ -7,13 +7,12 @@ the metric's bad tail (``z <= -1.8`` for low-is-bad, ``z >= 1.8`` for
 high-is-bad); ``|z| >= 2.5`` is HIGH, otherwise MEDIUM.  Groups with fewer than
 three rows, or with zero spread, are not scored.
 
-Plan: (1) one global aggregate for the two percentiles, read back as a
-scalar subquery (evaluated once, no join); (2) one ``groupBy(peer_group)`` computing mean,
-sample std and count of all four metrics at once (combined map-side, so a hot
-peer group costs one row per task in the shuffle); (3) the statistics joined
-back with a size-checked broadcast; (4) rows without any breach are dropped
+Plan: (1) the two percentiles by radix selection over the quantities; (2) one
+``groupBy(peer_group)`` for mean, sample std and count of all four metrics at once, exact in any
+order of the rows (combined map-side, so a hot peer group costs one row per task in the shuffle);
+(3) the statistics joined back, broadcast if their measured bytes allow it; (4) rows without any breach are dropped
 *before* the four metrics are unpivoted, so the expansion only touches flagged
-rows.  Rows are never sorted or shuffled by peer group.
+rows.  Rows are never sorted or shuffled by peer group unless the statistics are too large to broadcast.
 """
 
 from __future__ import annotations
@@ -24,10 +23,11 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.classify import z_band
 from ..functions.filters import require_columns
+from ..functions.moments import moment_sums, moments, with_limbs
 from ..functions.quantiles import exact_percentiles
 from ..functions.ratios import metric_columns
 from ..functions.rounding import round_half_up
-from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, join_small, measured
+from ..plans.broadcast import join_measured
 from ..plans.reuse import shared
 
 FLAG_COLUMNS = [
@@ -67,8 +67,7 @@ SUMMARY_COLUMNS = [
 def quantile_bounds(df: DataFrame, column: str = "sales_qty", method: str = "exact", accuracy: int = 100_000) -> DataFrame:
     """One row ``(_p33, _p67)``: linear-interpolated percentiles of ``column``.
 
-    ``method="exact"`` (default) gives the same values as ``percentile`` but
-    selects them by value range over a distributed histogram
+    ``method="exact"`` (default) gives the same values as ``percentile`` by radix selection
     (:func:`~pocketlens.functions.quantiles.exact_percentiles`), so no task
     merges all distinct values.  ``"approx"`` uses ``percentile_approx``.
     """
@@ -90,14 +89,10 @@ def volume_bands(df: DataFrame, column: str = "sales_qty", method: str = "exact"
     """Add a LOW / MEDIUM / HIGH band: right-closed cuts at p33 and p67.
 
     When p33 == p67 every row is MEDIUM.  NULL quantities get a NULL band.
-    The one-row bounds are materialised once (persisted, then counted) and read
-    as a scalar subquery bound to a column, so the rows are not joined with
-    anything and the later jobs of :func:`detect_outliers` (peer statistics,
-    scoring) read the cached row instead of recomputing the percentiles.
+    The one-row bounds are read as a scalar subquery bound to a column, so the rows are not joined with anything.
     """
     low, medium, high = S.VOLUME_BANDS
-    bounds_row, _ = measured(quantile_bounds(df, column, method))
-    bounds = bounds_row.select(F.struct("_p33", "_p67")).scalar()
+    bounds = quantile_bounds(df, column, method).select(F.struct("_p33", "_p67")).scalar()
     q, p33, p67 = F.col(column), F.col("_bounds._p33"), F.col("_bounds._p67")
     band = (
         F.when(q.isNull(), F.lit(None).cast("string"))
@@ -110,15 +105,12 @@ def volume_bands(df: DataFrame, column: str = "sales_qty", method: str = "exact"
 
 
 def peer_statistics(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """Mean, sample std and count of each metric per peer group, in one aggregation."""
-    aggs = []
-    for m in metrics:
-        aggs += [
-            F.avg(m).alias(f"_mean_{m}"),
-            F.stddev_samp(m).alias(f"_std_{m}"),
-            F.count(m).alias(f"_n_{m}"),
-        ]
-    return rows.groupBy("peer_group").agg(*aggs)
+    """Mean, sample std and count of each metric per peer group, in one aggregation.
+
+    The same bits for any order and partitioning of the rows (:mod:`~pocketlens.functions.moments`).
+    """
+    sums = with_limbs(rows.select("peer_group", *metrics), metrics).groupBy("peer_group").agg(*moment_sums(metrics))
+    return moments(sums, metrics, ["peer_group"])
 
 
 def detect_outliers(
@@ -128,8 +120,8 @@ def detect_outliers(
     min_peer_size: int = S.MIN_PEER_SIZE,
     keys: list[str] | None = None,
     quantile_method: str = "exact",
-    max_broadcast_groups: int = DEFAULT_MAX_BROADCAST_ROWS,
-    reuse: str = "persist",
+    max_broadcast_bytes: int | None = None,
+    reuse: str = "none",
 ) -> DataFrame:
     """One row per (transaction, metric) breach.
 
@@ -140,10 +132,8 @@ def detect_outliers(
     are derived with the nonzero guard.  The peer group key concatenates with
     ``|`` and is NULL when a part is NULL (such rows are not scored).
 
-    The input is read by three passes (percentiles, peer statistics, scoring).
-    ``reuse`` decides how the projected input is shared between them (see
-    :func:`~pocketlens.plans.reuse.shared`): persisted once by default; pass
-    ``"none"`` when ``df`` is a stored table or already persisted.
+    The input is read by several passes (percentiles, peer statistics, scoring); pass
+    ``reuse="write"`` unless it is a stored table (:func:`~pocketlens.plans.reuse.shared`).  Nothing is cached.
     """
     require_columns(df, S.OUTLIER_REQUIRED)
     keys = [k for k in (keys or []) if k not in FLAG_COLUMNS]
@@ -157,7 +147,7 @@ def detect_outliers(
     )
     rows = rows.select(*keys, *[c for c in FLAG_COLUMNS[:9]], *metrics)
     stats = peer_statistics(rows, metrics)
-    scored = join_small(rows, stats, "peer_group", max_rows=max_broadcast_groups)
+    scored = join_measured(rows, stats, "peer_group", max_broadcast_bytes)
 
     z_cols: dict[str, Column] = {}
     breaches = []

@@ -7,15 +7,16 @@ built with ``to_json`` from three one-row aggregates.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.classify import margin_health
 from ..functions.filters import TxnFilter, apply_filters
+from ..plans.reuse import shared
 from .outliers import detect_outliers, top_outliers
 from .trends import margin_bridge
 from .waterfall import compute_waterfall
@@ -193,20 +194,21 @@ def insight_payload(
 
 @dataclass
 class Analysis:
-    """DataFrames produced by :func:`analyze` (``None`` when not requested)."""
+    """DataFrames produced by :func:`analyze` (``None`` when not requested); nothing is cached, so nothing to release."""
 
     action: str
+    filters: TxnFilter | None = None
     waterfall: DataFrame | None = None
     outliers: DataFrame | None = None
     bridge: DataFrame | None = None
     payload: DataFrame | None = None
-    error: str | None = None
-    cached: list[DataFrame] = field(default_factory=list)
 
-    def release(self) -> None:
-        for df in self.cached:
-            df.unpersist()
-        self.cached.clear()
+    @cached_property
+    def error(self) -> str | None:
+        """Why there is nothing to report: no rows under the filters.  Asking runs the waterfall once."""
+        if self.waterfall is not None and self.waterfall.isEmpty():
+            return f"no rows to analyse for {self.filters}"
+        return None
 
 
 #: What each action returns.
@@ -225,36 +227,31 @@ def analyze(
     filters: TxnFilter | None = None,
     base_year: int | None = None,
     current_year: int | None = None,
+    reuse: str = "none",
 ) -> Analysis:
     """The parts of an action (:data:`ACTION_PARTS`) over one filtered slice.
 
     Peer groups of the outliers are formed after filtering; the bridge compares the two
-    years of the unfiltered frame and is left out without them.  The waterfall is
-    computed once, as its single row decides whether there is anything to analyse: an
-    empty one sets ``error`` and leaves the other parts out.  The payload is what a
-    narrative writer would receive.  Call :meth:`Analysis.release` when done.
+    years of the unfiltered frame and is left out without them.  A slice without a waterfall row has
+    nothing to analyse: every part is then empty, the bridge that comes with a waterfall
+    included, and :attr:`Analysis.error` says so.  The payload is what a
+    narrative writer would receive.  The slice is read by several passes; ``reuse="write"`` writes it
+    once (:func:`~pocketlens.plans.reuse.shared`), for frames that are not stored tables.
     """
     if action not in ACTION_PARTS:
         raise ValueError(f"unknown action {action!r}; expected one of {tuple(ACTION_PARTS)}")
     parts = ACTION_PARTS[action]
-    out = Analysis(action=action)
+    out = Analysis(action=action, filters=filters)
     scope = df if filters is None or filters.is_empty() else apply_filters(df, filters)
-    shared = {"waterfall", "outliers"} <= parts
-    if shared:
-        scope = scope.persist(StorageLevel.MEMORY_AND_DISK)
-        out.cached.append(scope)
-    if "waterfall" in parts:
-        plan = compute_waterfall(scope)
-        row = plan.first()
-        if row is None:
-            out.error = f"no rows to analyse for {filters}"
-            out.release()
-            return out
-        out.waterfall = df.sparkSession.createDataFrame([row], plan.schema)
     if "outliers" in parts:
-        out.outliers = detect_outliers(scope, reuse="none" if shared else "persist")
+        scope = shared(scope, reuse)
+        out.outliers = detect_outliers(scope)
+    if "waterfall" in parts:
+        out.waterfall = compute_waterfall(scope)
     if "bridge" in parts and None not in (base_year, current_year):
         out.bridge = margin_bridge(df, base_year, current_year)
+        if out.waterfall is not None:
+            out.bridge = out.bridge.filter(out.waterfall.agg(F.count(F.lit(1)).alias("n")).scalar() > 0)
     if "payload" in parts:
         out.payload = insight_payload(out.waterfall, out.outliers, out.bridge)
     return out

@@ -58,8 +58,8 @@ class Layers:
         return self.spark.read.parquet(given) if isinstance(given, str) else given
 
     def reuse(self, name: str) -> str:
-        """How a multi-pass operator shares this layer: re-read a stored table, persist a lineage."""
-        return "none" if self._given(name) is not None else "persist"
+        """How a multi-pass operator shares this layer: re-read a stored table, write a lineage once."""
+        return "none" if self._given(name) is not None else "write"
 
     @cached_property
     def bronze(self) -> DataFrame:
@@ -189,13 +189,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_active_alerts": _q(lambda L: _no_detected_at(Q.q_active_alerts(L.alerts))),
     "q_realization_by_pso": _q(lambda L: Q.q_realization_by_pso(L.bronze, QUESTION_YEAR)),
     "q_low_tier_groups": _q(lambda L: Q.q_low_tier_groups(L.fact)),
-    "q_full_analysis": _q(lambda L: Q.q_full_analysis(L.bronze, PSO, BASE_YEAR, CURRENT_YEAR)),
+    "q_full_analysis": _q(lambda L: Q.q_full_analysis(L.bronze, PSO, BASE_YEAR, CURRENT_YEAR, L.reuse("bronze"))),
     "analyze_waterfall": _q(lambda L: reports.analyze(L.bronze, "waterfall", TxnFilter(pso=PSO)).waterfall),
-    "analyze_outliers": _q(lambda L: reports.analyze(L.bronze, "outliers", TxnFilter(pso=PSO)).outliers),
+    "analyze_outliers": _q(lambda L: reports.analyze(L.bronze, "outliers", TxnFilter(pso=PSO), reuse=L.reuse("bronze")).outliers),
     "analyze_trends": _q(
         lambda L: trends.flatten_bridge(reports.analyze(L.bronze, "trends", TxnFilter(pso=PSO), BASE_YEAR, CURRENT_YEAR).bridge)
     ),
-    "analyze_narrative": _q(lambda L: reports.analyze(L.bronze, "narrative", TxnFilter(pso=PSO)).payload),
+    "analyze_narrative": _q(lambda L: reports.analyze(L.bronze, "narrative", TxnFilter(pso=PSO), reuse=L.reuse("bronze")).payload),
     "q_bonus_by_material": _q(lambda L: Q.q_bonus_by_material(L.bronze)),
     "q_deduction_by_pso": _q(lambda L: Q.q_deduction_by_pso(L.bronze, QUESTION_YEAR)),
     "q_outlier_customers": _q(lambda L: Q.q_outlier_customers(L.silver, reuse=L.reuse("silver"))),

@@ -114,12 +114,9 @@ def q_low_tier_groups(fact: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
-def q_full_analysis(bronze: DataFrame, pso: str, base_year: int, current_year: int) -> DataFrame:
-    """Q10: full analysis of one PSO, as the insight payload."""
-    result = analyze(bronze, "full_analysis", TxnFilter(pso=pso), base_year, current_year)
-    if result.payload is None:
-        raise ValueError(result.error or "no payload")
-    return result.payload
+def q_full_analysis(bronze: DataFrame, pso: str, base_year: int, current_year: int, reuse: str = "none") -> DataFrame:
+    """Q10: full analysis of one PSO, as the insight payload (no row if the PSO has none)."""
+    return analyze(bronze, "full_analysis", TxnFilter(pso=pso), base_year, current_year, reuse).payload
 
 
 def q_bonus_by_material(bronze: DataFrame, n: int = 5) -> DataFrame:
@@ -149,7 +146,7 @@ def q_deduction_by_pso(bronze: DataFrame, year: int) -> DataFrame:
     return wf.select("pso", "deduction_pct", "deductions", "blue_price", "transaction_count")
 
 
-def q_outlier_customers(silver: DataFrame, reuse: str = "persist") -> DataFrame:
+def q_outlier_customers(silver: DataFrame, reuse: str = "none") -> DataFrame:
     """Q13: customers with flagged high deductions or low margins."""
     flags = detect_outliers(silver, reuse=reuse).filter(F.col("metric").isin("deduction_pct", "margin_pct"))
     return flags.groupBy("sold_to", "corporate_group").agg(

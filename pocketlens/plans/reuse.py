@@ -7,27 +7,24 @@ caller knows which one it holds and says so with ``reuse``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..session import scratch_dir
+from ..session import scratch_path
 
-REUSE_MODES = ("persist", "checkpoint", "none")
+REUSE_MODES = ("none", "write")
 
 
-def shared(df: DataFrame, reuse: str = "persist") -> DataFrame:
+def shared(df: DataFrame, reuse: str = "none") -> DataFrame:
     """Prepare ``df`` to be read by several passes.
 
-    ``persist``: memory and disk (recomputed from lineage if an executor is
-    lost); ``checkpoint``: written to the session's checkpoint folder, cutting
-    a long lineage; ``none``: every pass reads ``df`` again (for a stored table
-    or an input that is already persisted).
+    ``none``: every pass reads ``df`` again (for a stored table); ``write``: it is written once to the shared
+    scratch folder and read from there, which cuts a long lineage.  Nothing is
+    cached, so nothing has to be released and a lost executor costs no recomputation.
     """
-    if reuse == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if reuse == "checkpoint":
-        scratch_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
     if reuse == "none":
         return df
+    if reuse == "write":
+        path = scratch_path(df.sparkSession, "slice")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     raise ValueError(f"unknown reuse {reuse!r}; expected one of {REUSE_MODES}")

@@ -6,7 +6,7 @@ import pytest
 
 from pocketlens.functions.filters import TxnFilter
 from pocketlens.operators.outliers import detect_outliers
-from pocketlens.operators.reports import analyze, bridge_steps, insight_payload, waterfall_steps
+from pocketlens.operators.reports import ACTION_PARTS, analyze, bridge_steps, insight_payload, waterfall_steps
 from pocketlens.operators.trends import margin_bridge
 from pocketlens.operators.waterfall import compute_waterfall
 
@@ -72,7 +72,6 @@ def test_analyze_routing(routing_df):
     full = analyze(routing_df, "full_analysis", None, 2024, 2025)
     assert full.waterfall is not None and full.outliers is not None and full.bridge is not None
     assert full.outliers.count() == 0 and full.payload.count() == 1
-    full.release()
     w = analyze(routing_df, "waterfall")
     assert w.outliers is None and w.bridge is None and w.payload is None
     t = analyze(routing_df, "trends", None, 2024, 2025)
@@ -84,17 +83,29 @@ def test_analyze_routing(routing_df):
 
 
 def test_analyze_empty_is_error(routing_df):
-    r = analyze(routing_df, "full_analysis", TxnFilter(country="Atlantis"))
-    assert "Atlantis" in r.error and r.waterfall is None and not r.cached
-    r.release()
+    r = analyze(routing_df, "full_analysis", TxnFilter(country="Atlantis"), 2024, 2025)
+    assert "Atlantis" in r.error
+    assert all(part.count() == 0 for part in (r.waterfall, r.outliers, r.bridge, r.payload))
+    assert analyze(routing_df, "full_analysis", TxnFilter(country="Atlantis"), 2024, 2025).bridge.count() == 0
+    assert analyze(routing_df, "waterfall").error is None and analyze(routing_df, "trends").error is None
 
 
 def test_analyze_bridge_ignores_filters(routing_df):
     r = analyze(routing_df, "full_analysis", TxnFilter(year=2025), 2024, 2025)
     assert r.bridge.count() == 1  # the filter would have removed 2024
-    r.release()
 
 
 def test_unknown_action(routing_df):
     with pytest.raises(ValueError):
         analyze(routing_df, "forecast")
+
+
+@pytest.mark.parametrize("action", list(ACTION_PARTS))
+@pytest.mark.parametrize("reuse", ["none", "write"])
+def test_analyze_leaves_nothing_cached(spark, routing_df, action, reuse):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    r = analyze(routing_df, action, None, 2024, 2025, reuse)
+    for part in (r.waterfall, r.outliers, r.bridge, r.payload):
+        if part is not None:
+            part.collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
