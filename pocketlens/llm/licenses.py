@@ -2,9 +2,10 @@
 
 All rolling word k-grams of every text are joined by hash with the positions of the same
 k-gram in license templates; each match votes for its diagonal (place in the text minus
-place in the template).  Votes are summed by diagonal, diagonals that lie next to each
-other are merged (words put in or left out shift them), and a merged span is verified by
-the share of the template's words that it covers and by its length.
+place in the template).  Votes are summed by diagonal; each diagonal is merged with those that
+lie up to MAX_SHIFT further on (words put in shift them), and a span is verified by
+the share of the template's words that it covers.  A span starts with one alignment and
+ends MAX_SHIFT words behind the template's length, so partial hits elsewhere neither lengthen nor hide it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Words of a k-gram: the shortest phrase has two.
 GRAM = 2
-#: Diagonals that differ by at most so much are one span, and a span is longer than its template by no more.
+#: Diagonals of a span differ by at most so much, so it is longer than its template by no more.
 MAX_SHIFT = 2
 #: Least share of a template's words that a verified span covers.
 MIN_COVER = 0.75
@@ -98,7 +99,6 @@ def scan_licenses(
     votes = joined.select(
         *key, "n_words", "t", "t_len", "t_at", "label", "base",
         (F.col("place") == 0).cast("long").alias("is_document"),
-        (F.col("place") - 1).alias("at"),
         (F.col("place") - 1 - F.col("t_at")).alias("diagonal"),
     )
 
@@ -106,41 +106,29 @@ def scan_licenses(
         F.sum("is_document").alias("documents"),
         F.max("n_words").alias("n_words"),
         F.collect_set("t_at").alias("places"),
-        F.min("at").alias("first_at"),
-        F.max("at").alias("last_at"),
     )
-    in_order = Window.partitionBy(*key, "t").orderBy("diagonal")
-    opens = (F.col("diagonal") - F.lag("diagonal").over(in_order) > MAX_SHIFT).cast("int")
-    diagonals = diagonals.withColumn("opens", F.coalesce(opens, F.lit(0)))
-    diagonals = diagonals.withColumn("span", F.sum("opens").over(in_order))
-
+    ahead = Window.partitionBy(*key, "t").orderBy("diagonal").rangeBetween(0, MAX_SHIFT)
+    near = F.flatten(F.collect_list("places").over(ahead))
+    covered = F.flatten(F.transform("near", lambda p: F.sequence(p, p + (GRAM - 1))))
     full = F.col("base") & (F.size("places") == F.col("t_len") - (GRAM - 1))
-    spans = diagonals.groupBy(*key, "t", "t_len", "label", "span").agg(
-        F.sum("documents").alias("documents"),
-        F.max("n_words").alias("n_words"),
-        F.sum(full.cast("long")).alias("n_base"),
-        F.min(F.when(full, F.col("diagonal"))).alias("first_word"),
-        F.max(F.when(full, F.col("diagonal"))).alias("last_word"),
-        F.flatten(F.collect_list("places")).alias("places"),
-        (F.max("last_at") + GRAM - F.min("first_at")).alias("length"),
-    )
-    covered = F.flatten(F.transform("places", lambda p: F.sequence(p, p + (GRAM - 1))))
-    cover = F.size(F.array_distinct(covered)) / F.col("t_len")
-    spans = spans.withColumn("cover", F.when(F.col("t").isNotNull(), cover))
-    verified = (F.col("cover") >= MIN_COVER) & (F.col("length") <= F.col("t_len") + MAX_SHIFT)
+    spans = diagonals.withColumn("near", near).select(
+        *key, "label", "documents", "n_words", "diagonal",
+        full.alias("full"),
+        F.when(F.col("t").isNotNull(), F.size(F.array_distinct(covered)) / F.col("t_len")).alias("cover"),
+    )
+    verified = F.col("cover") >= MIN_COVER
 
     def joined_labels(which):
         return F.array_join(F.sort_array(F.collect_set(F.when(which, F.col("label")))), ",")
 
-    of_base = F.col("n_base") > 0
     out = spans.groupBy(*key).agg(
         F.sum("documents").alias("documents"),
         F.max("n_words").cast("long").alias("n_words"),
-        F.coalesce(F.sum("n_base"), F.lit(0)).alias("n_base"),
-        F.min("first_word").cast("long").alias("first_word"),
-        F.max("last_word").cast("long").alias("last_word"),
-        joined_labels(of_base).alias("base_labels"),
-        joined_labels(of_base | verified).alias("labels"),
+        F.count_if("full").alias("n_base"),
+        F.min(F.when(F.col("full"), F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(F.col("full"), F.col("diagonal"))).cast("long").alias("last_word"),
+        joined_labels(F.col("full")).alias("base_labels"),
+        joined_labels(F.col("full") | verified).alias("labels"),
         F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"),
     )
     result = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -164,33 +152,27 @@ words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ),
-grams AS (
-  SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)
-),
-diagonals AS (
-  SELECT doc_id, t, t_len, label, base, pos - t_at AS diagonal, list(DISTINCT t_at) AS places, min(pos) AS first_at, max(pos) AS last_at
-  FROM grams JOIN t_grams USING (gram) GROUP BY ALL
-),
-opened AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) > {MAX_SHIFT} THEN 1 ELSE 0 END AS opens
-  FROM diagonals
+hits AS (  -- a k-gram of the text in its place of a template laid at word ``start`` of the text
+  SELECT doc_id, t, t_len, label, base, t_at, i - 1 - t_at AS start
+  FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)) JOIN t_grams USING (gram)
 ),
-numbered AS (
-  SELECT *, sum(opens) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span, base AND len(places) = t_len - 1 AS whole FROM opened
+laid AS (SELECT DISTINCT doc_id, t, t_len, label, start FROM hits),
+covers AS (
+  SELECT doc_id, label, laid.start, count(DISTINCT h.t_at + k) / t_len AS cover
+  FROM laid JOIN hits h USING (doc_id, t, t_len, label), (VALUES (0), (1)) AS n(k)
+  WHERE h.start BETWEEN laid.start AND laid.start + {MAX_SHIFT} GROUP BY doc_id, t, t_len, label, laid.start
 ),
-spans AS (
-  SELECT doc_id, t, t_len, label, span, count(*) FILTER (whole) AS n_base,
-    min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word,
-    len(list_distinct(flatten([flatten(list(places)), [p + 1 for p in flatten(list(places))]]))) / t_len AS cover,
-    max(last_at) + 2 - min(first_at) AS length
-  FROM numbered GROUP BY doc_id, t, t_len, label, span
+bases AS (
+  SELECT doc_id, label, start FROM hits WHERE base GROUP BY doc_id, t, t_len, label, start HAVING count(*) = t_len - 1
 ),
 found AS (
-  SELECT doc_id, sum(n_base) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0) AS base_labels,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0 OR (cover >= {MIN_COVER} AND length <= t_len + {MAX_SHIFT})) AS labels,
-    max(cover) AS score
-  FROM spans GROUP BY doc_id
+  SELECT doc_id, max(cover) AS score,
+    (SELECT count(*) FROM bases b WHERE b.doc_id = c.doc_id) AS n_base,
+    (SELECT min(start) FROM bases b WHERE b.doc_id = c.doc_id) AS first_word,
+    (SELECT max(start) FROM bases b WHERE b.doc_id = c.doc_id) AS last_word,
+    (SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM bases b WHERE b.doc_id = c.doc_id) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (cover >= {MIN_COVER}) AS labels
+  FROM covers c GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -50,3 +50,40 @@ def test_labels_of_the_method(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(text)
         assert (r.score == 1) >= (r.n_base > 0) and 0 <= r.score <= 1
     assert got[6].n_base == 500 and 0 < got[4].score < 0.75
+
+
+def spans(text):
+    """(labels, score) by laying every template at every word, with words put in up to the allowed shift."""
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    pairs = list(zip(words, words[1:]))
+    labels, best = set(), 0.0
+    for phrase, label in [*licenses.BASE_PHRASES, *licenses.NOTICES]:
+        p = phrase.split()
+        for start in range(-len(p), len(words)):
+            covered = set()
+            for shift in range(licenses.MAX_SHIFT + 1):
+                for at in range(len(p) - 1):
+                    if 0 <= start + shift + at < len(pairs) and pairs[start + shift + at] == (p[at], p[at + 1]):
+                        covered |= {at, at + 1}
+            # a span begins with a hit of its first alignment
+            if any(0 <= start + at < len(pairs) and pairs[start + at] == (p[at], p[at + 1]) for at in range(len(p) - 1)):
+                best = max(best, len(covered) / len(p))
+                if len(covered) / len(p) >= licenses.MIN_COVER:
+                    labels.add(label)
+    return ",".join(sorted(labels | set(filter(None, base(text)[4].split(","))))), best
+
+
+def test_notices_stay_among_repeated_partial_hits(spark):
+    texts, expected = [], []
+    for phrase, label in [*licenses.BASE_PHRASES, *licenses.NOTICES]:
+        p = phrase.split()
+        for part in {" ".join(p[1:]), " ".join(p[:-1]), " ".join(p[-2:]), " ".join(p[: max(2, len(p) // 2)])}:
+            for text in (f"{phrase} {part} {part} {part}", f"{part} {part} {phrase}", f"{part} x {part} x {phrase} y {part} {part}"):
+                texts.append(text)
+                expected.append(label)
+    texts += ["mozilla public license public license public license", "mozilla public public license public license", "gnu gnu general gnu general public"]
+    expected += ["mpl", "mpl", None]
+    got = scan(spark, texts)
+    for i, (text, label) in enumerate(zip(texts, expected)):
+        assert label is None or label in got[i].labels.split(","), text
+        assert (got[i].labels, round(got[i].score, 9)) == (spans(text)[0], round(spans(text)[1], 9)), text
