@@ -46,9 +46,9 @@ SHARD_VARIANTS = 3_000
 #: Kinds of rows that step 1 deals out.
 SINGLE, SEVERAL, DONE = 0, 1, 2
 
-PIECES = "deal bigint, kind int, piece bigint, doc_key bigint, text_key int, start int, stop int"
-FOUND = "anchor bigint, piece bigint, doc_key bigint, text_key int, start int, stop int, variant boolean, removed boolean"
-SPANS = "doc_key bigint, text_key int, start int, stop int"
+PIECES = "deal bigint, kind int, piece bigint, doc_key bigint, text_key bigint, start int, stop int"
+FOUND = "anchor bigint, piece bigint, doc_key bigint, text_key bigint, start int, stop int, variant boolean, removed boolean"
+SPANS = "doc_key bigint, text_key bigint, start int, stop int"
 WINDOWS = SPANS + ", shard int, removed boolean, digest bigint, digest_low bigint"
 
 
@@ -59,12 +59,19 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
 
+def _identity(seed: int) -> Column:
+    # a row's doc_id (null or not) and whole text; the number of bytes is hashed as well
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.octet_length(text), text)
+
+
 def _doc_key() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_key")
+    """With :func:`_text_key` 128 bits that name a row by doc_id and text; only equal rows share both."""
+    return _identity(1).alias("doc_key")
 
 
 def _text_key() -> Column:
-    return F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")
+    return _identity(2).alias("text_key")
 
 
 def anchored_pieces(data: np.ndarray, ends: np.ndarray, match: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -326,7 +333,7 @@ def removed_spans(docs: DataFrame, match: int = MATCH, anchor: int = ANCHOR, sha
                     rows.append((a["anchor"], a["shard"], doc_key, text_key, a["start"], a["removed"], piece))
             yield _batch(cut_schema, list(zip(*rows)) if rows else [[]] * 7)
 
-    cut_schema = "anchor bigint, shard int, doc_key bigint, text_key int, start int, removed boolean, text binary"
+    cut_schema = "anchor bigint, shard int, doc_key bigint, text_key bigint, start int, removed boolean, text binary"
     texts = docs.join(asked, ["doc_key", "text_key"]).select("doc_key", "text_key", "text", "asked")
     pieces = materialise(texts.mapInArrow(cut_out, cut_schema), "byte-variants")
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pocketlens.llm import byte_dedup, suffixes
 
@@ -90,3 +91,15 @@ def test_dropped_repeats_leave_whole_characters(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in byte_dedup.drop_repeats(docs).collect()}
     assert got == {1: ("aaa", 3), 2: (" end", 4), 4: ("", 0), 5: ("clean", 5)}  # the last byte of © is also é's
+
+
+def test_rows_without_doc_id_are_told_apart_by_their_whole_text(spark):
+    """Two texts of equal 32-bit hash, both without a doc_id, and a document that holds one of them."""
+    many = spark.range(200_000).selectExpr("repeat(sha2(cast(id AS string), 256), 4) AS text").selectExpr("text", "hash(text) AS h")
+    pair = many.groupBy("h").agg(F.collect_list("text").alias("t")).filter("size(t) > 1").orderBy("h").first().t
+    rows = [(None, pair[0]), (None, pair[1]), (1, pair[0]), (-(1 << 63), pair[1][:250]), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert ordered(digests(df)) == ordered(brute(rows, 200))
+    rows = rows[:2] + [(1, pair[0])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert ordered(digests(df)) == ordered(brute(rows, 200))
