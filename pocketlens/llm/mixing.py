@@ -115,9 +115,14 @@ def mix_plan(docs: DataFrame, weights: Sequence[float], seed: int = 0, max_copie
     The driver gets one row for each source.  One task fits one source: it holds the
     source's count of documents by length, never documents.
     """
+    return _plan(docs, weights, seed, max_copies, [])
+
+
+def _plan(docs: DataFrame, weights: Sequence[float], seed: int, max_copies: int, names: list[str]) -> DataFrame:
+    """:func:`mix_plan` with the columns ``names`` of ``docs`` (whole numbers that name a row) carried along."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = materialise(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sizes = materialise(docs.select("doc_id", "source", size.alias("size"), *names), "mix-sizes")
     by_length = sizes.groupBy("source", "size").agg(F.count("*").alias("n"))
     totals = {r["source"]: r["words"] for r in by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     targets = share_out(totals, weights, max_copies)
@@ -140,7 +145,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float], seed: int = 0, max_copie
     part = F.floor((F.shiftrightunsigned(order, 32) / F.lit(2.0**32)) * F.ceil(F.col("n") / RANK_ROWS))
     unsigned = F.shiftrightunsigned(order, 1)
     drawn = sizes.join(plan, sizes["source"].eqNullSafe(plan["p_source"]) & (sizes["size"] == plan["p_size"]))
-    drawn = drawn.select("doc_id", "source", "size", "whole", "extra", part.alias("part"), unsigned.alias("draw"))
+    drawn = drawn.select("doc_id", *names, "source", "size", "whole", "extra", part.alias("part"), unsigned.alias("draw"))
     parts = drawn.groupBy("source", "size", "part").agg(F.count("*").alias("rows"))
     earlier = F.sum("rows").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("rows")
     parts = parts.select(
@@ -150,27 +155,37 @@ def mix_plan(docs: DataFrame, weights: Sequence[float], seed: int = 0, max_copie
         parts,
         drawn["source"].eqNullSafe(parts["p_source"]) & (drawn["size"] == parts["p_size"]) & (drawn["part"] == parts["p_part"]),
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "doc_id", *names))
     copies = F.col("whole") + (F.col("earlier") + rank <= F.col("extra")).cast("int")
-    drawn = drawn.select("doc_id", "source", "size", copies.alias("copies"))
+    drawn = drawn.select("doc_id", *names, "source", "size", copies.alias("copies"))
     shares = spark.createDataFrame(
         [(s, totals[s], float(targets[s])) for s in totals], "s_source string, source_size bigint, target double"
     )
     out = drawn.join(shares, drawn["source"].eqNullSafe(shares["s_source"]))
     taken = (F.col("size") * F.col("copies")).alias("taken")
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", taken)
+    return out.select("doc_id", *names, "source", "size", "source_size", "target", "copies", taken)
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float], seed: int = 0, max_copies: int = MAX_COPIES) -> DataFrame:
     """The documents of the mix with all their columns, then size, source_size, target, copies and taken.
 
-    A document is returned once, with its number of copies; documents without a copy and
-    rows without a doc_id are left out.  Of repeated doc_ids, one plan holds for all rows.
-    Input columns of these names are replaced.
+    Every row of ``docs`` has its own row of the plan: repeated doc_ids, whole repeated rows and rows without
+    a doc_id are drawn like any other, so the words taken are the plan's.  A row is returned
+    once, with its number of copies; rows without a copy are left out.  Input columns of these names are replaced.
+    Rows of equal doc_id, source and text are told apart by the hash of their other columns.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
-    plan = mix_plan(docs, weights, seed, max_copies).filter("copies > 0 and doc_id is not null")
-    plan = plan.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("mixed_doc_id"), *[F.col(c).alias(f"mixed_{c}") for c in added])
-    joined = docs.join(plan, docs["doc_id"] == plan["mixed_doc_id"])
+    content = [F.col(c).isNull() for c in ("doc_id", "source", "text")] + [F.col(c) for c in ("doc_id", "source", "text")]
+    # 128 bits that name a row's doc_id, source and text
+    named = docs.withColumns({f"mix_key_{k}": F.xxhash64(F.lit(k), *content) for k in (1, 2)})
+    keys = ["mix_key_1", "mix_key_2"]
+    plan = _plan(named, weights, seed, max_copies, keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies")))
+    plan = plan.select(*[F.col(k).alias(f"plan_{k}") for k in keys], nth.alias("plan_nth"), *[F.col(c).alias(f"mixed_{c}") for c in added])
+    plan = plan.filter("mixed_copies > 0")
+    other = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "source", "text")] or [F.lit(0)])
+    rows = named.withColumn("mix_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(other)))
+    same = [rows[k] == plan[f"plan_{k}"] for k in keys] + [rows["mix_nth"] == plan["plan_nth"]]
+    joined = rows.join(plan, same)
     own = [c for c in docs.columns if c not in added]
-    return joined.select(*[docs[c] for c in own], *[F.col(f"mixed_{c}").alias(c) for c in added])
+    return joined.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"mixed_{c}").alias(c) for c in added])

@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,5 +73,26 @@ def test_awkward_rows(spark):
     mixed = mixing.mix_documents(docs, (5, 2, 1))
     added = ["size", "source_size", "target", "copies", "taken"]
     assert mixed.columns == [c for c in docs.columns if c not in added] + added
-    assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in plan if r.copies and r.doc_id is not None}
+    key = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    assert ordered(tuple(r[k] for k in key) for r in mixed.collect()) == ordered(tuple(r[k] for k in key) for r in plan if r.copies)
     assert mixing.mix_documents(empty_docs(spark), (5, 2, 1)).count() == 0
+
+
+def test_every_row_has_its_own_row_of_the_plan(spark):
+    """Repeated ids with other texts and sources, whole repeated rows, rows without an id."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1, 2, 3, i]), " ".join(["w"] * rng.choice([3, 5, 40])), rng.choice(["a", "b", None]), i % 3) for i in range(300)]
+    rows += rows[:40] + [(1, None, "a", 0), (1, "", "b", 1), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int").repartition(4)
+    for seed in (0, 4):
+        plan = mixing.mix_plan(docs, (5, 2, 1), seed=seed).collect()
+        mixed = mixing.mix_documents(docs, (5, 2, 1), seed=seed).collect()
+        key = ("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+        assert ordered(tuple(r[k] for k in key) for r in mixed) == ordered(tuple(r[k] for k in key) for r in plan if r.copies)
+        assert not Counter((r.doc_id, r.text, r.source, r.n_chars) for r in mixed) - Counter(rows)
+        assert all(len((r.text or "").split()) == r["size"] for r in mixed)
+        for source in ("a", "b", None):
+            own = [r for r in mixed if r.source == source]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        again = mixing.mix_documents(docs.repartition(7), (5, 2, 1), seed=seed).collect()
+        assert ordered(map(tuple, mixed)) == ordered(map(tuple, again))
