@@ -1,7 +1,8 @@
-"""Toxicity scores by a bidirectional gated recurrent network over all overlapping windows."""
+"""Toxicity scores by a bidirectional gated recurrent network over overlapping windows (one starts at every STRIDE-th word)."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts_of
-from .gru import Model, Scorer, train
+from .gru import Scorer, train
 
 #: The bounded sample that the network is fitted on: rows of each label, and the longest text among them.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000
@@ -27,35 +28,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(texts, labels) of at most SAMPLE_TOXIC + SAMPLE_CLEAN rows that are not held out, by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text) of at most SAMPLE_TOXIC + SAMPLE_CLEAN documents that are not held out, by a hash of doc_id.
+
+    Of repeated labels the largest counts; of repeated doc_ids the smallest text of up to SAMPLE_CHARS characters is taken.
+    """
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen: dict[int, int] = {}
-    for y, rows in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        draw = usable.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
-        chosen |= {r["doc_id"]: y for r in draw.collect()}
-    if not chosen:
-        return [], np.empty(0, np.int64)
-    found = docs.filter(F.col("doc_id").isin(list(chosen)) & (F.length("text") <= SAMPLE_CHARS))
-    texts = {(r["doc_id"], r["text"]) for r in found.select("doc_id", "text").limit(2 * len(chosen)).collect()}
-    ordered = sorted(texts)
-    return [t for _, t in ordered], np.array([chosen[i] for i, _ in ordered], np.int64)
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The network fitted on :func:`labelled_sample`; None without rows of both labels."""
-    texts, y = labelled_sample(docs, labels)
-    if not 0 < y.sum() < len(y):
-        return None
-    return train(texts, y, SEED, UPDATES)
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
+    draws = [usable.filter(F.col("toxic") == y).orderBy(*order).limit(rows) for y, rows in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    draw = draws[0].unionByName(draws[1])  # bounded by the two limits
+    texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
+    found = texts.join(F.broadcast(draw), "doc_id").groupBy("doc_id", "toxic")
+    return found.agg(F.min("text").alias("text"))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
+    labels = np.array([y for _, _, y in rows], np.int64)
+    if 0 < labels.sum() < len(labels):
+        model = train([t for _, t, _ in rows], labels, SEED, UPDATES)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
+    """The pickled network fitted on :func:`labelled_sample`, in one task; None without rows of both labels.
+
+    The sample is bounded by its rows and the longest text; the driver gets the network alone.
+    """
+    row = labelled_sample(docs, labels).coalesce(1).mapInArrow(_train, "model binary").first()
+    return None if row is None else bytes(row["model"])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
     """Toxicity of every whole text.
 
-    A document's score is that of its most toxic window: all overlapping windows of its
-    words are scored, whatever its length.  Returns doc_id (or the columns ``carry``), then
+    A document's score is that of its most toxic window: overlapping windows over all of its
+    words are scored, whatever its length; one starts at every STRIDE-th word, so a run of up to
+    WINDOW - STRIDE + 1 words lies whole in one of them.  Returns doc_id (or the columns ``carry``), then
     held_out, score (0 to 1), predicted (1 if score >= ``threshold``) and n_windows, one row
     for each input row, repeated rows included.  A null or empty text is one empty window;
     a null doc_id is kept.  Without labelled rows of both kinds there is nothing to learn
@@ -66,7 +76,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     shared = spark.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if shared.value is not None else None
+        scorer = Scorer(pickle.loads(shared.value)) if shared.value is not None else None
         for batch in slices(batches, 256):
             texts = texts_of(batch)
             if scorer is None:

@@ -76,8 +76,19 @@ def test_held_out_accuracy(spark, corpus):
 def test_labels_of_held_out_rows_do_not_matter(spark, corpus):
     docs, labels, _ = corpus
     turned = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1 THEN 1 - toxic ELSE toxic END AS toxic")
-    texts, y = toxicity.labelled_sample(docs, labels)
-    assert (texts, y.tolist()) == (toxicity.labelled_sample(docs, turned)[0], toxicity.labelled_sample(docs, turned)[1].tolist())
+    sample = ordered(map(tuple, toxicity.labelled_sample(docs, labels).collect()))
+    assert sample and sample == ordered(map(tuple, toxicity.labelled_sample(docs, turned).collect()))
+
+
+def test_repeated_ids_give_one_text_to_the_sample(spark, corpus):
+    docs, labels, _ = corpus
+    other = docs.selectExpr("doc_id", "concat('zz ', text) AS text")
+    sample = ordered(map(tuple, toxicity.labelled_sample(docs.select("doc_id", "text"), labels).collect()))
+    for order in (1, 2):
+        both = docs.select("doc_id", "text").unionByName(other).unionByName(docs.select("doc_id", "text")).repartition(order + 2)
+        got = ordered(map(tuple, toxicity.labelled_sample(both, labels.unionByName(labels)).collect()))
+        assert [(i, y) for i, y, _ in got] == [(i, y) for i, y, _ in sample] and all(t <= "zz " + t for _, _, t in got)
+        assert got == ordered((i, y, min(t, "zz " + t)) for i, y, t in sample)
 
 
 def test_scores_do_not_depend_on_the_batch(corpus):
