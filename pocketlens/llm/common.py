@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -61,6 +61,13 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, name: str, *counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`materialise`, and aggregates over the rows that the write itself has seen (no second job)."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *counts), name)
+    return out, seen.get
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64 values (multiply and xor-shift rounds)."""
     with np.errstate(over="ignore"):

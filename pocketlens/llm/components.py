@@ -12,16 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise_counted
 
 #: Rounds grow with the logarithm of the longest path; more than this means a fault.
 MAX_ROUNDS = 64
 
 
-def _state(edges: DataFrame) -> tuple:
-    # wrap-around sums of two hashes tell one edge set from another
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and what tells one edge set from another: wrap-around sums of two hashes, taken from the write."""
     h = F.xxhash64("a", "b")
-    return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(0xFFFFFFFF))).first())
+    counts = (F.count("*").alias("n"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low"))
+    edges, seen = materialise_counted(edges, "edges", *counts)
+    return edges, (seen["n"], seen["high"], seen["low"])
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -40,13 +42,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     An empty edge table gives an empty result.  Nodes without an edge are not returned.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialise(edges, "edges")
-    before = _state(edges)
+    edges, before = _written(edges)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = materialise(_round(edges), "edges")
-        now = _state(edges)
+        edges, now = _written(_round(edges))
         if now == before:
             break
         before = now
