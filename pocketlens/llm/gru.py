@@ -136,6 +136,70 @@ class Model:
         logit = (context @ p["o"])[:, 0] + p["c"][0]
         return (logit, (both, pre, weight, context, tape)) if keep else logit
 
+    def infer(self, flat: np.ndarray, table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Logits of the windows of ``sizes`` words that begin at ``starts`` of ``flat``, which are rows of ``table``.
+
+        :meth:`forward` for scoring: overlapping windows share the products of a word, both
+        directions run side by side, and each step works in place on whole blocks.  Halves
+        stand in the products and matrices (``sigmoid(x) = (tanh(x / 2) + 1) / 2``), which is exact.
+        """
+        p, n, steps = self.p, len(starts), int(sizes.max())
+        base = int(starts.min())
+        own = table[flat[base : int((starts + sizes).max())]].reshape(-1, 2, 3, HIDDEN).transpose(2, 1, 0, 3)
+        half = np.array([0.5, 0.5, 1.0], np.float32)[:, None, None, None]
+        own = np.ascontiguousarray(own * half)  # gate, direction, place, unit
+        u = np.stack([p["U" + way].reshape(HIDDEN, 3, HIDDEN) for way in "fb"]) * np.float32(0.5)  # direction, unit, gate, unit
+        u = np.ascontiguousarray(u.transpose(2, 0, 1, 3))
+        last = own.shape[2] - 1
+        full = int(sizes.min()) == steps
+        z, r, m = (np.empty((2, n, HIDDEN), np.float32) for _ in range(3))
+        x = np.empty((3, 2, n, HIDDEN), np.float32)
+        states = np.empty((2, steps, n, HIDDEN), np.float32)
+        h = np.zeros((2, n, HIDDEN), np.float32)
+        for t in range(steps):
+            step = (t, steps - 1 - t)
+            for d in (0, 1):
+                at = np.minimum(starts - base + step[d], last)
+                for gate in range(3):
+                    np.take(own[gate, d], at, axis=0, out=x[gate, d], mode="clip")
+            np.matmul(h, u[0], out=z)
+            z += x[0]
+            np.tanh(z, out=z)
+            np.matmul(h, u[1], out=r)
+            r += x[1]
+            np.tanh(r, out=r)
+            r += 1
+            np.matmul(h, u[2], out=m)
+            m *= r
+            m += x[2]
+            np.tanh(m, out=m)
+            # h = m + (z + 1) / 2 * (h - m)
+            new = h - m
+            z += 1
+            z *= 0.5
+            new *= z
+            new += m
+            for d in (0, 1):
+                if not full:
+                    np.copyto(new[d], h[d], where=(step[d] >= sizes)[:, None])
+                states[d, step[d]] = new[d]
+            h = new
+        pre = states[0] @ p["A"][:HIDDEN]
+        pre += states[1] @ p["A"][HIDDEN:]
+        pre += p["a"]
+        np.tanh(pre, out=pre)
+        e = (pre @ p["v"])[:, :, 0]
+        if not full:
+            e[np.arange(steps)[:, None] >= sizes] = -1e9
+        e -= e.max(axis=0)
+        np.exp(e, out=e)
+        e /= e.sum(axis=0)
+        # the states' part in the logit, then their weighted sum
+        worth = (states[0] @ p["o"][:HIDDEN])[:, :, 0]
+        worth += (states[1] @ p["o"][HIDDEN:])[:, :, 0]
+        worth *= e
+        return worth.sum(axis=0) + p["c"][0]
+
     def gradients(self, rows, mask, x, products, saved, slope) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the parameters and of the input vectors; ``slope`` is the loss by logit."""
         p, h3 = self.p, 3 * HIDDEN
@@ -225,13 +289,9 @@ class Scorer:
         starts, sizes = np.array(starts), np.array(sizes)
         logits = np.empty(len(starts), np.float32)
         order = np.argsort(-sizes, kind="stable")  # whole windows run without a mask
-        steps = np.arange(WINDOW)
         for a in range(0, len(order), RUN_WINDOWS):
             part = order[a : a + RUN_WINDOWS]
-            longest = int(sizes[part[0]])
-            mask = (steps[:longest] < sizes[part][:, None]).astype(np.float32)
-            place = np.minimum(starts[part][:, None] + steps[:longest], len(flat) - 1)
-            logits[part] = self.model.forward(flat[place], mask, self.table)
+            logits[part] = self.model.infer(flat, self.table, starts[part], sizes[part])
         return logits, np.array(count)
 
     def best_logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

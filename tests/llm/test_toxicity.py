@@ -117,3 +117,40 @@ def test_every_short_run_is_whole_in_a_window():
         starts = gru.window_starts(n)
         for run in (9, 13, 24, 29):
             assert all(any(s <= a and a + run <= s + gru.WINDOW for s in starts) for a in range(n - run + 1)), (n, run)
+
+
+def plain_logit(p, inputs):
+    """One window, word by word, from the formulas of a gated recurrent unit and attention pooling."""
+    h, size = gru.HIDDEN, len(inputs)
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    states = np.zeros((size, 2 * h))
+    for d, way in enumerate("fb"):
+        w, u, b = (p[k + way].astype(np.float64) for k in "WUB")
+        state = np.zeros(h)
+        for t in range(size) if way == "f" else reversed(range(size)):
+            x, g = inputs[t] @ w + b, state @ u
+            z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :])
+            states[t, d * h : (d + 1) * h] = state
+    e = (np.tanh(states @ p["A"] + p["a"]) @ p["v"])[:, 0]
+    weight = np.exp(e) / np.exp(e).sum()
+    return float((weight @ states @ p["o"])[0] + p["c"][0])
+
+
+def test_scores_against_a_plain_pass_over_each_window():
+    rng = np.random.default_rng(4)
+    vocabulary = ["vile", "words", "été", "日本", "a", "longerword", "x1"]
+    model = gru.Model.fresh({w: i + 1 for i, w in enumerate(vocabulary[:4])}, rng.normal(size=4).astype(np.float32), rng.normal(size=gru.BUCKETS).astype(np.float32), 3)
+    for k, v in model.p.items():
+        model.p[k] = (v + rng.normal(size=v.shape) * 0.3).astype(np.float32)
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 31, 32, 33, 40, 75, 200)] + [""]
+    got, windows = gru.Scorer(model).best_logits(texts)
+    for text, logit, n in zip(texts, got, windows):
+        words = gru.words_of(text)
+        inputs = model.inputs(words)[0].astype(np.float64)
+        starts = gru.window_starts(len(words))
+        assert n == len(starts)
+        assert logit == pytest.approx(max(plain_logit(model.p, inputs[s : s + gru.WINDOW]) for s in starts), abs=1e-4)
