@@ -20,8 +20,10 @@ from ..operators import checks, gold, outliers, reports, silver, trends, waterfa
 from ..session import scratch_path
 from ..sources import files
 from ..sources.adapter import transactions_from_orders
+from ..sources.batches import BatchTable
 from ..sources.generate import profile_transactions, tier_histogram
 from . import questions as Q
+from .layers import build_layers, refresh_layers
 from .sql import reader_session, register_views, run_readonly_sql
 
 # Fixed parameters of the registered queries.
@@ -101,6 +103,26 @@ def _bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.load_transactions(spark, table_path=path)[0]
 
 
+def _bronze_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of the bronze rows in a batch table, the second loaded twice, as a retry does."""
+    bronze = Layers(spark, sf_dir).bronze
+    table = BatchTable(spark, scratch_path(spark, "bronze-batches"))
+    table.load(bronze.filter("year < 1998"), "to-1997", truncate=True)
+    for _ in range(2):
+        table.load(bronze.filter("year >= 1998"), "from-1998")
+    return table.read()
+
+
+def _layers_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored customer profitability, built without the last year and brought up to date with it."""
+    path = scratch_path(spark, "refreshed")
+    files.write_layer(Layers(spark, sf_dir).bronze, f"{path}/bronze", layer="bronze")
+    bronze = spark.read.parquet(f"{path}/bronze")
+    last = bronze.agg(F.max("year")).scalar()
+    built = build_layers(spark, bronze.filter(F.col("year") < last), path)
+    return refresh_layers(built, bronze, bronze.filter(F.col("year") == last)).tables["customer_profitability"]
+
+
 def _silver_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver written as a clustered layer table and read back."""
     path = scratch_path(spark, "silver-layer")
@@ -145,7 +167,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bronze_transactions": _q(lambda L: files.bronze_transactions(L.bronze)),
     "bronze_csv_roundtrip": _csv_roundtrip,
     "bronze_table_append": _bronze_append,
+    "bronze_batch_table": _bronze_batches,
     "silver_layer_table": _silver_layer,
+    "customer_layer_refreshed": _layers_refreshed,
     "price_percentiles": _price_percentiles,
     "silver_transactions": _q(lambda L: L.silver),
     "quality_flag_counts": _q(lambda L: L.silver.groupBy("data_quality_flag").agg(F.count(F.lit(1)).alias("rows"))),

@@ -11,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.gold import customer_profitability, waterfall_alerts, waterfall_fact
 from ..operators.silver import silver_transactions
-from ..sources.files import write_layer
+from ..sources.files import update_layer, write_layer
 
 LAYER_ORDER = ("silver", "waterfall_fact", "customer_profitability", "waterfall_alerts")
 
@@ -48,3 +49,32 @@ def build_layers(spark: SparkSession, bronze: DataFrame, root: str, layers: tupl
         if "waterfall_alerts" in layers:
             write("waterfall_alerts", waterfall_alerts(fact), None)
     return BuiltLayers(paths, tables)
+
+
+def refresh_layers(built: BuiltLayers, bronze: DataFrame, new_rows: DataFrame) -> BuiltLayers:
+    """Bring stored layers up to date after ``new_rows`` were added to ``bronze`` (which holds them).
+
+    Every layer's keys hold the year, so only the years of the new rows can change: silver, fact and
+    customer profitability are recomputed for these years and only their partitions are
+    written.  The alerts, one row for each segment, are written anew from the fact.
+    """
+    spark = bronze.sparkSession
+    years = new_rows.select("year").distinct()
+    part = bronze.join(F.broadcast(years), "year", "left_semi").select(*bronze.columns)
+    update_layer(silver_transactions(part), built.paths["silver"], years, "silver")
+    tables = dict(built.tables, bronze=bronze, silver=_read(spark, built.paths["silver"]))
+    if "waterfall_fact" in built.paths:
+        update_layer(waterfall_fact(tables["silver"]), built.paths["waterfall_fact"], years, "waterfall_fact")
+        tables["waterfall_fact"] = _read(spark, built.paths["waterfall_fact"])
+    if "customer_profitability" in built.paths:
+        update_layer(customer_profitability(tables["waterfall_fact"]), built.paths["customer_profitability"], years, "customer_profitability")
+        tables["customer_profitability"] = _read(spark, built.paths["customer_profitability"])
+    if "waterfall_alerts" in built.paths:
+        waterfall_alerts(tables["waterfall_fact"]).write.mode("overwrite").parquet(built.paths["waterfall_alerts"])
+        tables["waterfall_alerts"] = _read(spark, built.paths["waterfall_alerts"])
+    return BuiltLayers(built.paths, tables)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    spark.catalog.refreshByPath(path)  # partitions were replaced under the same name
+    return spark.read.parquet(path)

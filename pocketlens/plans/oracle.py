@@ -532,6 +532,7 @@ FROM pcts""",
         "tier_histogram": with_(*BASE, row_pcts) + f"SELECT {tier_case} AS tier, count(*) AS rows FROM pcts GROUP BY 1",
         "bronze_transactions": with_(*BASE) + "SELECT * FROM transactions",
         "bronze_csv_roundtrip": with_(*BASE) + "SELECT * FROM transactions",
+        "bronze_batch_table": with_(*BASE) + "SELECT * FROM transactions",
         "bronze_table_append": with_(*BASE) + "SELECT * FROM transactions UNION ALL SELECT * FROM transactions",
         "silver_layer_table": with_(*SILVER_CHAIN) + "SELECT * FROM silver",
         "price_percentiles": "SELECT round(quantile_cont(l_extendedprice, 0.33), 4) AS p33, "
@@ -545,6 +546,7 @@ FROM pcts""",
         "fact_slice": with_(*FACT_CHAIN)
         + f"SELECT {fact_slice_cols} FROM fact WHERE year = {year_f} AND pso = {pso}",
         "customer_profitability": with_(*FACT_CHAIN, cust) + "SELECT * FROM customers",
+        "customer_layer_refreshed": with_(*FACT_CHAIN, cust) + "SELECT * FROM customers",
         "customers_by_margin": with_(*FACT_CHAIN, cust)
         + "SELECT sold_to, corporate_group, country, pso, year, total_qty, total_pocket_revenue, total_margin_dollars, "
         "wavg_margin_pct, wavg_realization_pct, margin_tier FROM customers "

@@ -124,6 +124,19 @@ def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by
     writer.parquet(path)
 
 
+def update_layer(df: DataFrame, path: str, years: DataFrame, layer: str) -> None:
+    """Replace the partitions of a layer table that the one-column frame ``years`` names by the rows of ``df`` of these years.
+
+    Only folders of these years are written (dynamic partition overwrite); a named year without
+    rows in ``df`` keeps what it has.  The layout is that of :func:`write_layer`; a table that is not there yet is begun.
+    """
+    partition_by, cluster_by = LAYER_LAYOUT[layer]
+    changed = years.select(F.col(years.columns[0]).alias(partition_by)).distinct()
+    rows = df.join(F.broadcast(changed), partition_by, "left_semi")  # a row for each year
+    rows = rows.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(*cluster_by)
+    rows.select(*df.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+
+
 def bronze_transactions(df: DataFrame) -> DataFrame:
     """The 16-column bronze projection (no transformation)."""
     return df.select(*BRONZE_COLUMNS)
