@@ -21,6 +21,7 @@ from ..session import scratch_path
 from ..sources import files
 from ..sources.adapter import transactions_from_orders
 from ..sources.batches import BatchTable
+from ..sources.footers import footer_table
 from ..sources.generate import profile_transactions, tier_histogram
 from . import questions as Q
 from .layers import build_layers, refresh_layers
@@ -34,6 +35,7 @@ QUESTION_YEAR = 1999
 BASE_YEAR = 1999
 CURRENT_YEAR = 2000
 LOW_MARGIN_THRESHOLD = 15.0
+ORDER_YEARS = list(range(1995, 2001))  # the orders of 2001 fail the check
 SEGMENT_DIMS = ["country", "pso", "year"]
 READONLY_QUERY = """
 SELECT pso, margin_tier, COUNT(*) AS customers, SUM(transaction_count) AS transactions
@@ -130,6 +132,13 @@ def _silver_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(*silver.SILVER_COLUMNS)
 
 
+def _stored_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze written as a layer table, read back so that counts come from its footers."""
+    path = scratch_path(spark, "bronze-layer")
+    files.write_layer(Layers(spark, sf_dir).bronze, path, layer="bronze")
+    return footer_table(spark, path)
+
+
 def _price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact p33 and p67 of a column whose values are nearly all different."""
     prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_extendedprice")
@@ -184,6 +193,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "active_alerts": _q(lambda L: _no_detected_at(gold.active_alerts(L.alerts))),
     "data_checks": _q(lambda L: checks.run_checks(L.fact, L.customers)),
     "dataset_status": _q(lambda L: checks.dataset_status(L.bronze, "driver tables")),
+    "data_checks_years": _q(lambda L: checks.run_checks(L.fact, L.customers, ORDER_YEARS)),
+    "stored_status": lambda spark, sf_dir: checks.dataset_status(_stored_bronze(spark, sf_dir), "bronze layer"),
+    "stored_coverage": lambda spark, sf_dir: checks.coverage_by_year(_stored_bronze(spark, sf_dir)),
+    "required_columns": lambda spark, sf_dir: checks.required_columns(_stored_bronze(spark, sf_dir)),
     "profile_transactions": _q(lambda L: profile_transactions(L.bronze)),
     "tier_histogram": _q(lambda L: tier_histogram(L.bronze)),
     # waterfall and trends

@@ -465,10 +465,11 @@ def build() -> dict[str, str]:
             start=1,
         )
     )
+    accepted_years = "2023, 2024, 2025, 2026"
     checks_fact = [
         ("country", "not_null", None),
         ("year", "not_null", None),
-        ("year", "accepted_values", "2023, 2024, 2025, 2026"),
+        ("year", "accepted_values", accepted_years),
         ("material", "not_null", None),
         ("sold_to", "not_null", None),
         ("pso", "not_null", None),
@@ -496,6 +497,15 @@ def build() -> dict[str, str]:
         [check_sel("waterfall_fact", "fact", *c) for c in checks_fact]
         + [check_sel("customer_profitability", "customers", *c) for c in checks_cust]
     )
+    prices = ["sales_qty", "blue_jobber_price", "deductions", "invoice_price", "bonuses", "pocket_price", "standard_cost"]
+    names = ["sold_to", "corporate_group", "country", "pso", "material", "year"]
+    required = {"waterfall": [*prices, "material_cost"], "period_metrics": ["year", *prices], "outliers": names + prices}
+    required_sql = " UNION ALL ".join(
+        f"SELECT '{operator}' AS operator, '{c}' AS column_name, true AS present, "
+        f"CAST(count_if({c} IS NULL) AS BIGINT) AS null_rows FROM transactions"
+        for operator, columns in required.items()
+        for c in columns
+    )
     fact_slice_cols = (
         "country, year, material, sales_designation, sold_to, corporate_group, pso, sales_qty, blue_jobber_price, "
         "deductions, invoice_price, bonuses, pocket_price, standard_cost, material_cost, contribution_margin, "
@@ -556,6 +566,14 @@ FROM pcts""",
         + f"SELECT {active_cols} FROM active "
         "ORDER BY CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, country, pso, year",
         "data_checks": with_(*FACT_CHAIN, cust) + checks_sql,
+        "data_checks_years": with_(*FACT_CHAIN, cust)
+        + checks_sql.replace(f"NOT (year IN ({accepted_years}))", "year NOT BETWEEN 1995 AND 2000"),
+        "stored_status": with_(*BASE)
+        + "SELECT 'ok' AS status, 'bronze layer' AS data_source, count(*) AS row_count FROM transactions",
+        "stored_coverage": with_(*BASE)
+        + "SELECT year, count(*) AS row_count, CAST(count_if(standard_cost IS NULL) AS BIGINT) AS rows_without_cost, "
+        "min(sales_qty) AS min_qty, max(sales_qty) AS max_qty FROM transactions GROUP BY year",
+        "required_columns": with_(*BASE) + required_sql,
         "dataset_status": with_(*BASE)
         + "SELECT 'ok' AS status, 'driver tables' AS data_source, count(*) AS row_count FROM transactions",
         "compute_waterfall": with_(*BASE) + waterfall_sql("transactions"),

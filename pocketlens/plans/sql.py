@@ -6,7 +6,7 @@ INSERT``, a DDL statement or ``a; b`` is a ParseException.  What it reads and ca
 judged on its parsed and analysed trees (:mod:`~pocketlens.plans.guard`).  EXPLAIN is
 answered with Spark's own ``EXPLAIN`` of the wrapped query.
 
-:func:`reader_session` gives the queries a session of their own, in which nothing but the views
+:func:`~pocketlens.session.reader_session` gives the queries a session of their own, in which nothing but the views
 is registered: names of the caller's temporary views neither clash nor can be read.
 """
 
@@ -17,21 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.gold import customer_profitability, waterfall_alerts, waterfall_fact, waterfall_fact_view
 from ..operators.silver import silver_transactions
 from ..schema import READONLY_FIRST_WORDS
+from ..session import reader_session  # noqa: F401 - part of this module's interface
 from .guard import ReadOnlyViolation, TreeGuard
 
 VIEW_NAMES = ("transactions", "waterfall_fact", "customer_profitability", "waterfall_alerts")
 EXPLAIN_MODES = ("EXTENDED", "FORMATTED", "CODEGEN", "COST")
 
 
-def reader_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application with the same SQL settings and no temporary views."""
-    reader = spark.newSession()
-    for name, value in spark.conf.getAll.items():
-        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
-            reader.conf.set(name, value)
-    return reader
-
-
 def register_views(spark: SparkSession, transactions: DataFrame, silver: DataFrame | None = None) -> dict[str, DataFrame]:
     """Register the four views the questions are asked against, in the session of the frames.
 

@@ -30,6 +30,10 @@ LAYER_LAYOUT = {
     "customer_profitability": ("year", ["year", "pso"]),
 }
 
+# Columns that are filtered by equality but not sorted by: their Bloom filters (sized by the writer from
+# the values met, and left out where a dictionary serves) skip row groups, as statistics do for sorted keys.
+LOOKUP_COLUMNS = ["sold_to", "material", "corporate_group"]
+
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read headered CSV transactions and conform them to :data:`TRANSACTION_SCHEMA`.
@@ -103,6 +107,11 @@ def write_bronze(df: DataFrame, path: str, truncate: bool = False) -> int:
     return df.sparkSession.read.parquet(path).count()
 
 
+def _layer_options(df: DataFrame) -> dict[str, str]:
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKUP_COLUMNS if c in df.columns}
+    return blooms | {"parquet.bloom.filter.adaptive.enabled": "true"}
+
+
 def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by: str | None = None,
                 cluster_by: list[str] | None = None) -> None:
     """Overwrite a layer table, partitioned by year and clustered on its keys.
@@ -110,7 +119,9 @@ def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by
     Rows are rebalanced on the clustering keys: one shuffle, after which AQE sizes the
     writer tasks from the data (``spark.sql.adaptive.advisoryPartitionSizeInBytes``),
     joins small ones and splits a key value that holds a large share of the rows.
-    Files are sorted by the clustering keys.  The input is computed once.
+    Files are sorted by the clustering keys, so a filter on them skips row groups by their
+    statistics; equality on :data:`LOOKUP_COLUMNS` skips them by dictionary or Bloom filter.
+    The input is computed once.
     """
     if layer is not None:
         partition_by, cluster_by = LAYER_LAYOUT[layer]
@@ -118,7 +129,7 @@ def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by
     out = df
     if cluster_by:
         out = out.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(*cluster_by)
-    writer = out.write.mode("overwrite")
+    writer = out.write.mode("overwrite").options(**_layer_options(out))
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -134,7 +145,8 @@ def update_layer(df: DataFrame, path: str, years: DataFrame, layer: str) -> None
     changed = years.select(F.col(years.columns[0]).alias(partition_by)).distinct()
     rows = df.join(F.broadcast(changed), partition_by, "left_semi")  # a row for each year
     rows = rows.hint("rebalance", *[F.col(c) for c in cluster_by]).sortWithinPartitions(*cluster_by)
-    rows.select(*df.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    writer = rows.select(*df.columns).write.mode("overwrite").options(**_layer_options(df))
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
 
 
 def bronze_transactions(df: DataFrame) -> DataFrame:
