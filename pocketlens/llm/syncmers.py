@@ -27,6 +27,8 @@ from .decontaminate import common_length
 K, S = 20, 9
 #: k-mers that are hashed at a time, and code points that are gathered for it.
 BLOCK = 1 << 17
+#: Anchors that one step over the bits of a table covers in the time of a pair of places.
+TABLE_WORD = 2048
 #: Ranges of doc_id for each shuffle partition when documents meet their successors.
 RANGES_PER_PARTITION = 4
 MAX_RANGES = 4096
@@ -88,6 +90,29 @@ def read_fingerprint(fingerprint: str) -> Anchors:
     return [(int(h, 16), int(at, 16)) for h, _, at in (x.partition("@") for x in fingerprint.split(",") if x)]
 
 
+def matched_in_order(x: list[int], y: list[int]) -> int:
+    """Length of the longest common subsequence of two lists of hashes.
+
+    Matching places are chained: each place of ``x`` in turn, its places in ``y`` from the last to the first, and the
+    longest rising sequence of the latter (n log n for n matching pairs of places).  Hashes that repeat often in both
+    make more pairs than a table held in bits has words; then the table is used, with the same result.
+    """
+    in_y = Counter(y)
+    if sum(in_y[h] for h in x) > len(y) * (1 + len(x) // TABLE_WORD):
+        return common_length(x, y)
+    places: dict[int, list[int]] = {}
+    for j in range(len(y) - 1, -1, -1):
+        places.setdefault(y[j], []).append(j)
+    ends: list[int] = []  # the smallest last place of a chain of each length
+    for h in x:
+        for j in places.get(h, ()):
+            if not ends or j > ends[-1]:
+                ends.append(j)
+            else:
+                ends[bisect.bisect_left(ends, j)] = j
+    return len(ends)
+
+
 def likeness(a: Anchors, b: Anchors) -> float:
     """Share (0 to 1) of the anchors of both, at all their positions, that both have in the same order."""
     if not a or not b:
@@ -101,7 +126,7 @@ def likeness(a: Anchors, b: Anchors) -> float:
     least = min(len(x), len(y))
     begin = next((i for i in range(least) if x[i] != y[i]), least)
     end = next((i for i in range(least - begin) if x[-1 - i] != y[-1 - i]), least - begin)
-    return (begin + end + common_length(x[begin : len(x) - end], y[begin : len(y) - end])) / union
+    return (begin + end + matched_in_order(x[begin : len(x) - end], y[begin : len(y) - end])) / union
 
 
 def _slots(docs: DataFrame, partitions: int) -> DataFrame:

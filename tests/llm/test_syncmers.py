@@ -1,4 +1,6 @@
 import hashlib
+import time
+from collections import Counter
 
 import numpy as np
 
@@ -45,17 +47,61 @@ def test_likeness():
     assert syncmers.read_fingerprint(syncmers.write_fingerprint(a)) == a
 
 
+def plain_hash(run):
+    """Polynomial hash of a run of code points, scrambled; whole numbers modulo 2^64."""
+    h = 0
+    for c in run:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+    for _ in range(2):
+        h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ (h >> 32)
+
+
+def plain_fingerprint(text):
+    """Closed syncmers by their definition: the smallest inner hash stands first or last."""
+    if 0 < len(text) < syncmers.K:
+        return [(plain_hash(text) >> 32, 0)]
+    inner = [plain_hash(text[i : i + syncmers.S]) for i in range(len(text) - syncmers.S + 1)]
+    out = []
+    for i in range(len(text) - syncmers.K + 1):
+        own = inner[i : i + syncmers.K - syncmers.S + 1]
+        if min(own) in (own[0], own[-1]):
+            out.append((plain_hash(text[i : i + syncmers.K]) >> 32, i))
+    return out
+
+
+def plain_common(x, y):
+    """Longest common subsequence by its table, a row at a time."""
+    y = np.array(y, np.int64)
+    row = np.zeros(len(y) + 1, np.int64)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == v)))
+    return int(row[-1])
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    x, y = [h for h, _ in a], [h for h, _ in b]
+    in_x, in_y = Counter(x), Counter(y)
+    return plain_common(x, y) / sum((in_x | in_y).values())
+
+
 def brute(rows):
     ordered_rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    prints = {}
     out = []
     for i, (doc_id, text, *_) in enumerate(ordered_rows):
         text, after = text or "", ordered_rows[(i + 1) % len(ordered_rows)][1] or ""
         n = len(text) // 4
         edited = text[: len(text) - n] + after[:n]
-        own, of_edited, of_next = (syncmers.fingerprints_of([t])[0] for t in (text, edited, after))
+        for t in (text, edited, after):
+            if t not in prints:
+                prints[t] = plain_fingerprint(t)
+        own, of_edited, of_next = (prints[t] for t in (text, edited, after))
         out.append((
-            doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), syncmers.write_fingerprint(own),
-            syncmers.write_fingerprint(of_edited), syncmers.likeness(own, of_edited), syncmers.likeness(own, of_next),
+            doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), ",".join(f"{h:08x}@{at:x}" for h, at in own),
+            ",".join(f"{h:08x}@{at:x}" for h, at in of_edited), plain_likeness(own, of_edited), plain_likeness(own, of_next),
         ))
     return out
 
@@ -104,3 +150,27 @@ def test_likeness_against_the_table():
         union = sum(max(x.count(v), y.count(v)) for v in range(8))
         a, b = ([(v, 3 * i) for i, v in enumerate(s)] for s in (x, y))
         assert syncmers.likeness(a, b) == row[-1] / union
+
+
+def test_chained_matches_and_the_table_agree(monkeypatch):
+    rng = np.random.default_rng(5)
+    for word in (1, 2048, 1 << 30):
+        monkeypatch.setattr(syncmers, "TABLE_WORD", word)
+        for values in (2, 8, 100):
+            for _ in range(30):
+                x, y = (rng.integers(0, values, rng.integers(0, 60)).tolist() for _ in range(2))
+                assert syncmers.matched_in_order(x, y) == plain_common(x, y)
+
+
+def test_long_texts_with_parts_in_another_order():
+    """Half a million anchors in two swapped halves, and a passage repeated throughout."""
+    n = 500_000
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 32, n).tolist()
+    began = time.perf_counter()
+    turned = x[n // 2 :] + x[: n // 2 - 1]
+    assert syncmers.matched_in_order(x, turned) == n // 2
+    assert time.perf_counter() - began < 30
+    assert syncmers.matched_in_order(x[:3000], (x[:50] * 60)[::-1]) == plain_common(x[:3000], (x[:50] * 60)[::-1])
+    again = x[:50] * 60
+    assert syncmers.matched_in_order(again, again[7:] + again[:7]) == plain_common(again, again[7:] + again[:7])
