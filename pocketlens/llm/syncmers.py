@@ -14,6 +14,7 @@ import bisect
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -83,7 +84,7 @@ def fingerprints_of(texts: list[str], k: int = K, s: int = S) -> list[Anchors]:
 
 
 def write_fingerprint(anchors: Anchors) -> str:
-    return ",".join(f"{h:08x}@{at:x}" for h, at in anchors)
+    return ",".join(["%08x@%x"] * len(anchors)) % tuple(chain.from_iterable(anchors))
 
 
 def read_fingerprint(fingerprint: str) -> Anchors:
@@ -95,10 +96,10 @@ def matched_in_order(x: list[int], y: list[int]) -> int:
 
     Matching places are chained: each place of ``x`` in turn, its places in ``y`` from the last to the first, and the
     longest rising sequence of the latter (n log n for n matching pairs of places).  Hashes that repeat often in both
-    make more pairs than a table held in bits has words; then the table is used, with the same result.
+    make more pairs than a table held in bits has words; then, and for short lists, the table is used, with the same result.
     """
     in_y = Counter(y)
-    if sum(in_y[h] for h in x) > len(y) * (1 + len(x) // TABLE_WORD):
+    if len(x) < TABLE_WORD or sum(in_y[h] for h in x) > len(y) * (1 + len(x) // TABLE_WORD):
         return common_length(x, y)
     places: dict[int, list[int]] = {}
     for j in range(len(y) - 1, -1, -1):
@@ -118,15 +119,23 @@ def likeness(a: Anchors, b: Anchors) -> float:
     if not a or not b:
         return float(not a and not b)
     x, y = ([h for h, _ in sorted(anchors, key=itemgetter(1))] for anchors in (a, b))
+    total = len(x) + len(y)
+    # an equal beginning and end, and what only one has, are not compared any further
+    x, y, ends = _trimmed(x, y)
     in_x, in_y = Counter(x), Counter(y)
     both = in_x.keys() & in_y.keys()
-    union = len(x) + len(y) - sum(min(in_x[h], in_y[h]) for h in both)
-    # what only one has, and an equal beginning and end, are not compared any further
-    x, y = [h for h in x if h in both], [h for h in y if h in both]
+    union = total - ends - sum(min(in_x[h], in_y[h]) for h in both)
+    x, y, more = _trimmed([h for h in x if h in both], [h for h in y if h in both])
+    return (ends + more + matched_in_order(x, y)) / union
+
+
+def _trimmed(x: list[int], y: list[int]) -> tuple[list[int], list[int], int]:
+    """Both lists without their equal beginning and end, and the length of these."""
     least = min(len(x), len(y))
-    begin = next((i for i in range(least) if x[i] != y[i]), least)
-    end = next((i for i in range(least - begin) if x[-1 - i] != y[-1 - i]), least - begin)
-    return (begin + end + matched_in_order(x[begin : len(x) - end], y[begin : len(y) - end])) / union
+    begin = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), least)
+    x, y, least = x[begin:], y[begin:], least - begin
+    end = next((i for i, (p, q) in enumerate(zip(reversed(x), reversed(y))) if p != q), least)
+    return x[: len(x) - end], y[: len(y) - end], begin + end
 
 
 def _slots(docs: DataFrame, partitions: int) -> DataFrame:
