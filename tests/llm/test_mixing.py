@@ -1,12 +1,15 @@
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from pocketlens.llm import mixing
+from pocketlens.llm.queries import QUERIES
 
+from ..conftest import SF_SMALL
 from .cases import awkward_docs, empty_docs, ordered
 
 
@@ -96,3 +99,44 @@ def test_every_row_has_its_own_row_of_the_plan(spark):
             assert abs(sum(r.taken for r in own) - own[0].target) <= 1
         again = mixing.mix_documents(docs.repartition(7), (5, 2, 1), seed=seed).collect()
         assert ordered(map(tuple, mixed)) == ordered(map(tuple, again))
+
+
+def plain_targets(sizes, weights):
+    """All sizes by weight, the largest overshoot settled first, one source at a time."""
+    open_, total, out = dict(zip(sizes, weights)), sum(sizes.values()), {}
+    while open_:
+        over = [s for s in open_ if total * open_[s] > 3 * sizes[s] * sum(open_.values())]
+        if not over:
+            return out | {s: total * w / sum(open_.values()) for s, w in open_.items()}
+        worst = max(over, key=lambda s: total * open_[s] / sum(open_.values()) / max(sizes[s], 1e-9))
+        out[worst] = 3 * sizes[worst]
+        total -= out[worst]
+        del open_[worst]
+    return out
+
+
+def test_the_query_against_plain_sums(spark):
+    """Whole documents table: targets by hand; after the whole copies that all of a source get, no choice of documents comes nearer."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    got = QUERIES["op4_mix"](spark, SF_SMALL).collect()
+    texts = {r.doc_id: r for r in docs.select("doc_id", "text", "source").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    own = {}
+    for r in got:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id].text or ""))
+        own.setdefault(texts[r.doc_id].source, []).append(r)
+    names = sorted(own, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(r["size"] for r in own[s]) for s in names}
+    targets = plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    for s, rows in own.items():
+        assert {r.source_size for r in rows} == {sizes[s]}
+        assert all(r.target == pytest.approx(targets[s]) for r in rows)
+        assert all(r.taken in {k * r["size"] for k in range(4)} for r in rows)
+        whole = min(3, int(targets[s] + 0.5) // sizes[s])
+        assert {r.taken // r["size"] for r in rows if r["size"]} <= {whole, whole + 1}
+        reached = 1 << whole * sizes[s]
+        for r in rows:
+            reached |= reached << r["size"]
+        sums = [n for n in range(max(0, int(targets[s]) - 500), int(targets[s]) + 500) if reached >> n & 1]
+        goal = int(targets[s] + 0.5)  # whole words are fitted to the rounded target
+        assert abs(sum(r.taken for r in rows) - goal) == min(abs(n - goal) for n in sums)
