@@ -5,30 +5,42 @@ import random
 import statistics
 import struct
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pocketlens.functions.rounding import decimal_sum, exact_sum, round_half_up
 
-# exact_sum is exact for products below 2e7 only, so the drawn prices and quantities stay below that
-price = st.decimals(min_value=Decimal("-19999.9999"), max_value=Decimal("19999.9999"), places=4)
+price = st.decimals(min_value=Decimal("-99999.9999"), max_value=Decimal("99999.9999"), places=4)
 qty = st.decimals(min_value=Decimal("0"), max_value=Decimal("999.9999"), places=4)
+EXACT_BELOW = 2e7  # products up to here carry all eight decimals
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(price, qty, st.booleans()), min_size=1, max_size=60))
+@example([(Decimal("99999.9999"), Decimal("999.9999"), True)] * 3 + [(Decimal("-99999.9998"), Decimal("999.9997"), True)])
+@example([(Decimal("19999.9999"), Decimal("999.9999"), True), (Decimal("-0.0001"), Decimal("0.0001"), True)])
 def test_exact_sum_equals_decimal_sum(spark, rows):
     data = [(float(p) if keep else None, float(q)) for p, q, keep in rows]
     df = spark.createDataFrame(data, "p double, q double")
     got = df.agg(exact_sum(F.col("p") * F.col("q")).alias("a"), decimal_sum(F.col("p") * F.col("q")).alias("b"),
                  exact_sum(F.col("p")).alias("c"), decimal_sum(F.col("p")).alias("d")).first()
-    assert got.a == got.b and got.c == got.d
-    exact = sum((p * q for p, q, keep in rows if keep), Decimal(0))
-    if any(keep for _, _, keep in rows):
-        assert got.a == exact
+    assert got.c == got.d
+    products = [p * q for p, q in data if p is not None]
+    if not products:
+        assert got.a is None and got.b is None
+        return
+    if max(map(abs, products)) < EXACT_BELOW:
+        assert got.a == got.b == sum((p * q for p, q, keep in rows if keep), Decimal(0))
+    # at any size: each row counts as its double, rounded at the eighth decimal
+    error = Fraction(got.a) - sum(map(Fraction, products))
+    assert abs(error) <= Fraction(51, 10**10) * len(products)
+    assert abs(got.a - got.b) <= sum(Decimal(math.ulp(w)) + Decimal("1e-8") for w in products)
+    turned = spark.createDataFrame(data[::-1], "p double, q double").repartition(3)
+    assert turned.agg(exact_sum(F.col("p") * F.col("q"))).first()[0] == got.a
 
 
 def test_exact_sum_order_independent(spark):
