@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,4 +122,6 @@ def exact_percentiles(df: DataFrame, column: str | list[str], probs: list[float]
     rows = [[value(c, i) for i in range(len(probs))] if (c, 0, "floor") in at else None for c in range(len(columns))]
     names = ["_q"] if isinstance(column, str) else columns
     schema = T.StructType([T.StructField(name, T.ArrayType(T.DoubleType())) for name in names])
-    return df.sparkSession.createDataFrame([tuple(rows)], schema)
+    # an Arrow table becomes a local relation, which no job is needed to read
+    table = pa.table([pa.array([row], pa.list_(pa.float64())) for row in rows], names=names)
+    return df.sparkSession.createDataFrame(table, schema)

@@ -32,7 +32,8 @@ def join_measured(big: DataFrame, small: DataFrame, on: str | list[str], max_byt
     limit = broadcast_bytes(big) if max_bytes is None else max_bytes
     if limit < 0:
         return big.join(small, on)
-    size = small.agg(F.coalesce(F.sum(_row_bytes(small)), F.lit(0)).alias("bytes")).scalar()
+    measure = F.struct(F.coalesce(F.sum(_row_bytes(small)), F.lit(0)).alias("bytes"))
+    size = small.agg(measure.alias("size")).scalar().getField("bytes")  # a bare number would be compiled into each stage's code
     near = big.join(F.broadcast(small.filter(size <= limit)), on)
     far = big.filter(size > limit).join(small, on)
     return near.unionByName(far)
