@@ -18,6 +18,11 @@ def broadcast_bytes(df: DataFrame) -> int:
     return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the frame's size, from file statistics for a scan; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Width of a row in a hash table: 8 bytes a field, the bytes of texts, and a fixed part."""
     width = F.lit(32 + 8 * len(df.columns))

@@ -27,17 +27,18 @@ material_cost       r4(standard_cost * (1.05 if size=50 else 0.6))
 (r4 = :func:`round_half_up` at 4 dp.)  The 0.05 invoice offset and the 1.05
 material factor plant INVOICE_MISMATCH and MATERIAL_COST_EXCEEDS_STANDARD rows.
 
-Plan: five equi-joins with the line items as the streamed side of every one:
-line items join orders, then customers, then the nation/region geography, then
-parts.  Each right side is a plain scan (or the tiny geography), so its size
-estimate comes from file statistics and Catalyst broadcasts it only while it is
-under ``spark.sql.autoBroadcastJoinThreshold``, else sort-merges; AQE can still
-switch at run time.  The geography (nation joined to region) is estimated as
-the product of its two inputs, an upper bound on a join's size, and is under
-the threshold at any scale.  (Joining customers or orders to the dimensions
-first would give that side a product estimate too, and Catalyst would then
-broadcast the orders or the line items.)  Filters on country or PSO reach the
-nation and region scans.  Only the needed columns are read from each file.
+Plan: five equi-joins that shuffle the line items, the widest input, as few times and as
+narrow as the tables allow.  While a dimension can be broadcast, the line items join orders, then customers, then
+the nation/region geography, then parts: each right side is a plain scan (or the tiny
+geography), so its size estimate comes from file statistics and Catalyst broadcasts
+it only while it is under ``spark.sql.autoBroadcastJoinThreshold``, else sort-merges;
+AQE can still switch at run time.  Beyond the threshold each such join would shuffle all line items, with
+the attributes joined so far.  So larger parts are joined first, to the bare line items, and larger
+customers are joined to the geography and the orders, which then meet the line items in one join.
+(That side is estimated as a product, which Catalyst never broadcasts; so small tables keep
+the chain.)  The geography is estimated as the product of its two inputs, an upper bound on a join's size, and is
+under the threshold at any scale.  Filters on country or PSO reach the nation and region
+scans.  Only the needed columns are read from each file.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_half_up
+from ..plans.broadcast import broadcast_bytes, estimated_bytes
 from ..schema import BRONZE_COLUMNS
 
 # Fixed adapter parameters (stated once, in natural order).
@@ -80,10 +82,21 @@ def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
 
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    rows = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-    rows = rows.join(customer, rows.o_custkey == customer.c_custkey)
-    rows = rows.join(geo, rows.c_nationkey == geo.n_nationkey)
-    rows = rows.join(part, rows.l_partkey == part.p_partkey)
+    bound = broadcast_bytes(lineitem)
+    part_first, customer_first = (estimated_bytes(t) > bound for t in (part, customer))
+    rows = lineitem
+    if part_first:
+        rows = rows.join(part, rows.l_partkey == part.p_partkey)
+    if customer_first:
+        buyers = customer.join(geo, customer.c_nationkey == geo.n_nationkey)
+        sold = orders.join(buyers, orders.o_custkey == buyers.c_custkey)
+        rows = rows.join(sold, rows.l_orderkey == sold.o_orderkey)
+    else:
+        rows = rows.join(orders, rows.l_orderkey == orders.o_orderkey)
+        rows = rows.join(customer, rows.o_custkey == customer.c_custkey)
+        rows = rows.join(geo, rows.c_nationkey == geo.n_nationkey)
+    if not part_first:
+        rows = rows.join(part, rows.l_partkey == part.p_partkey)
 
     nk = F.col("n_nationkey") % 5
     ck = F.col("c_custkey") % 5
