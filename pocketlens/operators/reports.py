@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.classify import margin_health
-from ..functions.filters import TxnFilter, apply_filters
+from ..functions.filters import TxnFilter, apply_filters, filter_predicate
 from ..plans.reuse import shared
 from .outliers import detect_outliers, top_outliers
 from .trends import margin_bridge
@@ -220,6 +220,9 @@ ACTION_PARTS = {
     "full_analysis": {"waterfall", "outliers", "bridge", "payload"},
 }
 
+#: What the passes over a slice read: the filters' dimensions, the columns that a part requires, ratios that are there.
+PASS_COLUMNS = {*S.FILTER_DIMENSIONS, *S.WATERFALL_REQUIRED, *S.PERIOD_REQUIRED, *S.OUTLIER_REQUIRED, *[m for m, _ in S.OUTLIER_METRICS]}
+
 
 def analyze(
     df: DataFrame,
@@ -235,20 +238,27 @@ def analyze(
     years of the unfiltered frame and is left out without them.  A slice without a waterfall row has
     nothing to analyse: every part is then empty, the bridge that comes with a waterfall
     included, and :attr:`Analysis.error` says so.  The payload is what a
-    narrative writer would receive.  The slice is read by several passes; ``reuse="write"`` writes it
-    once (:func:`~pocketlens.plans.reuse.shared`), for frames that are not stored tables.
+    narrative writer would receive.  The slice is read by several passes; ``reuse="write"`` writes it,
+    with the rows of the bridge's years if there is a bridge and with the columns that the parts read, once
+    (:func:`~pocketlens.plans.reuse.shared`), for frames that are not stored tables.
     """
     if action not in ACTION_PARTS:
         raise ValueError(f"unknown action {action!r}; expected one of {tuple(ACTION_PARTS)}")
     parts = ACTION_PARTS[action]
     out = Analysis(action=action, filters=filters)
-    scope = df if filters is None or filters.is_empty() else apply_filters(df, filters)
+    with_bridge = "bridge" in parts and None not in (base_year, current_year)
+    if "outliers" in parts:
+        kept = filter_predicate(df, filters)
+        if kept is not None and with_bridge:
+            kept = kept | F.col("year").isin(base_year, current_year)
+        rows = df if kept is None else df.filter(kept)
+        df = shared(rows if reuse == "none" else rows.select(*[c for c in df.columns if c in PASS_COLUMNS]), reuse)
+    scope = apply_filters(df, filters)
     if "outliers" in parts:
-        scope = shared(scope, reuse)
         out.outliers = detect_outliers(scope)
     if "waterfall" in parts:
         out.waterfall = compute_waterfall(scope)
-    if "bridge" in parts and None not in (base_year, current_year):
+    if with_bridge:
         out.bridge = margin_bridge(df, base_year, current_year)
         if out.waterfall is not None:
             out.bridge = out.bridge.filter(out.waterfall.agg(F.count(F.lit(1)).alias("n")).scalar() > 0)

@@ -25,6 +25,6 @@ def shared(df: DataFrame, reuse: str = "none") -> DataFrame:
         return df
     if reuse == "write":
         path = scratch_path(df.sparkSession, "slice")
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         return df.sparkSession.read.schema(df.schema).parquet(path)
     raise ValueError(f"unknown reuse {reuse!r}; expected one of {REUSE_MODES}")

@@ -43,3 +43,21 @@ def test_large_dimensions_do_not_shuffle_line_items_again(spark, stored):
 def test_small_dimensions_keep_the_chain(spark):
     plan = transactions_from_orders(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" in next(x for x in plan.splitlines() if "Join Inner" in x)
+
+
+def test_slice_and_bridge_share_one_write(stored, monkeypatch):
+    written = []
+    shared = reports.shared
+    monkeypatch.setattr(reports, "shared", lambda df, reuse: written.append(shared(df, reuse)) or written[-1])
+    args = ("full_analysis", TxnFilter(pso="EUROPE"), 1999, 2000)
+    once = reports.analyze(stored, *args, reuse="write")
+    assert len(written) == 1 and "_loaded_at" not in written[0].columns
+    assert set(once.bridge.inputFiles()) == set(written[0].inputFiles())
+    assert once.payload.first() == reports.analyze(stored, *args).payload.first()
+    assert same_rows(once.outliers, reports.analyze(stored, *args).outliers)
+
+
+def test_slice_with_null_filter_values(stored):
+    rows = stored.withColumn("pso", F.when(F.col("material") != "Brand#7", F.col("pso")))
+    args = ("full_analysis", TxnFilter(pso="EUROPE"), 1999, 2000)
+    assert reports.analyze(rows, *args, reuse="write").payload.first() == reports.analyze(rows, *args).payload.first()
