@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import BRONZE_COLUMNS, MEASURE_COLUMNS, STORAGE_DECIMAL, TRANSACTION_SCHEMA
-from .files import conform
+from .files import TABLE_CODEC, conform
 
 _BATCH = re.compile(r"[A-Za-z0-9._-]{1,100}")
 
@@ -104,7 +104,7 @@ class BatchTable:
             return BatchLoad(batch_id, known["rows"], False)
         folder = f"data/{batch_id}-{uuid.uuid4().hex[:12]}"
         seen = Observation()
-        at_rest(df).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{folder}")
+        at_rest(df).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/{folder}", compression=TABLE_CODEC)
         rows = seen.get["rows"]
         stored = self.spark.read.parquet(f"{self.path}/{folder}").count()  # from the files' footers
         if stored != rows:

@@ -61,3 +61,16 @@ def test_slice_with_null_filter_values(stored):
     rows = stored.withColumn("pso", F.when(F.col("material") != "Brand#7", F.col("pso")))
     args = ("full_analysis", TxnFilter(pso="EUROPE"), 1999, 2000)
     assert reports.analyze(rows, *args, reuse="write").payload.first() == reports.analyze(rows, *args).payload.first()
+
+
+def test_fact_is_written_from_clustered_silver(spark, stored, monkeypatch):
+    calls = {}
+    write = layers.write_layer
+    monkeypatch.setattr(layers, "write_layer", lambda df, path, **k: (calls.update({k["layer"]: k}), write(df, path, **k))[1])
+    built = layers.build_layers(spark, stored, scratch_path(spark, "layers"))
+    assert {x for x, k in calls.items() if k["clustered"]} == {"waterfall_fact"}
+    fact = built.tables["waterfall_fact"]
+    assert "Exchange" not in files._laid_out(fact, ["year", "country"], True)._jdf.queryExecution().executedPlan().toString()
+    for f in glob.glob(built.paths["waterfall_fact"].removeprefix("file:") + "/*/*.parquet"):
+        countries = [r.country for r in spark.read.parquet(f"file://{f}").select("country").collect()]
+        assert countries == sorted(countries)
