@@ -17,6 +17,7 @@ from ..functions.filters import TxnFilter
 from ..functions.ratios import metric_columns
 from ..functions.rounding import round_half_up
 from ..operators import checks, gold, outliers, reports, silver, trends, waterfall
+from ..schema import TRANSACTION_SCHEMA
 from ..session import scratch_path
 from ..sources import files
 from ..sources.adapter import transactions_from_orders
@@ -97,11 +98,14 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bronze replaced, then appended to once, read back through the source loader."""
+    """Bronze replaced, then appended to once, read back through the source loader.
+
+    The second load reads the rows that the first one stored, so the driver tables are joined once.
+    """
     bronze = Layers(spark, sf_dir).bronze
     path = scratch_path(spark, "bronze-table")
     files.write_bronze(bronze, path, truncate=True)
-    files.write_bronze(bronze, path)
+    files.write_bronze(spark.read.schema(TRANSACTION_SCHEMA).parquet(path), path)
     return files.load_transactions(spark, table_path=path)[0]
 
 
