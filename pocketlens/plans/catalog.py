@@ -26,6 +26,7 @@ from ..sources.footers import footer_table
 from ..sources.generate import profile_transactions, tier_histogram
 from . import questions as Q
 from .layers import build_layers, refresh_layers
+from .reuse import shared
 from .sql import reader_session, register_views, run_readonly_sql
 
 # Fixed parameters of the registered queries.
@@ -111,7 +112,7 @@ def _bronze_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bronze_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches of the bronze rows in a batch table, the second loaded twice, as a retry does."""
-    bronze = Layers(spark, sf_dir).bronze
+    bronze = shared(Layers(spark, sf_dir).bronze, "write")  # the batches are two passes over one join
     table = BatchTable(spark, scratch_path(spark, "bronze-batches"))
     table.load(bronze.filter("year < 1998"), "to-1997", truncate=True)
     for _ in range(2):

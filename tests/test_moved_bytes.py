@@ -45,6 +45,19 @@ def test_small_dimensions_keep_the_chain(spark):
     assert "l_partkey" in next(x for x in plan.splitlines() if "Join Inner" in x)
 
 
+def test_append_and_batches_join_the_tables_once(spark, monkeypatch):
+    read = []
+    write, load = files.write_bronze, batches.BatchTable.load
+    monkeypatch.setattr(files, "write_bronze", lambda df, *a, **k: (read.append(df.inputFiles()), write(df, *a, **k))[1])
+    monkeypatch.setattr(batches.BatchTable, "load", lambda self, df, *a, **k: (read.append(df.inputFiles()), load(self, df, *a, **k))[1])
+    n = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert catalog.QUERIES["bronze_table_append"](spark, SF_SMALL).count() == 2 * n
+    assert [any("lineitem" in f for f in x) for x in read] == [True, False]
+    read.clear()
+    assert catalog.QUERIES["bronze_batch_table"](spark, SF_SMALL).count() == n
+    assert len(read) == 3 and not any("lineitem" in f for x in read for f in x)
+
+
 def test_slice_and_bridge_share_one_write(stored, monkeypatch):
     written = []
     shared = reports.shared
