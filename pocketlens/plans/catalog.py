@@ -94,7 +94,7 @@ class Layers:
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     bronze = Layers(spark, sf_dir).bronze
     path = scratch_path(spark, "bronze-csv")
-    files.write_transactions_csv(bronze, path)
+    files.write_transactions_csv(bronze, path, compression="gzip")
     return files.read_transactions_csv(spark, path)
 
 

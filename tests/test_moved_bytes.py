@@ -87,3 +87,10 @@ def test_fact_is_written_from_clustered_silver(spark, stored, monkeypatch):
     for f in glob.glob(built.paths["waterfall_fact"].removeprefix("file:") + "/*/*.parquet"):
         countries = [r.country for r in spark.read.parquet(f"file://{f}").select("country").collect()]
         assert countries == sorted(countries)
+
+
+def test_csv_compressed(spark, stored):
+    path = scratch_path(spark, "csv")
+    files.write_transactions_csv(stored, path, compression="gzip")
+    assert glob.glob(path.removeprefix("file:") + "/*.csv.gz")
+    assert same_rows(files.read_transactions_csv(spark, path), stored)
