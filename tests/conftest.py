@@ -50,3 +50,10 @@ def make_df(spark, rows):
 @pytest.fixture
 def df_of(spark):
     return lambda rows: make_df(spark, rows)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def released(spark):
+    """What a module's own fixtures cached is gone before the next module counts cached data."""
+    yield
+    spark.catalog.clearCache()
