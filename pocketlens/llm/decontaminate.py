@@ -41,13 +41,17 @@ ANSWER_SHARE, MIN_ITEM_WORDS = 0.25, 5
 #: Items that are compared with a chunk's passages at a time, and candidates that are checked at a time.
 ITEM_COLUMNS = 64
 CHECKED = 1024
+#: Words of a block of items that are counted once in a window, and passages whose windows are counted at a time.
+OFTEN = 64
+COUNTED = 4096
 #: Items are broadcast in blocks of at most so many bytes of text.
 ITEM_BLOCK_BYTES = 8 << 20
-#: Bytes of text hashed together, words whose rows are gathered at a time, and columns of one row of a sum.
+#: Bytes of text hashed together, rows that are gathered and added at a time, and columns of one row of a sum.
 CHUNK_BYTES = 1 << 17
 GATHERED = 1 << 12
-#: Repeats of a word in a chunk that are added one after the other.
-FEW = 8
+ADDED = 512
+#: Repeats of a word in a chunk that are added to its row one after the other, and that are summed beside other words'.
+FEW, MANY = 8, 64
 SLOT = 1024
 
 BUCKETS = 1 << BUCKET_BITS
@@ -59,18 +63,29 @@ def buckets_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def places_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each hash in ``known`` (ascending); ``len(known)`` if it is not there."""
-    if not len(known):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at, len(known))
+class Places:
+    """Places of hashes among ``known`` (ascending, each once)."""
 
+    def __init__(self, known: np.ndarray):
+        bits = min(len(known).bit_length() + 3, 20)
+        self.known, self.shift = np.append(known, np.uint64(2**64 - 1)), np.uint64(64 - bits)
+        # the first place of a hash that begins with these bits, or of a larger one
+        self.first = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
-def columns_of(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash; ``len(known)`` if it is not there."""
+        at = self.first.take((hashes >> self.shift).view(np.int64))
+        there = self.known.take(at)
+        later = np.flatnonzero(there < hashes)  # a known hash with the same first bits comes before
+        at[later] = np.searchsorted(self.known[:-1], hashes[later])
+        there[later] = self.known[at[later]]
+        return np.where(there == hashes, at, len(self.known) - 1)
+
+
+def columns_of(hashes: np.ndarray, own: Places) -> np.ndarray:
     """Column of each word: the words ``own`` have one each after the hashed ones."""
-    at = places_of(hashes, own)
-    return np.where(at < len(own), BUCKETS + at, buckets_of(hashes))
+    at = own.of(hashes)
+    return np.where(at < len(own.known) - 1, BUCKETS + at, buckets_of(hashes))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -105,31 +120,64 @@ class Passages:
         steps = -(-words // STEP)
         begin = np.cumsum(words) - words
         first_step = np.cumsum(steps) - steps
-        owner = np.repeat(np.arange(len(words)), words)
-        step = first_step[owner] + (np.arange(len(owner)) - begin[owner]) // STEP
-        first_word = np.searchsorted(step, np.arange(int(steps.sum())))
+        owner = np.repeat(np.arange(len(words)), steps)
+        first_word = begin[owner] + STEP * (np.arange(len(owner)) - first_step[owner])
+        step = np.repeat(np.arange(len(owner)), np.diff(np.r_[first_word, int(words.sum())]))
         count = np.where(steps > 1, steps - 1, steps)
         text = np.repeat(np.arange(len(words)), count)
         left = first_step[text] + np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
         return Passages(step, first_word, text, left, np.where(steps[text] > 1, left + 1, left))
 
     def step_sums(self, table: np.ndarray, columns: np.ndarray) -> np.ndarray:
-        """Sum of the words' rows of ``table`` in each step; ``columns``: the row of each word."""
-        steps, per = len(self.first_word), GATHERED // STEP
+        """Sum of the words' rows of ``table`` in each step; ``columns``: the row of each word.
+
+        The last row of ``table`` is all zero; it fills up the steps of fewer words.
+        """
+        steps, k = len(self.first_word), np.arange(STEP)[:, None]
         size = np.diff(np.r_[self.first_word, len(self.step)])
-        out = np.zeros((steps, table.shape[1]), table.dtype)
-        rows = np.empty((per, table.shape[1]), table.dtype)
-        for a in range(0, steps, per):
-            part = slice(a, min(a + per, steps))
-            for k in range(STEP):
-                has = np.flatnonzero(size[part] > k)
-                if len(has) == part.stop - a:
-                    out[part] += table.take(columns[self.first_word[part] + k], 0, rows[: len(has)], "clip")
-                else:
-                    out[a + has] += table[columns[self.first_word[part][has] + k]]
+        grid = np.append(columns, len(table) - 1).take(np.where(k < size, self.first_word + k, len(columns)))
+        out = np.empty((steps, table.shape[1]), table.dtype)
+        rows = np.empty((min(ADDED, steps), table.shape[1]), table.dtype)
+        for a in range(0, steps, ADDED):
+            part = out[a : a + ADDED]
+            table.take(grid[0, a : a + ADDED], 0, part, "clip")
+            for row in grid[1:, a : a + ADDED]:
+                part += table.take(row, 0, rows[: len(row)], "clip")
         return out
 
 
+def add_steps(table: np.ndarray, columns: np.ndarray, step: np.ndarray, sums: np.ndarray) -> None:
+    """Add to the row of each word in ``table`` the row of its step in ``sums``; in the order of the words, so reruns agree."""
+    if not len(columns):
+        return
+    order = np.sort(columns << 32 | np.arange(len(columns)))  # by column, then as they come
+    columns, step = order >> 32, step[order & 0xFFFFFFFF]
+    first = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
+    times = np.diff(np.r_[first, len(columns)])
+    by_times = np.argsort(-times, kind="stable")  # the columns with a k-th word stand before the others
+    first, times = first[by_times], times[by_times]
+    columns = columns[first]
+    above = len(times) - np.cumsum(np.bincount(np.minimum(times, MANY + 1), minlength=MANY + 1))  # columns of over k words
+    many, few = int(above[MANY]), int(above[FEW])
+    rows = np.empty((ADDED, table.shape[1]), table.dtype)
+
+    def add(into: np.ndarray, a: int, begin: int) -> np.ndarray:
+        for k in range(begin, int(times[a])):
+            n = min(int(above[k]) - a, len(into))
+            into[:n] += sums.take(step.take(first[a : a + n] + k), 0, rows[:n], "clip")
+        return into
+
+    for c, a, n in zip(columns[:many].tolist(), first[:many].tolist(), times[:many].tolist()):
+        for b in range(a, a + n, GATHERED):
+            table[c] += sums.take(step[b : min(b + GATHERED, a + n)], 0).sum(axis=0)
+    for a in range(many, few, ADDED):  # summed before they are added
+        at = slice(a, min(a + ADDED, few))
+        table[columns[at]] += add(sums.take(step[first[at]], 0), a, 1)
+    for a in range(few, len(first), ADDED):
+        at = columns[a : a + ADDED]
+        table[at] = add(table.take(at, 0), a, 0)
+
+
 def _emit(table: np.ndarray) -> pa.RecordBatch:
     slots = range(0, len(table), SLOT)
     part = TaskContext.get().partitionId()
@@ -187,11 +235,11 @@ def inverse_frequencies(docs: DataFrame, own: np.ndarray) -> tuple[np.ndarray, i
     columns = BUCKETS + len(own)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(columns + 2, np.int64)  # the last places count documents and bytes
+        places, seen = Places(own), np.zeros(columns + 2, np.int64)  # the last places count documents and bytes
         for _, texts in _chunks(batches):
             hashes, words = word_hashes(texts)
             owner = np.repeat(np.arange(len(words)), words)
-            pairs = np.sort(owner * columns + columns_of(hashes, own))
+            pairs = np.sort(owner * columns + columns_of(hashes, places))
             pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]]
             seen[:columns] += np.bincount(pairs % columns, minlength=columns)
             seen[columns:] += len(texts), sum(map(len, texts))
@@ -219,26 +267,14 @@ def singular_map(docs: DataFrame, own: np.ndarray, idf: np.ndarray, size: int) -
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, idf = shared.value
-        weighted = random_matrix() * idf[:, None]
+        places = Places(own)
+        weighted = np.zeros((columns + 1, SKETCH), np.float32)  # a row of zeros at the end
+        np.multiply(random_matrix(), idf[:, None], out=weighted[:columns])
         table = np.zeros((columns, SKETCH), np.float32)
         for _, texts in _chunks(batches):
             hashes, words = word_hashes(texts)
-            p, ids = Passages.of(words), columns_of(hashes, own)
-            steps = p.step_sums(weighted, ids)
-            if not len(ids):
-                continue
-            order = np.argsort(ids, kind="stable")
-            step, ids = p.step[order], ids[order]
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            times = np.diff(np.r_[first, len(ids)])
-            for a, n in zip(first[times > FEW].tolist(), times[times > FEW].tolist()):
-                for b in range(a, a + n, GATHERED):
-                    table[ids[a]] += steps[step[b : min(b + GATHERED, a + n)]].sum(axis=0)
-            for k in range(FEW):  # the words that come k + 1 times or more
-                at = first[(times <= FEW) & (times > k)]
-                for a in range(0, len(at), GATHERED // 4):
-                    part = at[a : a + GATHERED // 4]
-                    table[ids[part]] += steps[step[part + k]]
+            p, ids = Passages.of(words), columns_of(hashes, places)
+            add_steps(table, ids, p.step, p.step_sums(weighted, ids))
         yield _emit(table)
 
     random = random_matrix()
@@ -263,8 +299,8 @@ def common_length(a: list[int], b: list[int]) -> int:
         places[x] = places.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for x in b:
-        match = row & places.get(x, 0)
+    for at in filter(None, map(places.get, b)):
+        match = row & at
         if match:
             row = ((row + match) | (row - match)) & full
     return len(a) - row.bit_count()
@@ -309,25 +345,73 @@ class _Block:
         """``known``: hashes (ascending) of the words of all items."""
         self.sizes = np.array([len(t) for t in tokens])
         places = [np.searchsorted(known, t) for t in tokens]
-        self.words = np.unique(np.concatenate(places))
+        self.words, word = np.unique(np.concatenate(places), return_inverse=True)
         self.known, self.limbs = len(known), -(-int(self.sizes.max()) // 64)
         at = np.concatenate([np.arange(n) for n in self.sizes])
-        self.cell = np.repeat(np.arange(len(tokens)), self.sizes), at // 64, np.searchsorted(self.words, np.concatenate(places))
+        item = np.repeat(np.arange(len(tokens)), self.sizes)
+        self.cell = item, at // 64, word
         self.bit = np.uint64(1) << (at % 64).astype(np.uint64)
         self.answers = np.zeros((len(tokens), self.limbs), np.uint64)
         answer = at >= np.repeat(self.sizes - [answer_length(n) for n in self.sizes.tolist()], self.sizes)
         np.bitwise_or.at(self.answers, (self.cell[0][answer], self.cell[1][answer]), self.bit[answer])
+        # a word's columns in the counts of a step: the items that hold it, or one of its own
+        often = np.argsort(-np.bincount(word), kind="stable")[:OFTEN]
+        own = np.full(len(self.words), -1)
+        own[often] = np.arange(len(often))
+        pair, times = np.unique(word * len(tokens) + item, return_counts=True)
+        of_word, column = np.divmod(pair, len(tokens))
+        rare = own[of_word] < 0
+        #: times that each word with a column of its own is in each item
+        self.times = np.zeros((len(tokens), len(often)), np.float32)
+        self.times[column[~rare], own[of_word[~rare]]] = times[~rare]
+        of_word = np.r_[of_word[rare], often]
+        order = np.argsort(of_word, kind="stable")
+        self.columns = np.r_[column[rare], len(tokens) + np.arange(len(often))][order]
+        self.weights = np.r_[times[rare], np.ones(len(often))][order]
+        # the last is that of words that no item holds
+        self.n_columns = np.bincount(of_word, minlength=len(self.words) + 1)
+        self.first_column = np.cumsum(self.n_columns) - self.n_columns
+
+    def local(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word among the block's; ``len(self.words)`` if it is not there."""
+        local = np.full(self.known + 1, len(self.words), np.int32)
+        local[self.words] = np.arange(len(self.words))
+        return local.take(words)
 
-    def possible(self, words: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def windows(self, begin: np.ndarray, text_begin: np.ndarray, text_end: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high): the words around passages that begin at ``begin`` where items of ``n`` words are sought."""
+        reach = np.maximum(0, n - STEP)
+        low = np.maximum(text_begin, begin - reach)
+        high = np.maximum(begin + 2 * STEP + reach, low + np.ceil(1.5 * n).astype(np.int64))
+        return low, np.minimum(text_end, high)
+
+    def most(self, local: np.ndarray, p: Passages, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A bound of the words that each item (row) has in common with words[low:high], for ascending low and high.
+
+        The words of all steps that are touched are counted: those with a column of their own once, others every time.
+        """
+        left, right = p.step[low], p.step[high - 1] + 1
+        begin, steps = int(left[0]), int(right[-1] - left[0])
+        here = slice(int(p.first_word[begin]), int(high[-1]) if begin + steps == len(p.first_word) else int(p.first_word[begin + steps]))
+        words, step = local[here], p.step[here] - begin
+        there = np.flatnonzero(words < len(self.words))
+        words, step = words[there], step[there]
+        n, items = self.n_columns[words], len(self.sizes)
+        at = np.arange(int(n.sum())) + np.repeat(self.first_column[words] - (np.cumsum(n) - n), n)
+        rows = items + self.times.shape[1]
+        cells = self.columns[at] * (steps + 1) + np.repeat(step + 1, n)  # place 0 of a row is the sum before the first step
+        sums = np.bincount(cells, self.weights[at], rows * (steps + 1)).astype(np.int32).reshape(rows, steps + 1)
+        np.cumsum(sums, axis=1, out=sums)
+        counts = sums.take(right - begin, 1) - sums.take(left - begin, 1)
+        return self.times @ (counts[items:] > 0).astype(np.float32) + counts[:items]
+
+    def possible(self, local: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether enough of the item's words are in words[low:high] at all, in any order, for a leak.
 
         No leak is lost: common words in order are never more than common words.
         """
         if not len(item):
             return np.zeros(0, bool)
-        local = np.full(self.known + 1, len(self.words), np.int32)
-        local[self.words] = np.arange(len(self.words))
-        local = local[words]
         masks = np.zeros((len(self.sizes), self.limbs, len(self.words) + 1), np.uint64)
         np.bitwise_or.at(masks, self.cell, self.bit)
         masks = masks.ravel()
@@ -350,6 +434,24 @@ class _Block:
             out[part] = (found >= VERBATIM * n) | ((found >= PARAPHRASE * n) & (of_answer >= MIN_ANSWER * answer))
         return out
 
+    def candidates(self, words: np.ndarray, p: Passages, bounds: tuple[np.ndarray, ...], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) of the pairs ``near`` (items, passages) in whose windows enough of the item's words are for a leak.
+
+        ``bounds``: where each passage, its text and the next text begin.
+        """
+        if not near.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        local = self.local(words)
+        for a in range(0, near.shape[1], COUNTED):
+            part = slice(a, a + COUNTED)
+            # the window of the longest item holds those of the others
+            most = self.most(local, p, *self.windows(*(b[part] for b in bounds), self.sizes.max()))
+            near[:, part] &= most >= PARAPHRASE * self.sizes[:, None]
+        item, passage = np.divmod(np.flatnonzero(near), near.shape[1])
+        low, high = self.windows(*(b[passage] for b in bounds), self.sizes[item])
+        likely = self.possible(local, item, low, high)
+        return passage[likely], item[likely]
+
 
 def _search(docs: DataFrame, items: list[tuple[int, bytes]], own: np.ndarray, space: np.ndarray) -> DataFrame:
     """Leaks of one block of items in all documents."""
@@ -368,43 +470,47 @@ def _search(docs: DataFrame, items: list[tuple[int, bytes]], own: np.ndarray, sp
         known = np.unique(np.concatenate(tokens))
         # one search for both: place among the items' words, and column of the space
         both_known = np.union1d(known, own)
-        place_of = np.r_[places_of(both_known, known), len(known)]
-        column_of = columns_of(both_known, own)
-        queries = _unit(np.array([space[columns_of(t, own)].sum(axis=0) for t in tokens], np.float32))
+        places_of, place_of = Places(both_known), np.append(Places(known).of(both_known), len(known))
+        own_places = Places(own)
+        column_of = columns_of(both_known, own_places)
+        space = np.vstack([space, np.zeros_like(space[:1])])  # a row of zeros at the end
+        queries = _unit(np.array([space[columns_of(t, own_places)].sum(axis=0) for t in tokens], np.float32))
         blocks = [_Block(tokens[a : a + ITEM_COLUMNS], known) for a in range(0, len(tokens), ITEM_COLUMNS)]
         lists = [t.tolist() for t in tokens]
         for doc_ids, texts in _chunks(batches):
             hashes, words = word_hashes(texts)
             if not len(hashes):
                 continue
-            at = places_of(hashes, both_known)
+            at = places_of.of(hashes)
             columns, places = buckets_of(hashes), place_of[at]
-            columns[at < len(both_known)] = column_of[at[at < len(both_known)]]
+            there = np.flatnonzero(at < len(both_known))
+            columns[there] = column_of[at[there]]
             p = Passages.of(words)
             of_step = p.step_sums(space, columns)
-            two = (p.right != p.left)[:, None]
-            size_both = np.maximum(np.linalg.norm(of_step[p.left] + of_step[p.right] * two, axis=1), 1e-12)[:, None]
+            one = np.flatnonzero(p.right == p.left)
+            size_both = of_step.take(p.right, 0)
+            size_both[one] = 0
+            size_both += of_step.take(p.left, 0)
+            size_both = np.maximum(np.linalg.norm(size_both, axis=1), 1e-12)[:, None]
             size_step = np.maximum(np.linalg.norm(of_step, axis=1), 1e-12)[:, None]
             begin = np.cumsum(words) - words
-            text_begin, text_end = begin[p.text], (begin + words)[p.text]
             begin_at = p.first_word[p.left]
+            bounds = begin_at, begin[p.text], (begin + words)[p.text]
             leaks: dict[tuple[int, int], tuple] = {}
             of_text: dict[int, list[int]] = {}
             for k, block in enumerate(blocks):
                 a = k * ITEM_COLUMNS
                 step = of_step @ queries[a : a + ITEM_COLUMNS].T
-                both = (step[p.left] + step[p.right] * two) / size_both
+                both = step.take(p.right, 0)
+                both[one] = 0
+                both += step.take(p.left, 0)
+                both /= size_both
                 step /= size_step  # short items fill one step
-                cosine = np.maximum(both, np.maximum(step[p.left], step[p.right]))
-                passage, column = np.nonzero(cosine >= MIN_COSINE)
-                n = block.sizes[column]
-                reach = np.maximum(0, n - STEP)
-                low = np.maximum(text_begin[passage], begin_at[passage] - reach)
-                high = np.maximum(begin_at[passage] + 2 * STEP + reach, low + np.ceil(1.5 * n).astype(np.int64))
-                high = np.minimum(text_end[passage], high)
-                likely = block.possible(places, column, low, high)
-                for q, j in zip(passage[likely].tolist(), column[likely].tolist()):
+                near = step >= MIN_COSINE
+                near = (both >= MIN_COSINE) | near.take(p.left, 0) | near.take(p.right, 0)
+                for q, j in zip(*(x.tolist() for x in block.candidates(places, p, bounds, np.ascontiguousarray(near.T)))):
                     text, i = int(p.text[q]), a + j
+                    cosine = max(both[q, j], step[p.left[q], j], step[p.right[q], j])
                     leak = leaks.get((text, i))
                     if leak and leak[0] == 1.0:
                         continue
@@ -412,7 +518,7 @@ def _search(docs: DataFrame, items: list[tuple[int, bytes]], own: np.ndarray, sp
                         of_text[text] = hashes[begin[text] : begin[text] + words[text]].tolist()
                     found, answer, first = check_passage(lists[i], of_text[text], int(begin_at[q] - begin[text]))
                     kind = leak_kind(found, answer)
-                    row = (found, answer, float(cosine[q, j]), first, kind)
+                    row = (found, answer, float(cosine), first, kind)
                     if kind and (leak is None or row[:3] > leak[:3]):
                         leaks[text, i] = row
             out = [(doc_ids[t], ids[i], r[4], r[0], r[1], r[2], r[3]) for (t, i), r in sorted(leaks.items())]

@@ -71,5 +71,4 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not starts:
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    text = np.searchsorted(ends, np.concatenate(starts), "right")
-    return np.concatenate(hashes), np.bincount(text, minlength=len(texts))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)

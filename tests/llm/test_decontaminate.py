@@ -36,6 +36,76 @@ def test_word_hashes():
     assert long.tolist() == word_hashes(words)[0].tolist()
 
 
+def test_places_of_hashes():
+    rng = np.random.default_rng(5)
+    known = np.unique(rng.integers(0, 2**64, 3000, np.uint64))
+    known = np.unique(np.r_[known, known[:200] + np.uint64(1), np.uint64(0), np.uint64(2**64 - 1)])  # neighbours, too
+    hashes = np.r_[known, known + np.uint64(1), rng.integers(0, 2**64, 5000, np.uint64)]
+    want = {h: i for i, h in enumerate(known.tolist())}
+    for some in (known, known[:1], known[:0]):
+        got = decontaminate.Places(some).of(hashes)
+        assert got.tolist() == [min(want.get(h, len(some)), len(some)) for h in hashes.tolist()]
+
+
+def test_sums_of_steps_and_of_words():
+    rng = np.random.default_rng(6)
+    words = np.array([0, 1, 16, 17, 700, 0, 33, 5])
+    n, rows = int(words.sum()), 600
+    columns = np.minimum(rng.zipf(1.3, n), rows) - 1  # one comes hundreds of times, many once
+    table = np.vstack([rng.integers(-9, 9, (rows, 3)), np.zeros((1, 3))]).astype(np.float32)
+    p = decontaminate.Passages.of(words)
+    step = np.concatenate([np.arange(w) // decontaminate.STEP for w in words])
+    step += np.repeat(np.cumsum(-(-words // decontaminate.STEP)) - -(-words // decontaminate.STEP), words)
+    assert p.step.tolist() == step.tolist() and p.step[p.first_word].tolist() == list(range(step[-1] + 1))
+    sums = np.zeros((step[-1] + 1, 3), np.float32)
+    np.add.at(sums, step, table[columns])
+    assert (p.step_sums(table, columns) == sums).all()
+    want, got = np.ones((rows, 3), np.float32), np.ones((rows, 3), np.float32)
+    np.add.at(want, columns, sums[step])
+    decontaminate.add_steps(got, columns, step, sums)
+    times = np.bincount(columns)
+    assert times.max() > decontaminate.MANY and ((times > decontaminate.FEW) & (times <= decontaminate.MANY)).any()
+    assert (got == want).all()  # whole numbers, so in any order
+
+
+@pytest.mark.parametrize("counted, often, sizes", [(4096, 64, [5, 12, 30, 30, 70, 130]), (3, 2, [5, 12, 30, 30, 70, 130]), (4096, 64, [27, 28, 29, 30, 30, 30])])
+def test_bound_before_the_common_subsequence(monkeypatch, counted, often, sizes):
+    """No pair is lost whose window holds enough of the item's words, and few windows are looked at word by word."""
+    monkeypatch.setattr(decontaminate, "COUNTED", counted)
+    monkeypatch.setattr(decontaminate, "OFTEN", often)
+    rng = np.random.default_rng(7)
+    known = np.arange(4000, dtype=np.uint64)
+    items = [np.where(rng.random(n) < 0.4, rng.integers(0, 8, n), rng.integers(0, 4000, n)) for n in sizes]
+    words = np.array([40, 3, 1, 300, 0, 90, 16, 500])
+    n = int(words.sum())
+    places = np.where(rng.random(n) < 0.4, rng.integers(0, 8, n), rng.integers(8, 401, n))  # 4000: in no item
+    begin = np.cumsum(words) - words
+    for i, at in ((0, 0), (1, 44), (2, begin[3] + 77), (3, begin[5] + 60), (4, begin[7]), (5, begin[7] + 200)):
+        some = items[i].copy()
+        some[1:-4:4] = 4000
+        places[at : at + len(some)] = some
+    p = decontaminate.Passages.of(words)
+    bounds = p.first_word[p.left], begin[p.text], (begin + words)[p.text]
+    block = decontaminate._Block([known[t] for t in items], known)
+    checked = []
+    possible = block.possible
+    block.possible = lambda local, item, low, high: checked.append(len(item)) or possible(local, item, low, high)
+    passage, item = block.candidates(places, p, bounds, np.ones((len(items), len(p.left)), bool))
+    want = set()
+    for q, (b, start, stop) in enumerate(zip(*(x.tolist() for x in bounds))):
+        for i, words_of in enumerate(x.tolist() for x in items):
+            size, reach = len(words_of), max(0, len(words_of) - decontaminate.STEP)
+            low = max(start, b - reach)
+            window = set(places[low : min(stop, max(b + 2 * decontaminate.STEP + reach, low + -(-3 * size // 2)))].tolist())
+            found = sum(w in window for w in words_of)
+            answer = words_of[size - decontaminate.answer_length(size) :]
+            if decontaminate.leak_kind(found / size, sum(w in window for w in answer) / len(answer)):
+                want.add((q, i))
+    assert set(zip(passage.tolist(), item.tolist())) == want and {i for _, i in want} == set(range(6))
+    if min(sizes) > 5:  # blocks hold items of similar length
+        assert sum(checked) < 0.2 * len(items) * len(p.left)
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     rng = random.Random(1)
