@@ -20,7 +20,7 @@ from ..operators import checks, gold, outliers, reports, silver, trends, waterfa
 from ..schema import TRANSACTION_SCHEMA
 from ..session import scratch_path
 from ..sources import files
-from ..sources.adapter import transactions_from_orders
+from ..sources.adapter import transactions_from_orders, transactions_in_parts
 from ..sources.batches import BatchTable
 from ..sources.footers import footer_table
 from ..sources.generate import profile_transactions, tier_histogram
@@ -123,10 +123,11 @@ def _bronze_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _layers_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored customer profitability, built without the last year and brought up to date with it."""
     path = scratch_path(spark, "refreshed")
-    files.write_layer(Layers(spark, sf_dir).bronze, f"{path}/bronze", layer="bronze")
+    for i, rows in enumerate(transactions_in_parts(spark, sf_dir)):
+        files.write_layer(rows, f"{path}/bronze", layer="bronze", append=i > 0)
     bronze = spark.read.parquet(f"{path}/bronze")
     last = bronze.agg(F.max("year")).scalar()
-    built = build_layers(spark, bronze.filter(F.col("year") < last), path)
+    built = build_layers(spark, bronze.filter(F.col("year") < last), path, passes=files.passes(bronze))
     return refresh_layers(built, bronze, bronze.filter(F.col("year") == last)).tables["customer_profitability"]
 
 

@@ -3,12 +3,14 @@
 bronze -> silver (dedup + quality flag) -> waterfall_fact -> customer_profitability
 and waterfall_alerts.  Each layer is written once with its clustering layout and
 read back, so later layers and queries scan files instead of recomputing the
-lineage, and a lost executor only re-runs the step it was working on.  The fact has a
+lineage, and a lost executor only re-runs the step it was working on.  Every layer's keys hold the year,
+so a large stored bronze is taken some years at a time, and the disk holds the shuffles of one pass.  The fact has a
 row for each valid silver row and the same leading keys, so it is written from silver's files without a shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.gold import customer_profitability, waterfall_alerts, waterfall_fact
 from ..operators.silver import silver_transactions
-from ..sources.files import update_layer, write_layer
+from ..sources.files import update_layer, write_layer, year_pass
 
 LAYER_ORDER = ("silver", "waterfall_fact", "customer_profitability", "waterfall_alerts")
 
@@ -27,31 +29,39 @@ class BuiltLayers:
     tables: dict[str, DataFrame]
 
 
-def build_layers(spark: SparkSession, bronze: DataFrame, root: str, layers: tuple[str, ...] = LAYER_ORDER) -> BuiltLayers:
-    """Write the requested layers under ``root`` (overwrite) and return them re-read."""
+def build_layers(spark: SparkSession, bronze: DataFrame, root: str, layers: tuple[str, ...] = LAYER_ORDER, passes: int = 1) -> BuiltLayers:
+    """Write the requested layers under ``root`` (overwrite) and return them re-read.
+
+    ``passes`` over some years each read ``bronze`` as often, so more than one is for a stored table.
+    """
     root = root.rstrip("/")
     paths: dict[str, str] = {}
     tables: dict[str, DataFrame] = {"bronze": bronze}
 
-    def write(name: str, df: DataFrame, layout: str | None, clustered: bool = False) -> DataFrame:
+    def write(name: str, below: DataFrame, derive: Callable[[DataFrame], DataFrame], clustered: bool = False) -> DataFrame:
         paths[name] = f"{root}/{name}"
-        if layout is None:
-            df.write.mode("overwrite").parquet(paths[name])
-        else:
-            write_layer(df, paths[name], layer=layout, clustered=clustered)
+        write_layer_in_passes(below, derive, paths[name], name, passes, clustered)
         tables[name] = spark.read.parquet(paths[name])
         return tables[name]
 
-    silver = write("silver", silver_transactions(bronze), "silver")
+    silver = write("silver", bronze, silver_transactions)
     if "waterfall_fact" in layers or "customer_profitability" in layers or "waterfall_alerts" in layers:
-        fact = write("waterfall_fact", waterfall_fact(silver), "waterfall_fact", clustered=True)
+        fact = write("waterfall_fact", silver, waterfall_fact, clustered=True)
         if "customer_profitability" in layers:
-            write("customer_profitability", customer_profitability(fact), "customer_profitability")
+            write("customer_profitability", fact, customer_profitability)
         if "waterfall_alerts" in layers:
-            write("waterfall_alerts", waterfall_alerts(fact), None)
+            paths["waterfall_alerts"] = f"{root}/waterfall_alerts"
+            waterfall_alerts(fact).write.mode("overwrite").parquet(paths["waterfall_alerts"])
+            tables["waterfall_alerts"] = spark.read.parquet(paths["waterfall_alerts"])
     return BuiltLayers(paths, tables)
 
 
+def write_layer_in_passes(below: DataFrame, derive: Callable[[DataFrame], DataFrame], path: str, layer: str, passes: int, clustered: bool = False) -> None:
+    """Overwrite a layer by what ``derive`` makes of the layer below, whose rows of one year give rows of that year, some years a pass."""
+    for i in range(passes):
+        write_layer(derive(year_pass(below, i, passes)), path, layer=layer, clustered=clustered, append=i > 0)
+
+
 def refresh_layers(built: BuiltLayers, bronze: DataFrame, new_rows: DataFrame) -> BuiltLayers:
     """Bring stored layers up to date after ``new_rows`` were added to ``bronze`` (which holds them).
 

@@ -50,6 +50,10 @@ from ..functions.rounding import round_half_up
 from ..plans.broadcast import broadcast_bytes, estimated_bytes
 from ..schema import BRONZE_COLUMNS
 
+# Line items are joined in up to MAX_PARTS parts, as many as there are PART_BYTES.
+MAX_PARTS = 4
+PART_BYTES = 64 << 20
+
 # Fixed adapter parameters (stated once, in natural order).
 COST_ARCHETYPES = [0.45, 0.65, 0.75, 0.85, 0.95]  # share of pocket price, by custkey % 5
 DEDUCTION_FACTOR_HOT = 4.0  # nation % 5 == 0
@@ -70,12 +74,31 @@ def _r4(c):
     return round_half_up(c, 4)
 
 
-def transactions_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 16-column bronze schema derived from the driver tables (one row per line item)."""
-    lineitem = read_table(spark, sf_dir, "lineitem").select(
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"
     )
+
+
+def transactions_in_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Frames that together hold the rows of :func:`transactions_from_orders`, for a caller that stores them one by one.
+
+    Each takes the orders of some hashes of the order key, so what its joins shuffle is that share of the line items.
+    """
+    parts = max(1, min(MAX_PARTS, -(-estimated_bytes(_lineitem(spark, sf_dir)) // PART_BYTES)))
+    return [transactions_from_orders(spark, sf_dir, (i, parts)) for i in range(parts)]
+
+
+def _of_part(df: DataFrame, key: str, part: tuple[int, int]) -> DataFrame:
+    number, parts = part
+    return df if parts == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == number)
+
+
+def transactions_from_orders(spark: SparkSession, sf_dir: str, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """The 16-column bronze schema derived from the driver tables (one row per line item; ``part``: of some orders)."""
+    lineitem = _of_part(_lineitem(spark, sf_dir), "l_orderkey", part)
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = _of_part(orders, "o_orderkey", part)
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")

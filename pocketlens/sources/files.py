@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.broadcast import estimated_bytes
 from ..schema import BRONZE_COLUMNS, TRANSACTION_SCHEMA
+from ..session import shuffles_released
 
 log = logging.getLogger(__name__)
 
@@ -33,6 +35,10 @@ LAYER_LAYOUT = {
     "customer_profitability": ("year", ["year", "pso"]),
 }
 
+# Stored rows are turned into a layer in up to MAX_PASSES passes over some of the years, as many as there are PASS_BYTES.
+MAX_PASSES = 8
+PASS_BYTES = 64 << 20
+
 # Columns that are filtered by equality but not sorted by: their Bloom filters (sized by the writer from
 # the values met, and left out where a dictionary serves) skip row groups, as statistics do for sorted keys.
 LOOKUP_COLUMNS = ["sold_to", "material", "corporate_group"]
@@ -122,8 +128,8 @@ def _laid_out(df: DataFrame, cluster_by: list[str], clustered: bool) -> DataFram
 
 
 def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by: str | None = None,
-                cluster_by: list[str] | None = None, clustered: bool = False) -> None:
-    """Overwrite a layer table, partitioned by year and clustered on its keys.
+                cluster_by: list[str] | None = None, clustered: bool = False, append: bool = False) -> None:
+    """Overwrite (or, with ``append``, add to) a layer table, partitioned by year and clustered on its keys.
 
     Rows are rebalanced on the clustering keys: one shuffle, after which AQE sizes the
     writer tasks from the data (``spark.sql.adaptive.advisoryPartitionSizeInBytes``),
@@ -132,6 +138,7 @@ def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by
     statistics; equality on :data:`LOOKUP_COLUMNS` skips them by dictionary or Bloom filter.
     The input is computed once.  ``clustered`` says that ``df`` is a row-wise projection of a stored table
     with these leading keys: its tasks read files that hold few keys each, so the rows are not shuffled again.
+    The shuffle files go when the write ends.
     """
     if layer is not None:
         partition_by, cluster_by = LAYER_LAYOUT[layer]
@@ -139,10 +146,23 @@ def write_layer(df: DataFrame, path: str, layer: str | None = None, partition_by
     out = df
     if cluster_by:
         out = _laid_out(out, cluster_by, clustered)
-    writer = out.write.mode("overwrite").options(**_layer_options(out))
+    writer = out.write.mode("append" if append else "overwrite").options(**_layer_options(out))
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with shuffles_released(df.sparkSession):
+        writer.parquet(path)
+
+
+def passes(stored: DataFrame) -> int:
+    """In how many passes :func:`year_pass` takes a stored table, by the size of its files."""
+    return max(1, min(MAX_PASSES, -(-estimated_bytes(stored) // PASS_BYTES)))
+
+
+def year_pass(stored: DataFrame, number: int, of: int) -> DataFrame:
+    """The rows of every ``of``-th year (NULL counts as year 0); over a table partitioned by year, other years are not read."""
+    if of == 1:
+        return stored
+    return stored.filter(F.pmod(F.coalesce(F.col("year"), F.lit(0)), F.lit(of)) == number)
 
 
 def update_layer(df: DataFrame, path: str, years: DataFrame, layer: str, clustered: bool = False) -> None:
@@ -156,7 +176,8 @@ def update_layer(df: DataFrame, path: str, years: DataFrame, layer: str, cluster
     rows = df.join(F.broadcast(changed), partition_by, "left_semi")  # a row for each year
     rows = _laid_out(rows, cluster_by, clustered)
     writer = rows.select(*df.columns).write.mode("overwrite").options(**_layer_options(df))
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    with shuffles_released(df.sparkSession):
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
 
 
 def bronze_transactions(df: DataFrame) -> DataFrame:

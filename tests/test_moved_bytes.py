@@ -1,15 +1,19 @@
-"""What is shuffled and written more than once: joins of the line items, shared slices, layer writes."""
+"""What is shuffled and written more than once: joins of the line items, shared slices, layer writes; what stays on disk."""
 
+import functools
 import glob
+import time
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pocketlens.functions.filters import TxnFilter
 from pocketlens.operators import reports
+from pocketlens.operators.silver import silver_transactions
 from pocketlens.plans import catalog, layers
 from pocketlens.session import scratch_path
-from pocketlens.sources import batches, files
+from pocketlens.sources import adapter, batches, files
 from pocketlens.sources.adapter import transactions_from_orders
 
 from .conftest import SF_SMALL
@@ -94,3 +98,65 @@ def test_csv_compressed(spark, stored):
     files.write_transactions_csv(stored, path, compression="gzip")
     assert glob.glob(path.removeprefix("file:") + "/*.csv.gz")
     assert same_rows(files.read_transactions_csv(spark, path), stored)
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (found.apply(i).getName() for i in range(found.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_layer_writes_leave_no_shuffle_files(spark, stored):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    path, held = scratch_path(spark, "released"), shuffle_files(spark)
+
+    def left():
+        for _ in range(40):  # files are removed in the background
+            if not shuffle_files(spark) - held:
+                return 0
+            time.sleep(0.25)
+        return len(shuffle_files(spark) - held)
+
+    files.write_layer(silver_transactions(stored), path, layer="silver")
+    assert left() == 0
+    years = stored.filter("year = 1998").select("year").distinct()
+    files.update_layer(silver_transactions(stored), path, years, "silver")
+    assert left() == 0
+    assert spark.conf.get(setting, None) == before
+
+
+def test_parts_of_the_tables_make_the_whole(spark, stored, monkeypatch):
+    assert len(adapter.transactions_in_parts(spark, SF_SMALL)) == 1
+    monkeypatch.setattr(adapter, "PART_BYTES", 1)
+    parts = adapter.transactions_in_parts(spark, SF_SMALL)
+    counts = [p.count() for p in parts]
+    assert len(parts) == adapter.MAX_PARTS and max(counts) < 0.4 * sum(counts)
+    assert same_rows(functools.reduce(DataFrame.unionByName, parts), stored)
+
+
+def test_every_year_is_in_one_pass(spark):
+    rows = spark.createDataFrame([(None,), (-3,), (0,), *((y,) for y in range(1990, 2030))], "year int")
+    taken = [r.year for i in range(8) for r in files.year_pass(rows, i, 8).collect()]
+    assert len(taken) == rows.count() and set(taken) == {r.year for r in rows.collect()}
+    assert same_rows(files.year_pass(rows, 0, 1), rows)
+
+
+@pytest.mark.parametrize("name", ["customer_layer_refreshed"])
+def test_large_layers_are_written_some_years_at_a_time(spark, monkeypatch, name):
+    whole = catalog.QUERIES[name](spark, SF_SMALL)
+    monkeypatch.setattr(adapter, "PART_BYTES", 1)
+    monkeypatch.setattr(files, "PASS_BYTES", 1)
+    seen = []
+    write = layers.write_layer
+
+    def watched(df, path, **k):
+        if k["layer"] == "silver":
+            seen.append({r.year for r in df.select("year").distinct().collect()})
+        write(df, path, **k)
+
+    monkeypatch.setattr(layers, "write_layer", watched)
+    passes = catalog.QUERIES[name](spark, SF_SMALL)
+    assert same_rows(passes, whole) and passes.columns == whole.columns
+    assert len(seen) == files.MAX_PASSES and max(len(x) for x in seen) == 1
+    assert sum(len(x) for x in seen) == len(set().union(*seen)) >= 6
