@@ -25,7 +25,7 @@ from ..sources.batches import BatchTable
 from ..sources.footers import footer_table
 from ..sources.generate import profile_transactions, tier_histogram
 from . import questions as Q
-from .layers import build_layers, refresh_layers
+from .layers import build_layers, refresh_layers, write_layer_in_passes
 from .reuse import shared
 from .sql import reader_session, register_views, run_readonly_sql
 
@@ -132,9 +132,13 @@ def _layers_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _silver_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver written as a clustered layer table and read back."""
+    """Silver written as a clustered layer table and read back.
+
+    The joined rows are stored by year first, so the disk never holds the shuffles of the joins and of all years at once.
+    """
     path = scratch_path(spark, "silver-layer")
-    files.write_layer(Layers(spark, sf_dir).silver, path, layer="silver")
+    bronze = files.write_rows_by_year(transactions_in_parts(spark, sf_dir), scratch_path(spark, "silver-rows"))
+    write_layer_in_passes(bronze, silver.silver_transactions, path, "silver", files.passes(bronze))
     return spark.read.parquet(path).select(*silver.SILVER_COLUMNS)
 
 

@@ -165,6 +165,14 @@ def year_pass(stored: DataFrame, number: int, of: int) -> DataFrame:
     return stored.filter(F.pmod(F.coalesce(F.col("year"), F.lit(0)), F.lit(of)) == number)
 
 
+def write_rows_by_year(parts: list[DataFrame], path: str) -> DataFrame:
+    """Store frames of one schema after one another, partitioned by year but not clustered; returns the stored rows."""
+    with shuffles_released(parts[0].sparkSession):
+        for i, df in enumerate(parts):
+            df.write.mode("append" if i else "overwrite").partitionBy("year").parquet(path, compression=TABLE_CODEC)
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(path).select(*parts[0].columns)
+
+
 def update_layer(df: DataFrame, path: str, years: DataFrame, layer: str, clustered: bool = False) -> None:
     """Replace the partitions of a layer table that the one-column frame ``years`` names by the rows of ``df`` of these years.
 
